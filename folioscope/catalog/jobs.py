@@ -1,2 +1,133 @@
-QUERIES = {}
-ORACLES = {}
+"""Registered end-to-end jobs; each returns the table that summarises its outputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.catalog.joins import nms_sql
+from folioscope.catalog.ordered import pack_sql
+from folioscope.catalog.records import auxiliary_cards
+from folioscope.catalog.routing import COLLAPSED, REGION_CASE, RESPONSE_METRICS_SQL, SEVERITY_CASE, responses
+from folioscope.catalog.sources import CLASS_LIST, REPAIR_VALUES
+from folioscope.catalog.views import (
+    CLAIM_VIEWS_SQL, DETECTIONS_SQL, LINES_SQL, REQUESTS_SQL, claim_views, detections, ocr_documents, table, with_sql,
+)
+from folioscope.operators.claims import priority_view
+from folioscope.plans import jobs
+from folioscope.rules import GENERAL_DAMAGE_ACTION
+from folioscope.sources.files import read_files
+
+
+def pdf_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as single-page OCR JSON: lines, confidence and chunks per document."""
+    pages = F.array(F.struct(F.lit(1).alias("page"), "lines"))
+    docs = ocr_documents(spark, sf_dir).select("doc_id", F.to_json(F.struct(pages.alias("pages"))).alias("raw"))
+    out = jobs.pdf_job(docs)
+    n_lines = out["lines"].groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    n_chunks = out["chunks"].groupBy(F.col("source_file").cast("bigint").alias("doc_id")).agg(
+        F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("chunk_chars"))
+    return out["confidence"].join(n_lines, "doc_id").join(n_chunks, "doc_id").select(
+        "doc_id", F.round("confidence_score", 6).alias("confidence_score"), "n_lines", "n_chunks", "chunk_chars")
+
+
+def record_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards with boxes through reading order, filter, extraction, fallback, notes and chunks."""
+    def box(t, i):
+        y = (i * 20).cast("double")
+        return F.struct(F.lit(0.0).alias("x0"), y.alias("y0"), F.lit(90.0).alias("x1"), (y + 12).alias("y1"), t.alias("text"), F.lit(0.9).alias("confidence"))
+
+    cards = auxiliary_cards(spark, sf_dir).where(F.col("doc_id") % 8 != 0)
+    scanned = cards.withColumn("lines", F.reverse(F.transform("lines", box)))
+    ordered = jobs.ordered_texts(scanned, "lines", 0.5, rtl=True)
+    out = jobs.record_job(ordered)
+    fields = out["fields"].groupBy("doc_id").agg(F.count("value").alias("n_fields"), F.count_if(F.col("value") != F.col("translation")).alias("n_translated"))
+    chunks = out["chunks"].groupBy(F.col("source_file").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n_chunks"))
+    return out["records"].join(fields, "doc_id").join(chunks, "doc_id").select(
+        "doc_id", "record.plate_number", F.coalesce("record.vin_or_chassis", F.lit("-")).alias("vin"), "record.notes", "n_fields", "n_translated", "n_chunks")
+
+
+def _claim_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = F.get(F.array(F.lit("front"), F.lit("back"), F.lit("left"), F.lit("right")), F.split("det_id", "-")[0].cast("int") % 4)
+    return detections(spark, sf_dir).withColumn("view", views).withColumnRenamed("image_id", "claim_id")
+
+
+def _damage(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    views = claim_views(spark, sf_dir)
+    claims = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"))
+    source = priority_view(views.where(F.col("car_prob") >= 0.65))
+    plates = source.select("claim_id", "source_view", F.lit(True).alias("detected"), F.concat(F.lit("P"), F.col("claim_id").cast("string")).alias("plate_text"), F.lit(0.9).alias("confidence"))
+    return jobs.damage_job(views, _claim_boxes(spark, sf_dir), claims, plates)
+
+
+def damage_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _damage(spark, sf_dir)["damages"].select(
+        "claim_id", "view", "type", "severity", "confidence", F.size("parts_at_risk").alias("n_parts"), "repair_action", "replace")
+
+
+def damage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _damage(spark, sf_dir)["report"].select(
+        "claim_id", "damage_detected", "overall_confidence", "total_views_analyzed", "plate.plate_text",
+        F.coalesce("plate.source_view", F.lit("-")).alias("source_view"))
+
+
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = responses(spark, sf_dir).withColumn("elapsed_ms", F.col("elapsed_ms") * 1.0137)
+    out = jobs.quality_job(samples, ["scenario"], ["ts", "event_id"], warmup=10)
+    decisions = out["decisions"].groupBy("scenario").pivot("category", ["auto_accept", "human_review", "reject_or_reupload"]).agg(F.sum("n"))
+    return out["success"].join(out["latency"].select("scenario", "p50", "p95", "max"), "scenario").join(
+        out["confidence"].select("scenario", F.col("n").alias("n_scored")), "scenario").join(decisions, "scenario")
+
+
+def file_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jobs.file_job(read_files(spark, sf_dir))
+    return out["inventory"].groupBy("category", "mime_type").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("size_bytes"))
+
+
+QUERIES = {
+    "pdf_job": pdf_job,
+    "record_job": record_job,
+    "damage_job": damage_job,
+    "damage_reports": damage_reports,
+    "quality_report": quality_report,
+    "file_job": file_job,
+}
+
+_P = ", ".join(f"round(quantile_cont(ms, {p}), 2) AS {n}" for n, p in (("p50", 0.5), ("p95", 0.95)))
+
+ORACLES = {
+    "pdf_job": "WITH RECURSIVE " + LINES_SQL + f""", tidy AS (SELECT doc_id, line_index, {COLLAPSED} AS text FROM lines),
+sized AS (SELECT doc_id AS key, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS i, text FROM tidy WHERE text <> ''),
+""" + pack_sql(1200, 3) + """,
+sizes AS (SELECT key, len(chunks) AS n_chunks, CAST(list_sum(list_transform(chunks, lambda c: length(c))) AS BIGINT) AS chunk_chars FROM packed)
+SELECT doc_id, round(avg(confidence), 6) AS confidence_score, count(*) AS n_lines, any_value(n_chunks) AS n_chunks, any_value(chunk_chars) AS chunk_chars
+FROM lines JOIN sizes ON key = doc_id GROUP BY 1""",
+    "damage_job": "WITH RECURSIVE " + CLAIM_VIEWS_SQL + ", " + DETECTIONS_SQL + f""",
+good AS (SELECT * FROM claim_views WHERE car_prob >= 0.65 AND prob_damaged >= 0.5),
+boxes AS (SELECT (d.image_id, g.view) AS image_id, det_id, cx, cy, w, h, class_id, score FROM detections d JOIN good g
+          ON g.claim_id = d.image_id AND g.view = ['front', 'back', 'left', 'right'][CAST(split_part(det_id, '-', 1) AS INT) % 4 + 1] WHERE score >= 0.5),
+""" + nms_sql() + f""",
+survivors AS (SELECT b.* FROM boxes b JOIN (SELECT image_id AS im, unnest(kept) AS k FROM final) f ON f.im = b.image_id AND f.k.det_id = b.det_id),
+framed AS (SELECT image_id, det_id, score, class_id, round(cx / 640, 4) AS cx, round(cy / 640, 4) AS cy, round(w / 640, 4) AS w, round(h / 640, 4) AS h FROM survivors),
+typed AS (SELECT image_id, score, {CLASS_LIST}[class_id + 1] AS type, {SEVERITY_CASE} AS severity, {REGION_CASE} AS region FROM framed)
+SELECT image_id[1] AS claim_id, image_id[2] AS view, t.type, t.severity, round(score, 4) AS confidence,
+       CASE WHEN type = 'scratches' AND region = 'center' THEN 1 WHEN type = 'scratches' OR (type = 'lamp-crack' AND region = 'center') THEN 2 ELSE 3 END AS n_parts,
+       r.c AS repair_action, r.d AS replace
+FROM typed t JOIN {REPAIR_VALUES} r(a, b, c, d) ON t.type = r.a AND t.severity = r.b
+UNION ALL
+SELECT claim_id, view, 'general-damage', CASE WHEN prob_damaged >= 0.8 THEN 'severe' WHEN prob_damaged >= 0.65 THEN 'moderate' ELSE 'minor' END,
+       round(prob_damaged, 4), 1, '{GENERAL_DAMAGE_ACTION}', false
+FROM good g WHERE NOT EXISTS (SELECT 1 FROM survivors s WHERE s.image_id = (g.claim_id, g.view))""",
+    "damage_reports": with_sql(CLAIM_VIEWS_SQL) + """
+SELECT o_orderkey AS claim_id, coalesce(bool_or(prob_damaged >= 0.5) FILTER (WHERE car_prob >= 0.65), false) AS damage_detected,
+       round(coalesce(max(prob_damaged) FILTER (WHERE car_prob >= 0.65 AND prob_damaged >= 0.5), 0.0e0), 4) AS overall_confidence,
+       count(*) FILTER (WHERE car_prob >= 0.65) AS total_views_analyzed,
+       CASE WHEN count(*) FILTER (WHERE car_prob >= 0.65) > 0 THEN 'P' || o_orderkey ELSE '' END AS plate_text,
+       coalesce(arg_min(view, list_position(['front', 'back', 'left', 'right'], view)) FILTER (WHERE car_prob >= 0.65), '-') AS source_view
+FROM orders LEFT JOIN claim_views ON o_orderkey = claim_id GROUP BY 1""",
+    "quality_report": with_sql(REQUESTS_SQL, RESPONSE_METRICS_SQL) + f"""
+SELECT scenario, count(*) AS runs, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS failed, round(avg(CAST(ok AS INT)), 4) AS success_rate,
+       {_P}, round(max(ms), 2) AS max, count(confidence_score) AS n_scored, count(*) FILTER (WHERE confidence_score >= 0.9) AS auto_accept,
+       count(*) FILTER (WHERE confidence_score >= 0.6 AND confidence_score < 0.9) AS human_review, count(*) FILTER (WHERE confidence_score < 0.6) AS reject_or_reupload
+FROM (SELECT *, elapsed_ms * 1.0137e0 AS ms FROM metrics QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY ts, event_id) > 10) GROUP BY 1""",
+}

@@ -115,7 +115,9 @@ def collect_texts(raw: pd.Series) -> pd.Series:
 
 def json_profile(raw: Column, max_keys: int = 25) -> Column:
     """Top-level type, first keys, item count and parse error of a JSON text."""
-    valid = F.try_parse_json(raw).isNotNull()
+    # The parser stops at the end of the first value; the bracketed form shows what follows it.
+    alone = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1
+    valid = F.coalesce(F.try_parse_json(raw).isNotNull() & alone, F.lit(False))
     head = F.substring(F.ltrim(F.regexp_replace(raw, r"\A[\s]+", "")), 1, 1)
     kind = (
         F.when(head == "{", "dict").when(head == "[", "list").when(head == '"', "str")

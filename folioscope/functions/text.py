@@ -30,6 +30,10 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
+# Keeps filters on normalised text above the call, so it is evaluated once per row.
+_nfkc = _nfkc.asNondeterministic()
+
+
 def normalize_text(c: Column) -> Column:
     """NFKC, no tatweel, no bidi marks, collapsed whitespace.
 

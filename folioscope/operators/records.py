@@ -253,41 +253,40 @@ def annotate_lines(docs: DataFrame, lines: str = "lines", record: str = "record"
     otherwise the longest value that contains the line or lies in it. Lines and fields meet
     inside the document row, so there is no join.
     """
-    fields = list(rules.FIELD_LABELS_AR)
-    values = F.array(*[
-        F.struct(
+    def known(n: int, name: str) -> Column:
+        return let(squeeze_key(F.col(record)[name].cast("string")), lambda k: F.struct(
             F.lit(n).alias("order"), F.lit(name).alias("field"), F.lit(rules.FIELD_LABELS_AR[name]).alias("label"),
-            F.lit(name in rules.DIGIT_MATCH_FIELDS).alias("numeric"),
-            squeeze_key(F.col(record)[name].cast("string")).alias("key"),
-        )
-        for n, name in enumerate(fields)
-    ])
+            F.when(F.lit(name in rules.DIGIT_MATCH_FIELDS), _digits(k)).alias("digits"), k.alias("key"),
+        ))
+
+    values = F.array(*[known(n, name) for n, name in enumerate(rules.FIELD_LABELS_AR)])
     staged = (
-        docs.select(key, F.filter(values, lambda v: v["key"] != "").alias("_values"), F.posexplode(lines).alias("_pos", "text"))
+        docs.select(key, lines, F.filter(values, lambda v: v["key"] != "").alias("_values"))
+        .select(key, "_values", F.posexplode(lines).alias("_pos", "text"))
         .withColumn("_key", squeeze_key(normalize_text(F.col("text"))))
         .where(F.col("_key") != "")
+        .withColumn("_digits", F.nullif(_digits(F.col("_key")), F.lit("")))
     )
-    line_key = F.col("_key")
-    line_digits = F.regexp_replace(line_key, r"(?U)\D", "")
 
     def candidate(v: Column) -> Column:
-        exact = v["key"] == line_key
-        same_digits = v["numeric"] & (line_digits != "") & (F.regexp_replace(v["key"], r"(?U)\D", "") == line_digits)
-        inside = line_key.contains(v["key"]) | v["key"].contains(line_key)
-        length = F.length(v["key"])
-        return F.struct(
-            F.when(exact | same_digits, 0).when(inside, 1).alias("tier"),
-            F.when(exact | same_digits, 0).otherwise(-length).alias("shortness"),
-            v["order"].alias("order"), v["field"].alias("field"), v["label"].alias("label"),
+        decisive = (v["key"] == F.col("_key")) | F.coalesce(v["digits"] == F.col("_digits"), F.lit(False))
+        partial = F.col("_key").contains(v["key"]) | v["key"].contains(F.col("_key"))
+        rank = F.when(decisive, F.struct(F.lit(0).alias("tier"), F.lit(0).alias("shortness"))).when(
+            partial, F.struct(F.lit(1).alias("tier"), (-F.length(v["key"])).alias("shortness"))
         )
+        return F.struct(rank.alias("rank"), v["order"].alias("order"), v["field"].alias("field"), v["label"].alias("label"))
 
-    best = F.array_min(F.filter(F.transform("_values", candidate), lambda c: c["tier"].isNotNull()))
+    best = F.array_min(F.filter(F.transform("_values", candidate), lambda c: c["rank"].isNotNull()))
     return (
         staged.withColumn("_best", best).where(F.col("_best").isNotNull())
         .select(key, (F.col("_pos") + 1).alias("line_index"), "text", F.col("_best.field").alias("field"), F.col("_best.label").alias("label"))
     )
 
 
+def _digits(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)\D", "")
+
+
 def identity_score(text: Column, lowered: Column) -> Column:
     """struct(id_found, score) of the joined lines of one document.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,11 +54,6 @@ def advance(state: tuple, now: int, ok: bool, ignored: bool, rules: BreakerRules
 START = (CLOSED, 0, 0)
 
 
-def _calls(pdf: pd.DataFrame) -> list[tuple]:
-    ordered = pdf.sort_values(["us", "call_id"], kind="stable")
-    return list(zip(ordered["us"].tolist(), ordered["ok"].tolist(), ordered["ignored"].tolist()))
-
-
 def _exits(calls: list[tuple], rules: BreakerRules) -> tuple[list[tuple], list[int], list[tuple]]:
     """Exit state of a block for every entry state.
 
@@ -88,6 +84,16 @@ def _exits(calls: list[tuple], rules: BreakerRules) -> tuple[list[tuple], list[i
     return closed, times, resumed
 
 
+def _rows(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+    for pdf in batches:
+        yield from zip(*(pdf[c].tolist() for c in columns))
+
+
+def _frames(rows: Iterator[tuple], columns: list[str], size: int = 20_000) -> Iterator[pd.DataFrame]:
+    while block := list(islice(rows, size)):
+        yield pd.DataFrame(block, columns=columns)
+
+
 def breaker_states(calls: DataFrame, failures: int = 5, recovery_seconds: float = 30.0, probes: int = 1,
                    block_seconds: int = 86_400) -> DataFrame:
     """State after every call, for call logs of any size and skew.
@@ -95,62 +101,71 @@ def breaker_states(calls: DataFrame, failures: int = 5, recovery_seconds: float
     A circuit's log is cut into time blocks that are summarised in parallel as a map from
     entry state to exit state. Chaining those short summaries gives every block its entry
     state, and the blocks are replayed in parallel. One busy circuit thus spreads over as
-    many tasks as it has blocks.
+    many tasks as it has blocks; a task holds one block at a time.
     """
     rules = BreakerRules(failures, recovery_seconds, probes)
     log = calls.select(
-        F.col("circuit").cast("string").alias("circuit"), "ts", F.unix_micros("ts").alias("us"),
+        F.col("circuit").cast("string").alias("circuit"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.col("call_id").cast("long").alias("call_id"), "ok", F.coalesce("ignored", F.lit(False)).alias("ignored"),
     ).withColumn("block", F.floor(F.col("us") / (1_000_000 * block_seconds)).cast("long"))
 
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        closed, times, resumed = _exits(_calls(pdf), rules)
-        row = {
-            "circuit": key[0], "block": key[1], "closed": [_as_struct(s) for s in closed],
-            "resume_from": times, "resumed": [_as_struct(s) for s in resumed],
-        }
-        return pd.DataFrame([row])
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = START, []
-        for row in pdf.sort_values("block").itertuples(index=False):
-            rows.append((key[0], row.block, *state))
-            state = _through(state, row, rules)
-        return pd.DataFrame(rows, columns=["circuit", "block", "entry_state", "entry_failures", "entry_opened"])
-
-    def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["us", "call_id"], kind="stable")
-        state = (ordered["entry_state"].iloc[0], int(ordered["entry_failures"].iloc[0]), int(ordered["entry_opened"].iloc[0]))
-        admitted, names = [], []
-        for now, ok, ignored in zip(ordered["us"].tolist(), ordered["ok"].tolist(), ordered["ignored"].tolist()):
-            state, ran = advance(state, now, ok, ignored, rules)
-            admitted.append(ran)
-            names.append(state[0])
-        return pd.DataFrame({
-            "circuit": key[0], "ts": ordered["ts"].values, "call_id": ordered["call_id"].values,
-            "admitted": admitted, "state": names,
-        })
-
-    summaries = log.select("circuit", "block", "us", "call_id", "ok", "ignored").groupBy("circuit", "block").applyInPandas(summarise, _SUMMARY)
-    entries = summaries.groupBy("circuit").applyInPandas(
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def blocks():
+            rows = _rows(batches, ["circuit", "block", "us", "ok", "ignored"])
+            for (circuit, block), group in groupby(rows, key=lambda r: r[:2]):
+                closed, times, resumed = _exits([r[2:] for r in group], rules)
+                yield circuit, block, [_as_struct(x) for x in closed], times, [_as_struct(x) for x in resumed]
+
+        yield from _frames(blocks(), ["circuit", "block", "closed", "resume_from", "resumed"], 500)
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def entries():
+            rows = _rows(batches, ["circuit", "block", "closed", "resume_from", "resumed"])
+            for circuit, group in groupby(rows, key=lambda r: r[0]):
+                state = START
+                for _, block, *summary in group:
+                    yield circuit, block, *state
+                    state = _through(state, *summary, rules)
+
+        yield from _frames(entries(), ["circuit", "block", "entry_state", "entry_failures", "entry_opened"])
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def states():
+            columns = ["circuit", "block", "ts", "us", "call_id", "ok", "ignored", "entry_state", "entry_failures", "entry_opened"]
+            for (circuit, _), group in groupby(_rows(batches, columns), key=lambda r: r[:2]):
+                state = None
+                for _, _, ts, us, call_id, ok, ignored, *entry in group:
+                    state, ran = advance(state or tuple(entry), us, ok, ignored, rules)
+                    yield circuit, ts, call_id, ran, state[0]
+
+        yield from _frames(states(), ["circuit", "ts", "call_id", "admitted", "state"])
+
+    keys = ["circuit", "block"]
+    summaries = (
+        log.select(*keys, "us", "call_id", "ok", "ignored").repartition(*keys).sortWithinPartitions(*keys, "us", "call_id")
+        .mapInPandas(summarise, _SUMMARY)
+    )
+    entries = summaries.repartition("circuit").sortWithinPartitions(*keys).mapInPandas(
         chain, "circuit string, block long, entry_state string, entry_failures int, entry_opened long"
     )
-    return log.join(entries, ["circuit", "block"]).groupBy("circuit", "block").applyInPandas(replay, STATES)
+    return (
+        log.join(entries, keys).repartition(*keys).sortWithinPartitions(*keys, "us", "call_id").mapInPandas(replay, STATES)
+    )
 
 
 def _as_struct(state: tuple) -> dict:
     return {"state": state[0], "failures": state[1], "opened": state[2]}
 
 
-def _through(state: tuple, row, rules: BreakerRules) -> tuple:
+def _through(state: tuple, closed, resume_from, resumed, rules: BreakerRules) -> tuple:
     """Take an entry state through a summarised block."""
     def unpack(s) -> tuple:
         return s["state"], int(s["failures"]), int(s["opened"])
 
     if state[0] == CLOSED:
-        return unpack(row.closed[state[1]])
+        return unpack(closed[state[1]])
     ready = state[2] + rules.recovery_us if state[0] == OPEN else None
-    for start, result in zip(row.resume_from, row.resumed):
+    for start, result in zip(resume_from, resumed):
         if ready is None or start >= ready:
             return unpack(result)
     return state
@@ -165,31 +180,45 @@ class BreakerProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "name string, failures int, opened long")
-        self.waiting = handle.getMapState("waiting", "us long, call_id long", "ok boolean, ignored boolean")
+        self.waiting = handle.getListState("waiting", "us long, call_id long, ok boolean, ignored boolean")
+        self.timer = handle.getValueState("timer", "ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stamps = set()
-        for pdf in rows:
-            for row in pdf.itertuples(index=False):
-                self.waiting.updateValue((row.us, row.call_id), (bool(row.ok), bool(row.ignored)))
-                stamps.add(row.us // 1000 + 1)
-        for ms in stamps:
-            self.handle.registerTimer(ms)
+        calls = [
+            (int(r.us), int(r.call_id), bool(r.ok), bool(r.ignored)) for pdf in rows for r in pdf.itertuples(index=False)
+        ]
+        self.waiting.appendList(calls)
+        self._wake_at(min(calls)[0] // 1000 + 1)
         yield self._frame(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted((k[0], k[1], v[0], v[1]) for k, v in self.waiting.iterator() if k[0] < limit)
-        stored = self.state.get() if self.state.exists() else START
-        state, out = (stored[0], stored[1], stored[2]), []
+        self.timer.clear()
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(c) for c in self.waiting.get())
+        due, later = [c for c in waiting if c[0] < limit], [c for c in waiting if c[0] >= limit]
+        state, out = tuple(self.state.get()) if self.state.exists() else START, []
         for us, call_id, ok, ignored in due:
             state, ran = advance(state, us, ok, ignored, self.rules)
             out.append((us, call_id, ran, state[0]))
-            self.waiting.removeKey((us, call_id))
         if due:
             self.state.update(state)
+        if later:
+            self.waiting.put(later)
+            self._wake_at(later[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
         yield self._frame(key, out)
 
+    def _wake_at(self, ms: int) -> None:
+        """One timer per circuit, at its earliest waiting call."""
+        if self.timer.exists():
+            (current,) = self.timer.get()
+            if current <= ms:
+                return
+            self.handle.deleteTimer(current)
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
+
     def _frame(self, key, rows: list) -> pd.DataFrame:
         pdf = pd.DataFrame(rows, columns=["us", "call_id", "admitted", "state"])
         return pd.DataFrame({
@@ -207,7 +236,7 @@ def breaker_stream(calls: DataFrame, failures: int = 5, recovery_seconds: float
                    watermark: str = "10 minutes") -> DataFrame:
     """Streaming states. Needs the RocksDB state store provider."""
     log = calls.withWatermark("ts", watermark).select(
-        F.col("circuit").cast("string").alias("circuit"), "ts", F.unix_micros("ts").alias("us"),
+        F.col("circuit").cast("string").alias("circuit"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.col("call_id").cast("long").alias("call_id"), "ok", F.coalesce("ignored", F.lit(False)).alias("ignored"),
     )
     return log.groupBy("circuit").transformWithStateInPandas(
