@@ -21,7 +21,9 @@ from folioscope.sources.files import read_files
 
 def pdf_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as single-page OCR JSON: lines, confidence and chunks per document."""
-    pages = F.array(F.struct(F.lit(1).alias("page"), "lines"))
+    # Confidences in 128ths have exact sums, so the mean does not depend on their order.
+    exact = F.transform("lines", lambda x: x.withField("confidence", F.round(x["confidence"] * 100) / 128.0))
+    pages = F.array(F.struct(F.lit(1).alias("page"), exact.alias("lines")))
     docs = ocr_documents(spark, sf_dir).select("doc_id", F.to_json(F.struct(pages.alias("pages"))).alias("raw"))
     out = jobs.pdf_job(docs)
     n_lines = out["lines"].groupBy("doc_id").agg(F.count("*").alias("n_lines"))
@@ -100,7 +102,7 @@ ORACLES = {
 sized AS (SELECT doc_id AS key, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS i, text FROM tidy WHERE text <> ''),
 """ + pack_sql(1200, 3) + """,
 sizes AS (SELECT key, len(chunks) AS n_chunks, CAST(list_sum(list_transform(chunks, lambda c: length(c))) AS BIGINT) AS chunk_chars FROM packed)
-SELECT doc_id, round(avg(confidence), 6) AS confidence_score, count(*) AS n_lines, any_value(n_chunks) AS n_chunks, any_value(chunk_chars) AS chunk_chars
+SELECT doc_id, round(avg(round(confidence * 100) / 128.0e0), 6) AS confidence_score, count(*) AS n_lines, any_value(n_chunks) AS n_chunks, any_value(chunk_chars) AS chunk_chars
 FROM lines JOIN sizes ON key = doc_id GROUP BY 1""",
     "damage_job": "WITH RECURSIVE " + CLAIM_VIEWS_SQL + ", " + DETECTIONS_SQL + f""",
 good AS (SELECT * FROM claim_views WHERE car_prob >= 0.65 AND prob_damaged >= 0.5),

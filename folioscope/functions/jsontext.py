@@ -74,6 +74,10 @@ def json_sections(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_sections(r) for r in raw], columns=["document_type", "sections", "error"])
 
 
+# Keeps inferred filters above the call: pushed below it they would copy the whole input expression.
+json_sections = json_sections.asNondeterministic()
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def flatten_json(raw: pd.Series) -> pd.Series:
     """``path: value`` lines in key order; null for text that is no JSON."""

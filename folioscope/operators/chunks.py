@@ -57,12 +57,17 @@ def _metadata(page: Column, index: Column, kind: Column) -> Column:
 
 def chunk_pages(pages: DataFrame, source: Column, page: Column, texts: Column,
                 max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks of typed page rows; JVM only, no shuffle."""
+    """Chunks of typed page rows; JVM only, no shuffle.
+
+    The outer explode with a check afterwards keeps Spark from packing twice, once more for
+    an inferred filter on empty arrays.
+    """
     tidy = F.filter(F.transform(texts, collapse_ws), lambda t: t != "")
     kind = F.lit("ocr_pages")
     return (
         pages.select(source.alias("source_file"), page.alias("_page"), tidy.alias("_lines"))
-        .select("source_file", "_page", F.posexplode(chunk_lines(F.col("_lines"), max_chars, overlap)).alias("_i", "text"))
+        .select("source_file", "_page", F.posexplode_outer(chunk_lines(F.col("_lines"), max_chars, overlap)).alias("_i", "text"))
+        .where(F.col("text").isNotNull())
         .withColumn("_i", F.col("_i") + 1)
         .select(
             "source_file", kind.alias("document_type"),
@@ -78,7 +83,7 @@ def rag_chunks(docs: DataFrame, source: str = "source_file", raw: str = "raw",
     JSON becomes path lines without overlap. Python only parses; packing stays in the JVM."""
     sections = (
         docs.select(F.col(source).alias("source_file"), json_sections(F.col(raw)).alias("_s"))
-        .select("source_file", F.col("_s.document_type").alias("document_type"), F.explode("_s.sections").alias("_p"))
+        .select("source_file", F.col("_s.document_type").alias("document_type"), F.explode_outer("_s.sections").alias("_p"))
     )
     paged = F.col("document_type") == "ocr_pages"
     packed = F.when(paged, chunk_lines(F.col("_p.lines"), max_chars, overlap)).otherwise(
@@ -86,7 +91,8 @@ def rag_chunks(docs: DataFrame, source: str = "source_file", raw: str = "raw",
     )
     page = F.coalesce(F.col("_p.page"), F.lit("None"))
     return (
-        sections.select("source_file", "document_type", "_p", F.posexplode(packed).alias("_i", "text"))
+        sections.select("source_file", "document_type", "_p", F.posexplode_outer(packed).alias("_i", "text"))
+        .where(F.col("text").isNotNull())
         .withColumn("_i", F.col("_i") + 1)
         .select(
             "source_file", "document_type",

@@ -42,8 +42,8 @@ def flatten_lines(docs: DataFrame, key: str | Sequence[str] = "doc_id") -> DataF
     page = F.col("page") if "page" in have else F.lit(None).cast("int")
     lines = F.col("lines") if "lines" in have else F.lit(None).cast(f"array<{LINE}>")
     return (
-        docs.select(*keys, F.explode(_all_pages(pages, page, lines)).alias("_page"))
-        .select(*keys, F.col("_page.page").alias("page"), F.posexplode("_page.lines").alias("_pos", "_line"))
+        docs.select(*keys, F.explode_outer(_all_pages(pages, page, lines)).alias("_page"))
+        .select(*keys, F.col("_page.page").alias("page"), F.posexplode_outer("_page.lines").alias("_pos", "_line"))
         .where(F.col("_line").isNotNull())
         .select(
             *keys, "page", (F.col("_pos") + 1).alias("line_index"),

@@ -240,15 +240,20 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     return _rates(counts)
 
 
-def quality_report(samples: DataFrame, by: Sequence[str], payload: str = "payload",
-                   accept: float = AUTO_ACCEPT, reject: float = REJECT_BELOW) -> dict[str, DataFrame]:
-    """Parsed responses, review decisions and every summary of a sample table."""
-    parsed = response_metrics(samples, payload).withColumn("hitl_decision", hitl(F.col("confidence_score"), accept, reject))
+def parse_samples(samples: DataFrame, payload: str = "payload", accept: float = AUTO_ACCEPT,
+                  reject: float = REJECT_BELOW) -> DataFrame:
+    """Response fields and the review decision of every sample."""
+    parsed = response_metrics(samples, payload)
+    return parsed.withColumn("hitl_decision", hitl(F.col("confidence_score"), accept, reject))
+
+
+def summaries(parsed: DataFrame, by: Sequence[str], ts: str = "ts") -> dict[str, DataFrame]:
+    """Every summary of a parsed sample table."""
     return {
         "samples": parsed,
         "success": success_rate(parsed, by),
         "latency": latency_summary(parsed, by, "elapsed_ms"),
         "confidence": latency_summary(parsed, by, "confidence_score"),
         "decisions": category_counts(parsed, "hitl_decision", by),
-        "throughput": throughput(parsed, by),
+        "throughput": throughput(parsed, by, ts),
     }

@@ -262,7 +262,7 @@ def annotate_lines(docs: DataFrame, lines: str = "lines", record: str = "record"
     values = F.array(*[known(n, name) for n, name in enumerate(rules.FIELD_LABELS_AR)])
     staged = (
         docs.select(key, lines, F.filter(values, lambda v: v["key"] != "").alias("_values"))
-        .select(key, "_values", F.posexplode(lines).alias("_pos", "text"))
+        .select(key, "_values", F.posexplode_outer(lines).alias("_pos", "text"))
         .withColumn("_key", squeeze_key(normalize_text(F.col("text"))))
         .where(F.col("_key") != "")
         .withColumn("_digits", F.nullif(_digits(F.col("_key")), F.lit("")))

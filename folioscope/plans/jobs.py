@@ -13,6 +13,7 @@ from folioscope.functions.text import normalize_text, text_preview
 from folioscope.operators import claims, detections, lines, quality, records, routing, translate
 from folioscope.operators.chunks import rag_chunks
 from folioscope.rules import CAR_THRESHOLD, DAMAGE_THRESHOLD
+from folioscope.session import cut_lineage
 from folioscope.sources import files as src
 
 
@@ -28,27 +29,29 @@ def pdf_job(docs: DataFrame, key: str = "doc_id", raw: str = "raw") -> dict[str,
     }
 
 
-def ordered_texts(boxes: DataFrame, column: str, min_conf: float, rtl: bool, key: str = "doc_id") -> DataFrame:
-    """Reading order, confidence filter and normalisation, back as one text array per row.
+# Fixed value: a private-use character that separates lines inside one joined text.
+LINE_MARK = "\ue000"
 
-    The whole page crosses to Python as one joined text, so no line is regrouped.
-    """
-    ordered = lines.reading_order(F.col(column), rtl)
-    texts = F.transform(F.filter(ordered, lambda b: b["confidence"] >= min_conf), lambda b: b["text"])
-    return boxes.withColumn(column, normalize_lines(texts))
 
+def ordered_texts(boxes: DataFrame, column: str, min_conf: float, rtl: bool) -> DataFrame:
+    """Line boxes to one array of normalised texts per row, in reading order.
 
-def normalize_lines(texts):
-    """Normalise an array of lines; the separator is a private-use character."""
-    mark = ""
-    joined = normalize_text(F.array_join(F.transform(texts, lambda t: F.replace(t, F.lit(mark), F.lit(""))), mark))
-    return F.filter(F.transform(F.split(joined, mark), lambda t: F.trim(t)), lambda t: t != "")
+    A row's lines cross to Python joined as one text, so no line is exploded and regrouped.
+    """
+    kept = F.filter(lines.reading_order(F.col(column), rtl), lambda b: b["confidence"] >= min_conf)
+    joined = F.array_join(F.transform(kept, lambda b: F.replace(b["text"], F.lit(LINE_MARK), F.lit(""))), LINE_MARK)
+    parts = F.transform(F.split("_joined", LINE_MARK), lambda t: F.trim(t))
+    return (
+        boxes.withColumn("_raw", joined).withColumn("_joined", normalize_text(F.col("_raw")))
+        .withColumn(column, F.filter(parts, lambda t: t != "")).drop("_raw", "_joined")
+    )
 
 
 def record_job(docs: DataFrame, key: str = "doc_id", lang: str = "lang") -> dict[str, DataFrame]:
     """Card text lines (with auxiliary lines) to records, notes, translations and chunks."""
     extracted = records.with_fallback(docs, "lines", "aux_lines", lang)
-    noted = extracted.withColumn("validation_notes", records.validation_notes(F.col("record")))
+    # Three outputs read the records: materialise them once instead of extracting three times.
+    noted = cut_lineage(extracted.withColumn("validation_notes", records.validation_notes(F.col("record"))))
     payload = F.to_json(
         F.struct("record.*", "validation_notes", F.struct(F.col(lang), "auxiliary_ocr_lang").alias("source")),
         {"ignoreNullFields": "false"},
@@ -98,8 +101,12 @@ def general_entries(views: DataFrame) -> DataFrame:
 
 
 def quality_job(samples: DataFrame, by: Sequence[str], order: Sequence[str], warmup: int = 1) -> dict[str, DataFrame]:
-    """Drop warm-up runs, then the full quality report."""
-    return quality.quality_report(quality.drop_warmup(samples, by, order, warmup), by)
+    """Drop warm-up runs, parse the responses once, then summarise the narrow table."""
+    measured = quality.drop_warmup(samples, by, order, warmup)
+    parsed = quality.parse_samples(measured).select(
+        *by, *order, "ok", "elapsed_ms", "confidence_score", "classification_label", "is_car", "damage_detected", "hitl_decision"
+    )
+    return quality.summaries(cut_lineage(parsed), by, ts=order[0])
 
 
 def file_job(files: DataFrame) -> dict[str, DataFrame]:
