@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from folioscope.catalog.routing import COLLAPSED, FRAMED_SQL, REGION_CASE, SEVERITY_CASE
 from folioscope.catalog.sources import CLASS_LIST, PARTS_VALUES, REMAP_VALUES, REPAIR_VALUES
 from folioscope.catalog.views import (
-    CARD_FIELDS_SQL, CARDS_SQL, CLAIM_VIEWS_SQL, DETECTIONS_SQL, cards, claim_views, detections, table, with_sql,
+    CARD_FIELDS_SQL, CARDS_SQL, CLAIM_VIEWS_SQL, DETECTIONS_SQL, cards, claim_views, detections, documents, table, with_sql,
 )
 from folioscope.functions.text import collapse_ws
 from folioscope.operators import claims as ops
 from folioscope.operators import detections as det
 from folioscope.operators import translate as tr
+from folioscope.operators.dimensions import translations
 from folioscope.operators.quality import join_truth
 from folioscope.operators.records import annotate_lines as annotate
 from folioscope.operators.records import extract_record
@@ -51,15 +52,13 @@ def car_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def translate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from folioscope.operators.dimensions import translations
-
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "[ \n]")).alias("token"))
+    tokens = documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", "[ \n]")).alias("token"))
     hits = tr.translate_exact(tokens, "token", F.broadcast(translations(spark, WORDS)))  # 8 fixed rows
     return hits.groupBy("translation").agg(F.count("*").alias("n")).select(F.coalesce("translation", F.lit("-")).alias("translation"), "n")
 
 
 def translate_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tr.translate(F.col("text"), WORDS).alias("translation"))
+    return documents(spark, sf_dir).select("doc_id", tr.translate(F.col("text"), WORDS).alias("translation"))
 
 
 def annotate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from folioscope.catalog.joins import nms_sql
 from folioscope.catalog.routing import COLLAPSED
 from folioscope.catalog.sources import page_chunks
 from folioscope.catalog.views import (
-    CARDS_SQL, DETECTIONS_SQL, LINES_SQL, PAGE_LINES_SQL, REQUESTS_SQL, cards, detections, ocr_documents, ocr_pages,
+    CARDS_SQL, DETECTIONS_SQL, LINES_SQL, PAGE_LINES_SQL, REQUESTS_SQL, cards, detections, documents, ocr_documents, ocr_pages,
     requests, table, with_sql,
 )
 from folioscope.functions.text import ordered_distinct as distinct_in_order
@@ -109,7 +109,7 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("conv-"), F.col("doc_id").cast("string"), F.lit(".json")).alias("source_file"),
         F.to_json(F.struct(F.array(F.struct("page", "lines")).alias("pages"))).alias("raw"),
     )
-    records = table(spark, sf_dir, "documents").select(
+    records = documents(spark, sf_dir).select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".json")).alias("source_file"),
         F.to_json(F.struct("lang", "source", F.split("text", "\n").alias("lines"))).alias("raw"),
     )

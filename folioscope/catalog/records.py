@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.catalog.views import CARD_FIELDS_SQL, CARDS_SQL, cards, ocr_documents, table, with_sql
+from folioscope.catalog.views import CARD_FIELDS_SQL, CARDS_SQL, cards, documents, ocr_documents, table, with_sql
 from folioscope.operators import records as ops
 from folioscope.operators.translate import translate, translate_record as translate_fields
 from folioscope.rules import ARABIC_ENGLISH, AUXILIARY_NOTE, EXTRACT_NOTE, FIELD_LABELS_EN, RECORD_FIELDS
-from folioscope.session import spread
 
 TEXT_FIELDS = ("plate_number", "plate_text", "vehicle_type", "make", "model", "color", "vin_or_chassis", "engine_number", "issue_date", "expiry_date")
 NUMBER_FIELDS = ("year", "model_year", "engine_cc", "empty_weight_kg", "max_load_kg", "seats")
@@ -39,12 +38,11 @@ def extract_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_vin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", ops.extract_vin(F.col("text")).alias("vin"))
+    return documents(spark, sf_dir).select("doc_id", ops.extract_vin(F.col("text")).alias("vin"))
 
 
 def documents_as_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(ocr_documents(spark, sf_dir)).select("doc_id", F.col("lines")["text"].alias("lines"))
+    docs = ocr_documents(spark, sf_dir).select("doc_id", F.col("lines")["text"].alias("lines"))
     return _fields(ops.extract_record(docs))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.catalog.routing import COLLAPSED, SPACE_RE
-from folioscope.catalog.views import CARDS_SQL, DETECTIONS_SQL, cards, detections, table, with_sql
+from folioscope.catalog.views import CARDS_SQL, DETECTIONS_SQL, cards, detections, documents, table, with_sql
 from folioscope.functions import jsontext as js
 from folioscope.functions import scores as sc
 from folioscope.functions import text as tx
@@ -14,29 +14,25 @@ from folioscope.functions.binding import let
 from folioscope.rules import DAMAGE_CLASSES, DIGIT_ALLOWLIST, LETTER_ALLOWLIST
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
-
-
 def collapse_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", tx.collapse_ws(F.concat(F.lit("\u00a0\t"), "text", F.lit(" \u2003"))).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", tx.collapse_ws(F.concat(F.lit("\u00a0\t"), "text", F.lit(" \u2003"))).alias("text"))
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     dressed = F.concat(F.lit("\u200f\ufb01\uff21 "), "text", F.lit(" \u0640\u202b\u2460"))
-    return _docs(spark, sf_dir).select("doc_id", tx.normalize_text(dressed).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", tx.normalize_text(dressed).alias("text"))
 
 
 def ascii_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars").cast("string")
     eastern = F.translate(n, "0123456789", tx.EASTERN_DIGITS[:10])
     persian = F.translate(n, "0123456789", tx.EASTERN_DIGITS[10:])
-    return _docs(spark, sf_dir).select("doc_id", tx.ascii_digits(F.concat_ws("-", eastern, persian, n)).alias("digits"))
+    return documents(spark, sf_dir).select("doc_id", tx.ascii_digits(F.concat_ws("-", eastern, persian, n)).alias("digits"))
 
 
 def has_arabic(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\ufe8e"))).otherwise(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", tx.has_arabic(marked).alias("arabic"))
+    return documents(spark, sf_dir).select("doc_id", tx.has_arabic(marked).alias("arabic"))
 
 
 def fix_reversed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +41,12 @@ def fix_reversed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_key_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.md5(tx.field_key_text(F.col("text"))).alias("key_md5"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(tx.field_key_text(F.col("text"))).alias("key_md5"))
 
 
 def clean_plate(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = F.explode(F.split("text", "[ \n]")).alias("token")
-    words = _docs(spark, sf_dir).select("doc_id", "n_chars", token).withColumn("token", F.concat("token", F.col("n_chars").cast("string")))
+    words = documents(spark, sf_dir).select("doc_id", "n_chars", token).withColumn("token", F.concat("token", F.col("n_chars").cast("string")))
     t = F.col("token")
     cleaned = words.select(tx.clean_plate(t).alias("plate"), tx.clean_plate(t, DIGIT_ALLOWLIST).alias("digits"), tx.clean_plate(t, LETTER_ALLOWLIST).alias("letters"))
     return cleaned.groupBy("plate", "digits", "letters").agg(F.count("*").alias("n"))
@@ -58,7 +54,7 @@ def clean_plate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numeric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = F.concat("text", F.lit(" 12345678 2019/01/02 00120034 "), F.col("doc_id").cast("string"))
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(tx.numeric_tokens(dated).cast("array<string>"), ",").alias("numbers"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(tx.numeric_tokens(dated).cast("array<string>"), ",").alias("numbers"))
 
 
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +73,7 @@ def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coerce_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("n°"), F.col("n_chars").cast("string"), F.lit("x "), F.col("doc_id").cast("string"), F.lit(" "), F.col("text"))
-    return _docs(spark, sf_dir).select(
+    return documents(spark, sf_dir).select(
         "doc_id", tx.coerce_int(text).alias("first"), F.coalesce(tx.coerce_int(text, 100, 500), F.lit(-1)).alias("bounded"),
         F.coalesce(tx.coerce_year(F.concat(F.lit("year "), (F.col("doc_id") + 1700).cast("string"))), F.lit(-1)).alias("year"),
     )
@@ -104,7 +100,7 @@ def json_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(F.col("doc_id") % 2 == 0, F.col("text").cast("binary")).otherwise(F.concat(F.unhex(F.lit("FF")), F.col("text").cast("binary")))
-    return _docs(spark, sf_dir).select("doc_id", tx.text_preview(content).alias("p")).select("doc_id", "p.*")
+    return documents(spark, sf_dir).select("doc_id", tx.text_preview(content).alias("p")).select("doc_id", "p.*")
 
 
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +133,7 @@ def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def safe_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("FF41"))).otherwise(F.unhex(F.lit("42"))))
-    return _docs(spark, sf_dir).select("doc_id", tx.safe_utf8(raw).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", tx.safe_utf8(raw).alias("text"))
 
 
 def collect_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document table, shared over all cores when the file has too few splits."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
 # Boxes: image = order, one box per line item, in a 640 pixel frame.
 DETECTIONS_SQL = """detections AS (
   SELECT l_orderkey AS image_id,
@@ -93,7 +98,7 @@ def ocr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda t, i: F.struct(
         t.alias("text"), (((F.col("doc_id") * 31 + (i + 1) * 17) % 101) / 100.0).alias("confidence")
     )
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", "lang", F.transform(F.split("text", "\n"), line).alias("lines")
     )
 

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from folioscope.functions.binding import let
 from folioscope.rules import ARABIC_CLASS, DATE_PATTERN, SPACE_CLASS
 
-SPACES = f"[{SPACE_CLASS}]+"
+# A whitespace run that is not already one plain space.
+SPACES = rf"(?:[\t-\r\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]|\x20(?=[{SPACE_CLASS}]))[{SPACE_CLASS}]*"
 EDGE_SPACES = rf"\A[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z"
 EASTERN_DIGITS = "".join(chr(c) for c in [*range(0x0660, 0x066A), *range(0x06F0, 0x06FA)])
 LINE_BREAKS = r"[\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"

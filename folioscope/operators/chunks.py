@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.binding import let
 from folioscope.functions.jsontext import json_sections
 from folioscope.functions.text import collapse_ws, strip
 from folioscope.rules import CHUNK_CHARS, CHUNK_OVERLAP
@@ -46,9 +47,13 @@ def chunk_lines(lines: Column, max_chars: int = CHUNK_CHARS, overlap: int = CHUN
         last = F.array(F.struct(acc["begin"].alias("lo"), (acc["next"] - 1).alias("hi")))
         return F.when(acc["next"] > acc["begin"], F.concat(acc["cuts"], last)).otherwise(acc["cuts"])
 
-    cuts = F.aggregate(used, start, step, close)
-    texts = F.transform(cuts, lambda c: strip(F.array_join(F.slice(used, c["lo"], c["hi"] - c["lo"] + 1), "\n")))
-    return F.filter(texts, lambda t: t != "")
+    def slices(kept: Column) -> Column:
+        return F.transform(
+            F.aggregate(kept, start, step, close),
+            lambda c: strip(F.array_join(F.slice(kept, c["lo"], c["hi"] - c["lo"] + 1), "\n")),
+        )
+
+    return F.filter(let(used, slices), lambda t: t != "")
 
 
 def _metadata(page: Column, index: Column, kind: Column) -> Column:

@@ -61,6 +61,25 @@ def confident_lines(lines: DataFrame, min_conf: float = 0.5) -> DataFrame:
     )
 
 
+# Fixed value: a private-use character that separates lines inside one joined text.
+LINE_MARK = "\ue000"
+
+
+def normalized_lines(df: DataFrame, texts: Column, out: str) -> DataFrame:
+    """Add an array with the normalised form of every text, positions kept.
+
+    A row's lines cross to Python joined as one text, so nothing is exploded and regrouped.
+    """
+    marked = F.transform(texts, lambda t: F.replace(F.coalesce(t, F.lit("")), F.lit(LINE_MARK), F.lit("")))
+    parts = F.transform(F.split("_norm", LINE_MARK), lambda t: F.trim(t))
+    empty = F.array().cast("array<string>")
+    return (
+        df.withColumn("_raw", F.array_join(marked, LINE_MARK)).withColumn("_norm", normalize_text(F.col("_raw")))
+        .withColumn("_n", F.size(texts)).withColumn(out, F.when(F.col("_n") > 0, parts).otherwise(empty))
+        .drop("_raw", "_norm", "_n")
+    )
+
+
 def confident_texts(lines: Column, min_conf: float = 0.5) -> Column:
     """Array form of the confidence filter: texts of the kept line structs, in order."""
     kept = F.filter(lines, lambda x: x["confidence"] >= min_conf)

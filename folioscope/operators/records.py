@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from folioscope import rules
 from folioscope.functions.binding import let
 from folioscope.functions.text import (
-    ascii_digits, coerce_int, date_strings, issue_expiry, numeric_tokens, squeeze_key, normalize_text,
+    ascii_digits, coerce_int, date_strings, issue_expiry, numeric_tokens, squeeze_key,
+)
+from folioscope.operators.lines import (
+    any_label, first_index, normalized_lines, number_near, value_after, window_around,
 )
-from folioscope.operators.lines import any_label, first_index, number_near, value_after, window_around
 
 _ARTIFACT = "|".join(rules.VIN_ARTIFACTS)
 _CHUNKED_RUNS = rf"(?:[A-Za-z0-9]{{2,}}+[{rules.SPACE_CLASS}\-]*+)++"
@@ -260,26 +262,36 @@ def annotate_lines(docs: DataFrame, lines: str = "lines", record: str = "record"
         ))
 
     values = F.array(*[known(n, name) for n, name in enumerate(rules.FIELD_LABELS_AR)])
+    keyed = F.transform("_norm_lines", lambda t: let(squeeze_key(t), lambda k: F.struct(
+        k.alias("key"), F.nullif(_digits(k), F.lit("")).alias("digits")
+    )))
     staged = (
-        docs.select(key, lines, F.filter(values, lambda v: v["key"] != "").alias("_values"))
-        .select(key, "_values", F.posexplode_outer(lines).alias("_pos", "text"))
-        .withColumn("_key", squeeze_key(normalize_text(F.col("text"))))
-        .where(F.col("_key") != "")
-        .withColumn("_digits", F.nullif(_digits(F.col("_key")), F.lit("")))
+        normalized_lines(docs.select(key, lines, record), F.col(lines), "_norm_lines")
+        .withColumn("_values", F.filter(values, lambda v: v["key"] != ""))
+        .withColumn("_keys", keyed)
     )
 
-    def candidate(v: Column) -> Column:
-        decisive = (v["key"] == F.col("_key")) | F.coalesce(v["digits"] == F.col("_digits"), F.lit(False))
-        partial = F.col("_key").contains(v["key"]) | v["key"].contains(F.col("_key"))
-        rank = F.when(decisive, F.struct(F.lit(0).alias("tier"), F.lit(0).alias("shortness"))).when(
-            partial, F.struct(F.lit(1).alias("tier"), (-F.length(v["key"])).alias("shortness"))
-        )
-        return F.struct(rank.alias("rank"), v["order"].alias("order"), v["field"].alias("field"), v["label"].alias("label"))
+    def best(line: Column) -> Column:
+        def decisive(v: Column) -> Column:
+            return (v["key"] == line["key"]) | F.coalesce(v["digits"] == line["digits"], F.lit(False))
+
+        def shown(v: Column) -> Column:
+            return line["key"].contains(v["key"]) | v["key"].contains(line["key"]) | decisive(v)
 
-    best = F.array_min(F.filter(F.transform("_values", candidate), lambda c: c["rank"].isNotNull()))
+        def candidate(v: Column) -> Column:
+            rank = F.when(decisive(v), F.struct(F.lit(0).alias("tier"), F.lit(0).alias("shortness"))).otherwise(
+                F.struct(F.lit(1).alias("tier"), (-F.length(v["key"])).alias("shortness"))
+            )
+            return F.struct(rank.alias("rank"), v["order"].alias("order"), v["field"].alias("field"), v["label"].alias("label"))
+
+        return F.when(line["key"] != "", F.array_min(F.transform(F.filter("_values", shown), candidate)))
+
+    found = F.transform("_keys", lambda line, i: F.struct(
+        (i + 1).alias("line_index"), F.get(F.col(lines), i).alias("text"), best(line).alias("best")
+    ))
     return (
-        staged.withColumn("_best", best).where(F.col("_best").isNotNull())
-        .select(key, (F.col("_pos") + 1).alias("line_index"), "text", F.col("_best.field").alias("field"), F.col("_best.label").alias("label"))
+        staged.select(key, F.explode_outer(found).alias("_m")).where(F.col("_m.best").isNotNull())
+        .select(key, "_m.line_index", "_m.text", F.col("_m.best.field").alias("field"), F.col("_m.best.label").alias("label"))
     )
 
 

@@ -9,6 +9,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.binding import let
 from folioscope.functions.text import collapse_ws
 from folioscope.rules import ARABIC_ENGLISH, FIELD_LABELS_EN, RECORD_FIELDS
 
@@ -36,14 +37,14 @@ def translate(c: Column, pairs: dict[str, str] | None = None) -> Column:
     Text without the first letter of any source skips the replacement chain.
     """
     pairs = ARABIC_ENGLISH if pairs is None else pairs
-    tidy = collapse_ws(c)
-    exact = F.element_at(F.create_map(*[F.lit(x) for x in chain(*pairs.items())]), tidy)
-    replaced = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), _longest_first(pairs), tidy)
     heads = "".join(re.escape(h) for h in sorted({source[0] for source in pairs}))
-    # Only an untouched text can skip the chain: a replacement may create a new source.
-    return F.when(c.isNull(), None).otherwise(
-        F.when(~tidy.rlike(f"[{heads}]"), tidy).otherwise(F.coalesce(exact, replaced))
-    )
+    whole = F.create_map(*[F.lit(x) for x in chain(*pairs.items())])
+
+    def apply(tidy: Column) -> Column:
+        replaced = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), _longest_first(pairs), tidy)
+        return F.when(~tidy.rlike(f"[{heads}]"), tidy).otherwise(F.coalesce(F.element_at(whole, tidy), replaced))
+
+    return F.when(c.isNotNull(), let(collapse_ws(c), apply))
 
 
 def translate_record(record: Column, pairs: dict[str, str] | None = None) -> Column:

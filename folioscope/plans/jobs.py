@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import jsontext as js
 from folioscope.functions.scores import damage_prediction
-from folioscope.functions.text import normalize_text, text_preview
+from folioscope.functions.text import text_preview
 from folioscope.operators import claims, detections, lines, quality, records, routing, translate
 from folioscope.operators.chunks import rag_chunks
 from folioscope.rules import CAR_THRESHOLD, DAMAGE_THRESHOLD
@@ -29,22 +29,13 @@ def pdf_job(docs: DataFrame, key: str = "doc_id", raw: str = "raw") -> dict[str,
     }
 
 
-# Fixed value: a private-use character that separates lines inside one joined text.
-LINE_MARK = "\ue000"
-
-
 def ordered_texts(boxes: DataFrame, column: str, min_conf: float, rtl: bool) -> DataFrame:
-    """Line boxes to one array of normalised texts per row, in reading order.
-
-    A row's lines cross to Python joined as one text, so no line is exploded and regrouped.
-    """
+    """Line boxes to one array of normalised, non-blank texts per row, in reading order."""
     kept = F.filter(lines.reading_order(F.col(column), rtl), lambda b: b["confidence"] >= min_conf)
-    joined = F.array_join(F.transform(kept, lambda b: F.replace(b["text"], F.lit(LINE_MARK), F.lit(""))), LINE_MARK)
-    parts = F.transform(F.split("_joined", LINE_MARK), lambda t: F.trim(t))
-    return (
-        boxes.withColumn("_raw", joined).withColumn("_joined", normalize_text(F.col("_raw")))
-        .withColumn(column, F.filter(parts, lambda t: t != "")).drop("_raw", "_joined")
-    )
+    staged = boxes.withColumn("_texts", F.transform(kept, lambda b: b["text"]))
+    return lines.normalized_lines(staged, F.col("_texts"), column).withColumn(
+        column, F.filter(column, lambda t: t != "")
+    ).drop("_texts")
 
 
 def record_job(docs: DataFrame, key: str = "doc_id", lang: str = "lang") -> dict[str, DataFrame]:
