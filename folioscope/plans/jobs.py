@@ -103,13 +103,12 @@ def quality_job(samples: DataFrame, by: Sequence[str], order: Sequence[str], war
 def file_job(files: DataFrame) -> dict[str, DataFrame]:
     """Inspect files: category, details by category, and chunks of the JSON summary.
 
-    Every branch filters on the category before it asks for content, so a file's bytes are
-    read by the one branch that needs them.
+    Telling archives from other binaries takes the end of a file, so this job reads content;
+    the inventory and categories by name alone come from file_inventory and categorize.
     """
-    zipped = F.col("extension").isNull() & src.has_zip_magic(F.col("content"))
     typed = routing.categorize(
         files.withColumn("filename", routing.base_name(F.col("path"))).withColumn("extension", routing.suffix_of(F.col("filename")))
-        .withColumn("mime_type", routing.media_type(F.col("filename"))).withColumn("_zip", zipped), "_zip",
+        .withColumn("mime_type", routing.media_type(F.col("filename"))).withColumn("_zip", src.is_zip(F.col("content"))), "_zip",
     ).drop("_zip")
     text = typed.where(F.col("category") == "text").select("path", text_preview(F.col("content")).alias("p")).select("path", "p.*")
     json = typed.where(F.col("category") == "json").select("path", js.json_profile(F.col("content").cast("string")).alias("p")).select("path", "p.*")

@@ -150,5 +150,6 @@ def archive_listing(files: DataFrame, n: int = 30) -> DataFrame:
     )
 
 
-def has_zip_magic(content: Column) -> Column:
-    return F.substring(content, 1, 4).isin(F.unhex(F.lit("504B0304")), F.unhex(F.lit("504B0506")))
+def is_zip(content: Column) -> Column:
+    """An end-of-archive record within the last 64 KiB and its own length."""
+    return F.contains(F.substring(content, -65557, 65557), F.unhex(F.lit("504B0506")))

@@ -168,6 +168,7 @@ def folder(tmp_path):
     with zipfile.ZipFile(tmp_path / "long.zip", "w") as z:
         for i in range(9000):
             z.writestr(f"{'n' * 60}{i}", "")
+    (tmp_path / "hidden.bin").write_bytes((tmp_path / "z.zip").read_bytes())
     (tmp_path / "broken.docx").write_bytes(b"nope")
     (tmp_path / "a.json").write_text('{"k": [1, 2]}')
     (tmp_path / "sub" / "b.JSON").write_text("[]")
@@ -197,7 +198,7 @@ def test_json_corpus_takes_each_file_once(spark, folder):
 def test_file_job(spark, folder):
     out = file_job(src.read_files(spark, str(folder)))
     kinds = {r.filename: r.category for r in out["inventory"].collect()}
-    assert kinds["pic.png"] == "image" and kinds["t.tsv"] == "text" and kinds["z.zip"] == "archive" and kinds["a.json"] == "json"
+    assert kinds["pic.png"] == "image" and kinds["t.tsv"] == "text" and kinds["z.zip"] == "archive" and kinds["hidden.bin"] == "archive" and kinds["a.json"] == "json"
     assert {r.path.rsplit("/", 1)[1] for r in out["json"].collect()} == {"a.json", "b.JSON"}
     assert out["chunks"].count() == len(kinds)
 
