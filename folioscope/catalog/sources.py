@@ -153,7 +153,7 @@ FROM (SELECT {CLASS_LIST}[class_id + 1] AS type, count(*) AS n_boxes FROM detect
 JOIN (SELECT a AS type, count(*) AS n_parts_rules, CAST(sum(len(c)) AS BIGINT) AS n_parts FROM {PARTS_VALUES} v(a, b, c) GROUP BY 1) p USING (type)
 JOIN (SELECT a AS type, count(*) FILTER (WHERE d) AS n_replace FROM {REPAIR_VALUES} v(a, b, c, d) GROUP BY 1) r USING (type)""",
     "image_metadata": """
-SELECT CASE WHEN label % 2 = 0 THEN 8 ELSE 4 END AS width, 8 AS height, 'RGB' AS mode, count(*) AS images, 0 AS errors
+SELECT CASE WHEN label % 2 = 0 THEN 8 ELSE 4 END AS width, 8 AS height, 'RGB' AS mode, count(*) AS images, CAST(0 AS BIGINT) AS errors
 FROM embeddings GROUP BY 1""",
     "tabular_preview": """
 SELECT CAST(c_custkey % 16 AS INT) AS bucket, CAST(row_number() OVER (PARTITION BY c_custkey % 16 ORDER BY c_custkey) AS INT) AS row_no,
