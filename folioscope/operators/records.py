@@ -21,6 +21,8 @@ from folioscope.operators.lines import (
 _ARTIFACT = "|".join(rules.VIN_ARTIFACTS)
 _CHUNKED_RUNS = rf"(?:[A-Za-z0-9]{{2,}}+[{rules.SPACE_CLASS}\-]*+)++"
 
+_RUN_GAPS = "-" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 
 def _first(values: Column) -> Column:
     return F.get(values, F.lit(0))
@@ -33,10 +35,10 @@ def extract_vin(text: Column) -> Column:
     letters and digits long and not made of header words. A 17-character run with letters
     and digits wins; then runs starting with a letter, the longest first.
     """
-    joined = F.transform(
-        F.regexp_extract_all(text, F.lit(_CHUNKED_RUNS), F.lit(0)),
-        lambda r: F.upper(F.regexp_replace(r, "[^A-Za-z0-9]", "")),
-    )
+    # Lengths are checked before any rewriting: most runs of prose are far too long or short.
+    runs = F.filter(F.regexp_extract_all(text, F.lit(_CHUNKED_RUNS), F.lit(0)), lambda r: F.length(r) >= 11)
+    squeezed = F.transform(runs, lambda r: F.translate(r, _RUN_GAPS, ""))
+    joined = F.transform(F.filter(squeezed, lambda c: F.length(c) <= 20), lambda c: F.upper(c))
     unbroken = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]{11,20}"), F.lit(0)), lambda r: F.upper(r))
 
     def usable(c: Column) -> Column:
