@@ -4,24 +4,63 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import decontamination
+from folioscope.llm import decontamination, quality_rules as rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
 QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+SQL_TEXT = {name: getattr(rules, name).replace("'", "''") for name in ("PUNCTUATION", "CLOSED", "SEPARATOR", "NAVIGATION", "BOILERPLATE")}
+
 ORACLES = {
+    "op7_quality_rules": rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+line AS (
+  SELECT rid, i, l, len(lw) AS n, rtrim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS r,
+         length(regexp_replace(l, '[^!-/:-@\[-`{{-~]', '', 'g')) AS marks, length(array_to_string(lw, '')) AS chars
+  FROM (SELECT rid, i, ls[i] AS l, {WORDS.format("ls[i]")} AS lw
+        FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM doc) AS t, unnest(range(1, len(ls) + 1)) AS u(i)) AS t),
+judged AS (
+  SELECT rid, n, row_number() OVER (PARTITION BY rid, l ORDER BY i) > 1 AS again,
+         (n > 3 AND 3 * marks > chars) OR (n < 3 AND NOT regexp_matches(r, '{SQL_TEXT["CLOSED"]}'))
+         OR len(regexp_extract_all(l, '{SQL_TEXT["SEPARATOR"]}')) >= 3
+         OR regexp_matches({LOWER.format("r")}, '{SQL_TEXT["NAVIGATION"]}')
+         OR regexp_matches({LOWER.format("l")}, '{SQL_TEXT["BOILERPLATE"]}') AS failed
+  FROM line WHERE n > 0),
+lines AS (
+  SELECT rid, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(n) FILTER (NOT failed), 0) AS n_kept_words,
+         count(*) FILTER (failed) AS n_removed_lines FROM judged GROUP BY rid),
+win AS (SELECT rid, s, w[s : s + 2] AS x FROM doc, unnest(range(1, len(w) - 1)) AS t(s)),
+twice AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY rid, x) AS n FROM win) AS t WHERE n > 1),
+again AS (SELECT rid, count(DISTINCT i) AS n_repeat_words FROM twice, unnest(range(s, s + 3)) AS t(i) GROUP BY rid),
+counts AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(n_kept_words, 0) AS BIGINT) AS n_kept_words,
+         coalesce(n_removed_lines, 0) AS n_removed_lines
+  FROM doc LEFT JOIN lines USING (rid) LEFT JOIN again USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_kept_words >= n_words AS kept
+FROM counts
+""",
     "op10_decontamination": rf"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
