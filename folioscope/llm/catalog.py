@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import decontamination, quality_rules as rules
+from folioscope.llm import decontamination, substring_dedup
+from folioscope.llm import quality_rules as rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -20,6 +27,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
@@ -30,6 +38,17 @@ WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 SQL_TEXT = {name: getattr(rules, name).replace("'", "''") for name in ("PUNCTUATION", "CLOSED", "SEPARATOR", "NAVIGATION", "BOILERPLATE")}
 
 ORACLES = {
+    "op4_substring_dedup": rf"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT rid, s, md5(array_to_string(w[s : s + 34], ' ')) AS x FROM doc, unnest(range(1, len(w) - 33)) AS t(s)),
+twice AS (SELECT x FROM win GROUP BY x HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT rid, i FROM (SELECT rid, s FROM win WHERE x IN (SELECT x FROM twice)) AS r, unnest(range(s, s + 35)) AS t(i)),
+word AS (SELECT rid, i, w[i] AS x FROM doc, unnest(range(1, len(w) + 1)) AS t(i)),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS x FROM word ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (rid)
+""",
     "op7_quality_rules": rf"""
 WITH doc AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
