@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontamination, substring_dedup
+from folioscope.llm import decontamination, ngram_join, substring_dedup
 from folioscope.llm import quality_rules as rules
 
 
@@ -18,6 +18,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -28,6 +32,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_quality_rules": op7_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
@@ -48,6 +53,25 @@ word AS (SELECT rid, i, w[i] AS x FROM doc, unnest(range(1, len(w) + 1)) AS t(i)
 kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS x FROM word ANTI JOIN gone USING (rid, i) GROUP BY rid)
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256
 FROM doc LEFT JOIN kept USING (rid)
+""",
+    "op5_ngram_jaccard": rf"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT rid, md5(array_to_string(w[s : s + 2], ' ')) AS x FROM doc, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(s)
+  WHERE len(w) > 0),
+size AS (SELECT rid, count(*) AS n FROM shingle GROUP BY rid),
+overlap AS (
+  SELECT a.rid AS a, b.rid AS b, count(*) AS o FROM shingle AS a JOIN shingle AS b ON a.x = b.x AND a.rid <> b.rid GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM overlap JOIN size AS s ON s.rid = a JOIN size AS t ON t.rid = b WHERE 100 * o >= 90 * (s.n + t.n - o)),
+reach AS (
+  SELECT rid AS a, rid AS b FROM doc
+  UNION
+  SELECT r.a, l.b FROM reach AS r JOIN link AS l ON l.a = r.b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
+FROM doc AS d LEFT JOIN size AS s USING (rid)
+JOIN (SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN doc ON doc.rid = reach.b GROUP BY a) AS c USING (rid)
 """,
     "op7_quality_rules": rf"""
 WITH doc AS (
