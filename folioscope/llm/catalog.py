@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontamination, ngram_join, substring_dedup
+from folioscope.llm import decontamination, ngram_join, secrets, substring_dedup
 from folioscope.llm import quality_rules as rules
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -31,6 +35,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_quality_rules": op7_quality_rules,
@@ -42,7 +47,37 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 SQL_TEXT = {name: getattr(rules, name).replace("'", "''") for name in ("PUNCTUATION", "CLOSED", "SEPARATOR", "NAVIGATION", "BOILERPLATE")}
 
+
+
+def _secret_spans(number: int, rule: secrets.Rule) -> str:
+    """Passing spans of one rule; positions are sums over gaps and matches."""
+    pattern = rule.pattern.replace("(?i:password|passwd|secret|token|api_?key)", "|".join(
+        "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")))
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT rid, {number} AS kind, '{rule.kind}' AS name, pos AS start, pos + length(m) AS stop FROM (
+    SELECT rid, ms[i] AS m, gs[i] AS g, length(array_to_string(gaps[1:i], '')) + length(array_to_string(ms[1:i-1], '')) AS pos
+    FROM (SELECT rid, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS ms,
+                 regexp_extract_all(text, '{pattern}', {rule.group}) AS gs FROM doc) AS t, unnest(range(1, len(ms) + 1)) AS u(i))
+  WHERE length(g) >= {rule.least}"""
+
+
+_found = " UNION ALL".join(_secret_spans(i, r) for i, r in enumerate(secrets.RULES))
+_base = [i for i, r in enumerate(secrets.RULES) if r.base]
+
 ORACLES = {
+    "op2_secrets": f"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+span AS ({_found}),
+listed AS (
+  SELECT rid, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans,
+         string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind <= {max(_base)}) AS base,
+         {", ".join(f"count(*) FILTER (kind = {i}) AS n_{secrets.RULES[i].kind}" for i in _base)}
+  FROM span GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{secrets.RULES[i].kind}, 0) AS n_{secrets.RULES[i].kind}" for i in _base)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN listed USING (rid)
+""",
     "op4_substring_dedup": rf"""
 WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
 win AS (SELECT rid, s, md5(array_to_string(w[s : s + 34], ' ')) AS x FROM doc, unnest(range(1, len(w) - 33)) AS t(s)),
