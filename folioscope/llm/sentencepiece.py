@@ -122,7 +122,7 @@ class Model:
                 if piece not in ids and j < end - 1:
                     continue
                 if bpe:
-                    if j == settled or self.apart(text[back[j] : j], piece):
+                    if j == 0 or self.apart(text[back[j] : j], piece):
                         start = j
                         break
                 else:
@@ -147,11 +147,8 @@ class Model:
                     for e in reversed(ends):
                         yield self.piece_ids(text[at:e])
                         at = e
-                    if bpe and common < len(text):
-                        kept = back[common]  # the piece before the next one still decides what may follow
-                    back = {k: v for k, v in back.items() if k > common}
-                    if bpe and common < len(text):
-                        back[common] = kept
+                    # with BPE, the last settled piece still decides what may follow
+                    back = {k: v for k, v in back.items() if k >= common}
                     score = {k: v for k, v in score.items() if k >= common}
                     settled = common
 
