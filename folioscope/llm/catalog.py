@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontamination, ngram_join, secrets, sentencepiece, substring_dedup
+from folioscope.llm import chat_perspectives, decontamination, licenses, ngram_join, secrets, sentencepiece, substring_dedup, warc_fixity
 from folioscope.llm import quality_classifier as classifier
 from folioscope.llm import quality_rules as rules
 
@@ -22,6 +22,19 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def damaged(records: DataFrame) -> DataFrame:
+    """A replica with flipped characters, cut payloads and lost records, all fixed by the page id."""
+    kept = records.where(~F.coalesce(F.col("page_id") % 193 == 5, F.lit(False)))
+    flipped = F.concat(F.lit("w"), F.substring("record", 2, 1 << 30))
+    cut = F.substring("record", 1, 60)
+    return kept.withColumn("record", F.when(F.col("page_id") % 97 == 3, flipped).when(F.col("page_id") % 389 == 7, cut).otherwise(F.col("record")))
+
+
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_fixity.warc_records(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc_fixity.audit(warc_fixity.digests(records), warc_fixity.digests(damaged(records)))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -31,6 +44,13 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
+    return chat_perspectives.rotate(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "speaker", "part", "n_turns", F.length("rendered").cast("bigint").alias("n_chars"),
+        F.sha2("rendered", 256).alias("rendered_sha256"), spans.alias("mask"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -40,6 +60,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "digest", F.array_join("licenses", ",").alias("licenses"), F.array_join("notices", ",").alias("notices"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -47,10 +72,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secrets": op2_secrets,
+    "op3_warc_fixity": op3_warc_fixity,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_chat_perspectives": op6_chat_perspectives,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_license_digests": op9_license_digests,
     "op10_decontamination": op10_decontamination,
 }
 
@@ -61,6 +89,25 @@ SQL_TEXT = {name: getattr(rules, name).replace("'", "''") for name in ("PUNCTUAT
 
 
 
+def _sql_string(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _canonical_lines(text: str) -> str:
+    out = f"regexp_replace({LOWER.format(text)}, {_sql_string(licenses.MARKS)}, ' ', 'g')"
+    out = f"regexp_replace({out}, {_sql_string(licenses.COPYRIGHT)}, '\\1', 'g')"
+    for spelling, same in licenses.EQUIVALENT:
+        out = f"replace({out}, '{spelling}', '{same}')"
+    return out
+
+
+def _canonical(lines: str) -> str:
+    return f"trim(regexp_replace({lines}, '[ \\n]+', ' ', 'g'), ' ')"
+
+
+_known_rows = ", ".join(f"({_sql_string(name)}, {_sql_string(text)})" for name, text in licenses.KNOWN)
+
+
 def _secret_spans(number: int, rule: secrets.Rule) -> str:
     """Passing spans of one rule; positions are sums over gaps and matches."""
     pattern = rule.pattern.replace("(?i:password|passwd|secret|token|api_?key)", "|".join(
@@ -89,6 +136,53 @@ listed AS (
 SELECT doc_id, {", ".join(f"coalesce(n_{secrets.RULES[i].kind}, 0) AS n_{secrets.RULES[i].kind}" for i in _base)},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM doc LEFT JOIN listed USING (rid)
+""",
+    "op3_warc_fixity": f"""
+WITH rec AS (
+  SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+         || coalesce(CAST(page_id AS VARCHAR), 'null') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+         || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+         || coalesce(html, '') AS record FROM pages),
+placed AS (
+  SELECT *, CAST(floor(page_id / {warc_fixity.PER_FILE}) AS BIGINT) AS file,
+         CAST(coalesce(sum(strlen(record) + 4) OVER (
+           PARTITION BY floor(page_id / {warc_fixity.PER_FILE}) ORDER BY page_id, sha256(record)
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM rec)
+SELECT file, "offset", CASE WHEN page_id % 193 = 5 THEN 'missing' ELSE 'altered' END AS status, sha256(record) AS left_digest,
+       CASE WHEN page_id % 193 = 5 THEN NULL WHEN page_id % 97 = 3 THEN sha256('w' || substr(record, 2))
+            ELSE sha256(substr(record, 1, 60)) END AS right_digest
+FROM placed WHERE page_id % 193 = 5 OR page_id % 97 = 3 OR page_id % 389 = 7
+""",
+    "op6_chat_perspectives": f"""
+WITH turns AS (
+  SELECT conv_id, CAST(floor(coalesce(turn, 0) / {chat_perspectives.PER_PART}) AS BIGINT) AS part, turn, coalesce(role, 'unknown') AS role,
+         replace(coalesce(text, ''), '<|im_', '< |im_') AS text FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
+head AS (
+  SELECT t.*, speaker, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
+         ELSE 'user name=' || role END || chr(10) AS head FROM turns AS t JOIN speakers AS s USING (conv_id)),
+placed AS (
+  SELECT *, length(head) + length(text) + 11 AS size,
+         coalesce(sum(length(head) + length(text) + 11) OVER (
+           PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM head)
+SELECT conv_id, speaker, part, count(*) AS n_turns, CAST(sum(size) AS BIGINT) AS n_chars,
+       sha256(string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS rendered_sha256,
+       coalesce(string_agg((pos + length(head)) || ':' || (pos + size - 1), ',' ORDER BY pos) FILTER (role = speaker), '') AS mask
+FROM placed GROUP BY conv_id, speaker, part
+""",
+    "op9_license_digests": f"""
+WITH known AS (
+  SELECT license, sha256(form) AS digest FROM (
+    SELECT DISTINCT license, {_canonical(_canonical_lines("text"))} AS form FROM (VALUES {_known_rows}) AS k(license, text)) AS f
+  WHERE form <> ''),
+doc AS (SELECT row_number() OVER () AS rid, doc_id, {_canonical_lines("coalesce(text, '')")} AS lines FROM documents),
+whole AS (SELECT rid, doc_id, sha256({_canonical("lines")}) AS digest FROM doc),
+line AS (SELECT DISTINCT rid, sha256({_canonical("l")}) AS digest FROM (SELECT rid, unnest(string_split(lines, chr(10))) AS l FROM doc) AS t),
+named AS (SELECT digest, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM known GROUP BY digest),
+notice AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM line JOIN known USING (digest) GROUP BY rid)
+SELECT doc_id, digest, coalesce(licenses, '') AS licenses, coalesce(notices, '') AS notices
+FROM whole LEFT JOIN named USING (digest) LEFT JOIN notice USING (rid)
 """,
     "op4_substring_dedup": rf"""
 WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
