@@ -23,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.frames import keyed_texts, written
-from folioscope.llm.words import ALPHANUMERIC, U64, Block, blocks, grams
+from folioscope.llm.frames import bitmap, keyed_texts, marked, written
+from folioscope.llm.words import ALPHANUMERIC, Block, blocks, grams
 
 WINDOW = 13
 SHINGLE = 3
-BITMAP_BITS = 1 << 24
 
 
 def _shingles(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,31 +59,18 @@ def item_windows(items: DataFrame, id_column: str = "item_id", text_column: str
     return own.mapInArrow(cut, "item_id string, words string, length int, shingles array<bigint>")
 
 
-def _bitmap(tokens: DataFrame) -> bytes:
-    """Bits of the tokens' low hash bits; at most BITMAP_BITS positions reach the driver."""
-    slots = tokens.select(F.col("token").bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int").alias("slot")).distinct().toArrow()
-    bits = np.zeros(BITMAP_BITS, dtype=bool)
-    bits[slots.column("slot").to_numpy()] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def _marked(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    slot = tokens & (BITMAP_BITS - 1)
-    return np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-
-
 def shingle_frequencies(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """(token, df): documents that hold each of the given shingle hashes, counted over all documents."""
-    bitmap = _bitmap(tokens)
+    wanted = bitmap(tokens, "token")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap, dtype=np.uint8)
+        bits = np.frombuffer(wanted, dtype=np.uint8)
         for batch in batches:
             for b in blocks(batch.column("text"), ALPHANUMERIC, lower=True):
                 rows = b.row_of_word()
                 for n in range(1, SHINGLE + 1):
                     hashes, at = _shingles(b, n)
-                    hit = _marked(bits, hashes)
+                    hit = marked(bits, hashes)
                     pairs = np.unique(np.stack([hashes[hit], rows[at[hit]]]), axis=1) if len(hit) else np.zeros((2, 0), np.int64)
                     token, df = np.unique(pairs[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(df.astype(np.int64))], ["token", "df"])
@@ -95,17 +81,17 @@ def shingle_frequencies(docs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def _candidates(docs: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
     """Per document its number of words, and each place that may hold a prefix shingle with the words around it."""
-    bitmap, reach = _bitmap(prefixes), window - 1
+    wanted, reach = bitmap(prefixes, "token"), window - 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap, dtype=np.uint8)
+        bits = np.frombuffer(wanted, dtype=np.uint8)
         for batch in batches:
             for b in blocks(batch.column("text"), ALPHANUMERIC, lower=True):
                 rows, words = b.row_of_word(), b.counts
                 places: list[list[dict]] = [[] for _ in range(b.rows)]
                 for n in range(1, SHINGLE + 1):
                     hashes, at = _shingles(b, n)
-                    for k in _marked(bits, hashes).tolist():
+                    for k in marked(bits, hashes).tolist():
                         i = int(at[k])
                         r = int(rows[i])
                         low, high = max(int(b.first[r]), i - reach), min(int(b.first[r + 1]), i + window)
@@ -141,7 +127,7 @@ def decontaminate(
     docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
     item_text: str = "text", window: int = WINDOW, share: int = 20,
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
+    """One row per document: k1, k2 (row key), doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     A document is contaminated when a word is hit and ``share`` times the hit words reach its
     words. ``items`` lists the item ids found, as strings in order.
@@ -171,7 +157,7 @@ def decontaminate(
     return (
         found.drop("places").join(_covered(hits).join(named, ["k1", "k2"]), ["k1", "k2"], "left")
         .select(
-            "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_found).cast("bigint").alias("n_items"),
+            "k1", "k2", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_found).cast("bigint").alias("n_items"),
             F.sha2(F.array_join(items_found, ","), 256).alias("items_sha256"),
             ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), items_found.alias("items"))
     )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.session import scratch_path
@@ -28,5 +29,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hex_digest(column: Column) -> Column:
-    return F.sha2(column.cast("string"), 256)
+#: Size of a filter on hash values, whatever their number; more values only make it less selective.
+BITMAP_BITS = 1 << 24
+
+
+def bitmap(hashes: DataFrame, column: str) -> bytes:
+    """Bits of the hashes' low ends; at most BITMAP_BITS positions reach the driver."""
+    slots = hashes.select(F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int").alias("slot")).distinct().toArrow()
+    bits = np.zeros(BITMAP_BITS, dtype=bool)
+    bits[slots.column("slot").to_numpy()] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Positions of the hashes whose bit is set."""
+    slot = hashes & (BITMAP_BITS - 1)
+    return np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)

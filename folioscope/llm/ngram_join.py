@@ -231,7 +231,10 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
 def linked_groups(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """One row per document: k1, k2 (row key), doc_id, n_shingles, component_id (least id reachable by links)."""
+    """One row per document: k1, k2 (row key), doc_id, n_shingles, component_id (least id reachable by links), group.
+
+    ``group`` numbers the components, also those without an id; it is null without shingles.
+    """
     keyed = keyed_texts(docs, id_column, text_column)
     sets = written(_sets(keyed, size, percent), "sets")
     members = sets.where("n > 0").groupBy("d1", "d2").agg(
@@ -257,8 +260,9 @@ def linked_groups(
     placed = classes.select("d1", "d2", "c", "rep").join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn(
         "component", F.coalesce("component", "c"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = placed.join(least, "component").select("d1", "d2", "component_id", F.lit(True).alias("known"))
+    named = placed.join(least, "component").select("d1", "d2", "component", "component_id")
     return (
         sets.select("k1", "k2", "doc_id", "n", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), "d2").join(named, ["d1", "d2"], "left")
         .select("k1", "k2", "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
-                F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+                F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                F.col("component").alias("group")))

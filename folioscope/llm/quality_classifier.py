@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.llm.words import ALPHANUMERIC, SPACED, U64, Block, blocks, mix
 
@@ -160,23 +161,27 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 
 def score(
-    docs: DataFrame, model: Fit, id_column: str = "doc_id", text_column: str = "text", least_grade: int = 2, least: float = 0.5
+    docs: DataFrame, model: Fit, id_column: str = "doc_id", text_column: str = "text", least_grade: int = 2, least: float = 0.5,
+    carry: bool = False,
 ) -> DataFrame:
-    """One row per document: doc_id, text, score, expected_grade, tail (P(grade >= least_grade)), kept (tail >= least)."""
-    own = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    """One row per document: doc_id, score, expected_grade, tail (P(grade >= least_grade)), kept (tail >= least).
+
+    With ``carry``, the whole row stands in a struct column ``row`` in place of doc_id.
+    """
+    key = F.struct("*") if carry else F.col(id_column)
+    own = docs.select(key.alias("row" if carry else "doc_id"), *([] if carry else [F.col(text_column).alias("text")]))
     shared = own.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, cuts = shared.value
         for batch in batches:
-            for first, n, row, slot, value in features(batch.column("text")):
+            texts = batch.column("row").field(text_column) if carry else batch.column("text")
+            for first, n, row, slot, value in features(texts):
                 total = np.bincount(row, weights=weights[slot] * value, minlength=n)
                 above = 1 - _sigmoid(cuts[None, :] - total[:, None])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, n), batch.column("text").slice(first, n), pa.array(total),
-                     pa.array(above.sum(axis=1)), pa.array(above[:, least_grade - 1])],
-                    ["doc_id", "text", "score", "expected_grade", "tail"])
+                    [batch.column(0).slice(first, n), pa.array(total), pa.array(above.sum(axis=1)), pa.array(above[:, least_grade - 1])],
+                    [batch.schema.names[0], "score", "expected_grade", "tail"])
 
-    kind = own.schema["doc_id"].dataType.simpleString()
-    scored = own.mapInArrow(run, f"doc_id {kind}, text string, score double, expected_grade double, tail double")
-    return scored.withColumn("kept", F.col("tail") >= least)
+    kind = T.StructType([own.schema[0], *(T.StructField(c, T.DoubleType()) for c in ("score", "expected_grade", "tail"))])
+    return own.mapInArrow(run, kind).withColumn("kept", F.col("tail") >= least)

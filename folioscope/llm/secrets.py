@@ -171,17 +171,36 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
     return F.when(F.rlike(text, pattern), folded).otherwise(F.array().cast(SPAN))
 
 
-def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document: k1, k2 (row key), doc_id, text, found (spans by start, then rule)."""
-    keyed = keyed_texts(docs, id_column, text_column)
-    may = written(candidates(written(trigram_index(keyed, rules), "trigrams"), rules), "candidates")
-    marked = keyed.join(may, "k1", "left").withColumn("text", F.coalesce("text", F.lit("")))
+def _found(rows: DataFrame, text: Column, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rows (k1, ...) with a column ``found``: spans by start, then rule."""
+    may = written(candidates(written(trigram_index(rows.select("k1", text.alias("text")), rules), "trigrams"), rules), "candidates")
+    whole = F.coalesce(text, F.lit(""))
     parts = []
     for i, rule in enumerate(rules):
-        own = _spans(F.col("text"), i, rule)
+        own = _spans(whole, i, rule)
         asked = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0
         parts.append(F.when(asked, own).otherwise(F.array().cast(SPAN)) if trigram_query(rule.pattern) else own)
-    return marked.select("k1", "k2", "doc_id", "text", F.array_sort(F.concat(*parts)).alias("found"))
+    return rows.join(may, "k1", "left").select(*rows.columns, F.array_sort(F.concat(*parts)).alias("found"))
+
+
+def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per document: k1, k2 (row key), doc_id, text, found (spans by start, then rule)."""
+    return _found(keyed_texts(docs, id_column, text_column), F.col("text"), rules)
+
+
+def mask_secrets(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str | None = "n_chars",
+    rules: tuple[Rule, ...] = RULES,
+) -> DataFrame:
+    """The documents with secrets masked in their texts, and lengths of changed texts renewed; all columns stay."""
+    rows = docs.select(F.xxhash64(id_column, text_column).alias("k1"), F.struct("*").alias("row"))
+    text = F.col("row").getField(text_column)
+    found = _found(rows, text, rules).select("row", masked(text, F.col("found")).alias("left"), (F.size("found") > 0).alias("changed"))
+    out = F.col("row").withField(text_column, F.col("left"))
+    if length_column:
+        kind = docs.schema[length_column].dataType
+        out = out.withField(length_column, F.length("left").cast(kind))
+    return found.select(F.when(F.col("changed"), out).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def _listed(found: Column, rules: tuple[Rule, ...]) -> Column:
