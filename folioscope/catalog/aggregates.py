@@ -94,11 +94,16 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"))
-    report = claims.claim_rollup(_gated(spark, sf_dir), orders)
+    odd = F.when((F.col("claim_id") % 5 == 0) & (F.col("view") == "left"), F.when(F.col("claim_id") % 2 == 0, "top"))
+    views = _gated(spark, sf_dir).withColumn("view", F.when((F.col("claim_id") % 5 == 0) & (F.col("view") == "left"), odd).otherwise(F.col("view")))
+    views = views.withColumn("view_error", F.when(F.col("claim_id") % 11 == 0, "INFERENCE"))
+    report = claims.claim_rollup(views, orders)
     return report.select(
         "claim_id", "damage_detected", "overall_confidence", "total_views_analyzed", "any_view_error",
         F.coalesce("message", F.lit("-")).alias("message"), F.size("skipped_views").alias("n_skipped"),
-        F.array_join(F.array_sort(F.map_keys("per_view")), ",").alias("views"),
+        F.array_join(F.transform(F.map_entries("per_view"), lambda e: F.concat_ws(
+            ":", e["key"], e["value"]["damage_detected"].cast("string"), F.format_string("%.2f", e["value"]["prob_damaged"]),
+            F.coalesce(e["value"]["error"], F.lit("-")))), ",").alias("views"),
     )
 
 
@@ -108,7 +113,7 @@ def priority_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
-        "user_id", (F.col("event_type") != "error").alias("ready"), (F.col("event_id") % 4 == 0).alias("critical"),
+        "user_id", F.when(F.col("event_id") % 12 != 0, F.col("event_type") != "error").alias("ready"), (F.col("event_id") % 4 == 0).alias("critical"),
         F.when(F.col("value") > 480, "open").otherwise("closed").alias("state"),
     )
     return tel.readiness(events, ["user_id"])
@@ -208,18 +213,22 @@ SELECT route_id, scenario, (status_code // 100) || 'xx' AS status_class, count(*
     "latest_gauge": """
 SELECT user_id, CASE arg_max(event_type, (ts, event_id)) WHEN 'error' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS value FROM events GROUP BY 1""",
     "claim_rollup": with_sql(CLAIM_VIEWS_SQL) + f"""
-SELECT o_orderkey AS claim_id, coalesce(bool_or(prob_damaged >= 0.5) FILTER (WHERE car_prob >= 0.65), false) AS damage_detected,
-       round(coalesce(max(prob_damaged) FILTER (WHERE car_prob >= 0.65 AND prob_damaged >= 0.5), 0.0e0), 4) AS overall_confidence,
-       count(*) FILTER (WHERE car_prob >= 0.65) AS total_views_analyzed, false AS any_view_error,
+SELECT o_orderkey AS claim_id, o_orderkey % 11 <> 0 AND coalesce(bool_or(prob_damaged >= 0.5) FILTER (WHERE car_prob >= 0.65), false) AS damage_detected,
+       CASE WHEN o_orderkey % 11 = 0 THEN 0.0e0 ELSE
+         round(coalesce(max(prob_damaged) FILTER (WHERE car_prob >= 0.65 AND prob_damaged >= 0.5), 0.0e0), 4) END AS overall_confidence,
+       count(*) FILTER (WHERE car_prob >= 0.65) AS total_views_analyzed,
+       o_orderkey % 11 = 0 AND count(*) FILTER (WHERE car_prob >= 0.65) > 0 AS any_view_error,
        CASE WHEN count(*) FILTER (WHERE car_prob >= 0.65) = 0 THEN '{NO_CAR_MESSAGE}' ELSE '-' END AS message,
        count(*) FILTER (WHERE car_prob < 0.65) AS n_skipped,
-       coalesce(string_agg(view, ',' ORDER BY view) FILTER (WHERE car_prob >= 0.65), '') AS views
-FROM orders LEFT JOIN claim_views ON o_orderkey = claim_id GROUP BY 1""",
+       coalesce(string_agg(view || ':' || (claim_id % 11 <> 0 AND prob_damaged >= 0.5) || ':' || printf('%.2f', prob_damaged) || ':'
+         || CASE WHEN claim_id % 11 = 0 THEN 'INFERENCE' ELSE '-' END, ',' ORDER BY view) FILTER (WHERE car_prob >= 0.65), '') AS views
+FROM orders LEFT JOIN (SELECT * REPLACE (CASE WHEN claim_id % 5 = 0 AND view = 'left' THEN CASE WHEN claim_id % 2 = 0 THEN 'top' ELSE 'unknown' END
+  ELSE view END AS view) FROM claim_views) AS v ON o_orderkey = claim_id GROUP BY 1""",
     "priority_view": with_sql(CLAIM_VIEWS_SQL) + f"""
 SELECT claim_id, arg_min(view, list_position({PRIORITY_SQL}, view)) AS source_view FROM claim_views WHERE car_prob >= 0.65 GROUP BY 1""",
     "readiness": """
-SELECT user_id, bool_and(event_type <> 'error' OR event_id % 4 <> 0) AS ready, NOT bool_or(value > 480) AS circuits_ready,
-       count(*) FILTER (WHERE event_id % 4 = 0 AND event_type = 'error') AS critical_down FROM events GROUP BY 1""",
+SELECT user_id, bool_and((event_type <> 'error' AND event_id % 12 <> 0) OR event_id % 4 <> 0) AS ready, NOT bool_or(value > 480) AS circuits_ready,
+       count(*) FILTER (WHERE event_id % 4 = 0 AND (event_type = 'error' OR event_id % 12 = 0)) AS critical_down FROM events GROUP BY 1""",
     "confusion_matrix": with_sql(PREDICTION_TRUTH_SQL) + f"SELECT *, {_RATES} FROM (SELECT {_CONFUSION.format(t=0.65)} FROM truth)",
     "threshold_sweep": with_sql(PREDICTION_TRUTH_SQL) + f"SELECT *, {_RATES} FROM (" + " UNION ALL ".join(
         f"SELECT {t}e0 AS threshold, count(*) FILTER (WHERE score >= {t}) AS detections, {_CONFUSION.format(t=t)} FROM truth" for t in SWEEP) + ")",

@@ -64,7 +64,8 @@ def _damage(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def damage_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _damage(spark, sf_dir)["damages"].select(
-        "claim_id", "view", "type", "severity", "confidence", F.size("parts_at_risk").alias("n_parts"), "repair_action", "replace")
+        "claim_id", "view", "type", "severity", "confidence", "region", F.array_join(F.transform("bbox", lambda b: F.format_string("%.4f", b)), ",").alias("bbox"),
+        F.size("parts_at_risk").alias("n_parts"), "repair_action", "replace")
 
 
 def damage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,14 +112,14 @@ boxes AS (SELECT (d.image_id, g.view) AS image_id, det_id, cx, cy, w, h, class_i
 """ + nms_sql() + f""",
 survivors AS (SELECT b.* FROM boxes b JOIN (SELECT image_id AS im, unnest(kept) AS k FROM final) f ON f.im = b.image_id AND f.k.det_id = b.det_id),
 framed AS (SELECT image_id, det_id, score, class_id, round(cx / 640, 4) AS cx, round(cy / 640, 4) AS cy, round(w / 640, 4) AS w, round(h / 640, 4) AS h FROM survivors),
-typed AS (SELECT image_id, score, {CLASS_LIST}[class_id + 1] AS type, {SEVERITY_CASE} AS severity, {REGION_CASE} AS region FROM framed)
-SELECT image_id[1] AS claim_id, image_id[2] AS view, t.type, t.severity, round(score, 4) AS confidence,
+typed AS (SELECT image_id, score, printf('%.4f,%.4f,%.4f,%.4f', cx, cy, w, h) AS bbox, {CLASS_LIST}[class_id + 1] AS type, {SEVERITY_CASE} AS severity, {REGION_CASE} AS region FROM framed)
+SELECT image_id[1] AS claim_id, image_id[2] AS view, t.type, t.severity, round(score, 4) AS confidence, region, bbox,
        CASE WHEN type = 'scratches' AND region = 'center' THEN 1 WHEN type = 'scratches' OR (type = 'lamp-crack' AND region = 'center') THEN 2 ELSE 3 END AS n_parts,
        r.c AS repair_action, r.d AS replace
 FROM typed t JOIN {REPAIR_VALUES} r(a, b, c, d) ON t.type = r.a AND t.severity = r.b
 UNION ALL
 SELECT claim_id, view, 'general-damage', CASE WHEN prob_damaged >= 0.8 THEN 'severe' WHEN prob_damaged >= 0.65 THEN 'moderate' ELSE 'minor' END,
-       round(prob_damaged, 4), 1, '{GENERAL_DAMAGE_ACTION}', false
+       round(prob_damaged, 4), 'unknown', '0.5000,0.5000,1.0000,1.0000', 1, '{GENERAL_DAMAGE_ACTION}', false
 FROM good g WHERE NOT EXISTS (SELECT 1 FROM survivors s WHERE s.image_id = (g.claim_id, g.view))""",
     "damage_reports": with_sql(CLAIM_VIEWS_SQL) + """
 SELECT o_orderkey AS claim_id, coalesce(bool_or(prob_damaged >= 0.5) FILTER (WHERE car_prob >= 0.65), false) AS damage_detected,

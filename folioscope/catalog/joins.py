@@ -85,12 +85,13 @@ PREDICTION_TRUTH_SQL = """truth AS (
 
 def claim_plate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = claim_views(spark, sf_dir)
-    source = ops.priority_view(views)
-    plates = source.where(F.col("claim_id") % 3 != 0).select(
+    source = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id")).join(
+        ops.priority_view(views.where(F.col("car_prob") >= 0.65)), "claim_id", "left")
+    plates = source.where(F.col("source_view").isNotNull()).where(F.col("claim_id") % 3 != 0).select(
         "claim_id", "source_view", F.lit(True).alias("detected"), F.concat(F.lit("P"), F.col("claim_id").cast("string")).alias("plate_text"),
         ((F.col("claim_id") % 50 + 50) / 100.0).alias("confidence"),
     )
-    joined = ops.attach_plate(source.select("claim_id"), plates)
+    joined = ops.attach_plate(source.withColumnRenamed("source_view", "chosen"), plates, F.col("chosen").isNotNull())
     return joined.select(
         "claim_id", "plate.detected", "plate.plate_text", "plate.confidence",
         F.coalesce("plate.source_view", F.lit("-")).alias("source_view"), F.coalesce("plate.error", F.lit("-")).alias("error"),
@@ -188,9 +189,10 @@ firsts AS (SELECT image_id, det_id, hiders[1] AS k, {{'cx': cx, 'cy': cy, 'w': w
 SELECT image_id, det_id, k.det_id AS kept_id, round({iou_sql('k', 'r')}, 6) AS iou FROM firsts""",
     "prediction_truth": with_sql(PREDICTION_TRUTH_SQL) + "SELECT * FROM truth",
     "claim_plate_join": with_sql(CLAIM_VIEWS_SQL) + f"""
-SELECT claim_id, claim_id % 3 <> 0 AS detected, CASE WHEN claim_id % 3 <> 0 THEN 'P' || claim_id ELSE '' END AS plate_text,
-       CASE WHEN claim_id % 3 <> 0 THEN (claim_id % 50 + 50) / 100.0e0 ELSE 0.0e0 END AS confidence,
-       CASE WHEN claim_id % 3 <> 0 THEN arg_min(view, list_position({PRIORITY_SQL}, view)) ELSE '-' END AS source_view,
-       CASE WHEN claim_id % 3 <> 0 THEN '-' ELSE '{PLATE_UNAVAILABLE}' END AS error
-FROM claim_views GROUP BY claim_id""",
+SELECT claim_id, read AS detected, CASE WHEN read THEN 'P' || claim_id ELSE '' END AS plate_text,
+       CASE WHEN read THEN (claim_id % 50 + 50) / 100.0e0 ELSE 0.0e0 END AS confidence,
+       CASE WHEN read THEN chosen ELSE '-' END AS source_view,
+       CASE WHEN chosen IS NULL OR read THEN '-' ELSE '{PLATE_UNAVAILABLE}' END AS error
+FROM (SELECT o_orderkey AS claim_id, arg_min(view, list_position({PRIORITY_SQL}, view)) AS chosen, o_orderkey % 3 <> 0 AND max(view) IS NOT NULL AS read
+      FROM orders LEFT JOIN claim_views ON claim_id = o_orderkey AND car_prob >= 0.65 GROUP BY 1) AS c""",
 }

@@ -57,6 +57,12 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppress(detections(spark, sf_dir)).select("image_id", "det_id", "score")
 
 
+def nms_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All boxes of the table in seven images."""
+    hot = detections(spark, sf_dir).withColumn("det_id", F.concat_ws("/", "image_id", "det_id")).withColumn("image_id", F.col("image_id") % 7)
+    return suppress(hot).select("image_id", "det_id", "score")
+
+
 def value_after_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ocr_documents(spark, sf_dir)
     return docs.select("doc_id", F.coalesce(ln.value_after(F.col("lines")["text"], "ing"), F.lit("-")).alias("value"))
@@ -131,6 +137,7 @@ QUERIES = {
     "reading_order": reading_order,
     "chunk_lines": chunk_lines,
     "nms": nms,
+    "nms_hot": nms_hot,
     "value_after_label": value_after_label,
     "number_near_label": number_near_label,
     "label_context": label_context,
@@ -169,6 +176,11 @@ ORACLES = {
 """ + pack_sql(400, 2) + """
 SELECT key AS doc_id, i - 1 AS chunk_index, trim(text, chr(10) || ' ') AS text FROM (
   SELECT key, unnest(chunks) AS text, generate_subscripts(chunks, 1) AS i FROM packed)""",
+    "nms_hot": "WITH RECURSIVE " + DETECTIONS_SQL + """, boxes AS (
+  SELECT * REPLACE (image_id % 7 AS image_id, image_id || '/' || det_id AS det_id) FROM detections),
+""" + nms_sql() + """
+SELECT image_id, k.det_id AS det_id, score FROM (SELECT image_id, unnest(kept) AS k FROM final) f
+JOIN (SELECT image_id AS im, det_id AS di, score FROM boxes) b ON b.im = f.image_id AND b.di = f.k.det_id""",
     "nms": "WITH RECURSIVE " + DETECTIONS_SQL + ", boxes AS (SELECT * FROM detections),\n" + nms_sql() + """
 SELECT image_id, k.det_id AS det_id, score FROM (SELECT image_id, unnest(kept) AS k FROM final) f
 JOIN (SELECT image_id AS im, det_id AS di, score FROM boxes) b ON b.im = f.image_id AND b.di = f.k.det_id""",

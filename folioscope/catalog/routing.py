@@ -162,13 +162,19 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+EXCEPTIONS = (
+    "FileNotFoundError", "TimeoutError", "KeyError", "ValidationError", "UnsupportedMediaError", "PayloadTooLargeError",
+    "ModelUnavailableError", "CircuitOpenError", "DependencyTimeoutError", "PipelineFailureError", "RuntimeError",
+)
+
+
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     reqs = requests(spark, sf_dir)
     by_status = tel.classify_errors(reqs.where(~F.col("ok"))).select("event_id", F.lit("status").alias("source"), "error_code", "http_status", "retryable")
     failing = reqs.where(~F.col("ok")).withColumn(
-        "exception", F.when(F.col("event_id") % 4 == 0, "FileNotFoundError").when(F.col("event_id") % 4 == 1, "TimeoutError").otherwise("KeyError")
-    )
-    by_class = tel.classify_errors(failing, exception="exception").select("event_id", F.lit("exception").alias("source"), "error_code", "http_status", "retryable")
+        "exception", F.get(F.array(*[F.lit(c) for c in EXCEPTIONS]), (F.col("event_id") % len(EXCEPTIONS)).cast("int"))
+    ).withColumn("code", F.when(F.col("event_id") % 23 == 0, "NOT_FOUND"))
+    by_class = tel.classify_errors(failing, exception="exception", code="code").select("event_id", F.lit("exception").alias("source"), "error_code", "http_status", "retryable")
     return by_status.unionByName(by_class)
 
 
@@ -286,8 +292,13 @@ SELECT 'req-' || event_id AS request_id, ok AS success, CASE WHEN ok THEN event_
 SELECT event_id, 'status' AS source, {STATUS_CASE} AS error_code, status_code AS http_status, status_code IN (503, 504) AS retryable
 FROM requests WHERE NOT ok
 UNION ALL
-SELECT event_id, 'exception', CASE event_id % 4 WHEN 0 THEN 'MODEL_UNAVAILABLE' WHEN 1 THEN 'DEPENDENCY_TIMEOUT' ELSE 'INTERNAL_ERROR' END,
-       CASE event_id % 4 WHEN 0 THEN 503 WHEN 1 THEN 504 ELSE 500 END, event_id % 4 IN (0, 1) FROM requests WHERE NOT ok""",
+SELECT event_id, 'exception', code, CASE code
+         WHEN 'VALIDATION_ERROR' THEN 400 WHEN 'NOT_FOUND' THEN 404 WHEN 'PAYLOAD_TOO_LARGE' THEN 413 WHEN 'UNSUPPORTED_MEDIA' THEN 415
+         WHEN 'PIPELINE_FAILURE' THEN 502 WHEN 'MODEL_UNAVAILABLE' THEN 503 WHEN 'CIRCUIT_OPEN' THEN 503 WHEN 'DEPENDENCY_TIMEOUT' THEN 504
+         ELSE 500 END, code IN ('MODEL_UNAVAILABLE', 'CIRCUIT_OPEN', 'DEPENDENCY_TIMEOUT')
+FROM (SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'NOT_FOUND' ELSE ['MODEL_UNAVAILABLE', 'DEPENDENCY_TIMEOUT', 'INTERNAL_ERROR',
+        'VALIDATION_ERROR', 'UNSUPPORTED_MEDIA', 'PAYLOAD_TOO_LARGE', 'MODEL_UNAVAILABLE', 'CIRCUIT_OPEN', 'DEPENDENCY_TIMEOUT',
+        'PIPELINE_FAILURE', 'INTERNAL_ERROR'][event_id % 11 + 1] END AS code FROM requests WHERE NOT ok) AS e""",
     "sanitize_messages": "SELECT doc_id, '~/app/run: ' || replace(replace(text, '/home/svc', '~'), '/srv', '.') || ' at ~/.cache' AS message FROM documents",
     "normalize_urls": """
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN split_part(url, ':', 1) || '://user:pw@127.0.0.1:8080/api'

@@ -78,10 +78,11 @@ def breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, bad, checkpoint = (scratch_path(spark, n) for n in ("ingest", "quarantine", "ingest-checkpoint"))
     d = F.col("doc_id")
+    raw = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("page"), F.split("text", "\n").alias("lines"))).alias("pages")))
     uploads = _event_stream(spark, sf_dir, "documents").select(
         F.when(d % 11 != 0, F.concat(F.lit("doc-"), d.cast("string"), F.lit(".json"))).alias("filename"),
         F.when(d % 6 == 5, "video").otherwise("file").alias("process_type"), F.col("n_chars").alias("size_bytes"),
-        F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("page"), F.split("text", "\n").alias("lines"))).alias("pages"))).alias("raw"),
+        F.when(d % 7 == 3, "{oops").when(d % 7 == 4, F.concat(F.substring(raw, 1, F.length(raw) - 2), F.lit(', {"lines": 7}]}'))).otherwise(raw).alias("raw"),
     )
     ingest(uploads, out, bad, checkpoint).awaitTermination()
     good = spark.read.parquet(out).groupBy("source_file").agg(F.count("*").alias("n"), F.lit("OK").alias("outcome"))
@@ -162,12 +163,12 @@ ORACLES = {
     "breaker_stream": "WITH RECURSIVE " + BREAKER_SQL + """
 SELECT w.circuit, w.call_id, admitted, state FROM walk w JOIN calls c ON c.call_id = w.call_id
 WHERE w.i > 0 AND c.us // 1000 + 1 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)""",
-    "stream_ingest": "WITH RECURSIVE " + LINES_SQL + f""", tidy AS (SELECT doc_id, line_index, {COLLAPSED} AS text FROM lines WHERE doc_id % 11 <> 0 AND doc_id % 6 <> 5),
+    "stream_ingest": "WITH RECURSIVE " + LINES_SQL + f""", tidy AS (SELECT doc_id, line_index, {COLLAPSED} AS text FROM lines WHERE doc_id % 11 <> 0 AND doc_id % 6 <> 5 AND doc_id % 7 <> 3),
 sized AS (SELECT doc_id AS key, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS i, text FROM tidy WHERE text <> ''),
 """ + pack_sql(1200, 3) + """
 SELECT 'doc-' || key || '.json' AS source_file, len(chunks) AS n, 'OK' AS outcome FROM packed
 UNION ALL SELECT CASE WHEN doc_id % 11 = 0 THEN '-' ELSE 'doc-' || doc_id || '.json' END, count(*), 'VALIDATION_ERROR'
-FROM documents WHERE doc_id % 11 = 0 OR doc_id % 6 = 5 GROUP BY 1""",
+FROM documents WHERE doc_id % 11 = 0 OR doc_id % 6 = 5 OR doc_id % 7 IN (3, 4) GROUP BY 1""",
     "batch_score": "SELECT vec_id, round((list_sum(embedding[1:32]::DOUBLE[]) - list_sum(embedding[33:64]::DOUBLE[])) / 32, 5) AS score FROM embeddings",
     "fallback_damage": with_sql(CLAIM_VIEWS_SQL) + f"""
 SELECT claim_id, view, CASE WHEN prob_damaged >= 0.8 THEN 'severe' WHEN prob_damaged >= 0.65 THEN 'moderate' ELSE 'minor' END AS severity,

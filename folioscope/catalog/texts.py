@@ -53,8 +53,8 @@ def clean_plate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numeric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dated = F.concat("text", F.lit(" 12345678 2019/01/02 00120034 "), F.col("doc_id").cast("string"))
-    return documents(spark, sf_dir).select("doc_id", F.array_join(tx.numeric_tokens(dated).cast("array<string>"), ",").alias("numbers"))
+    dated = F.concat("text", F.lit(" 12345678 2019/01/02 00120034 123456789012345678901234567890 000 "), F.col("doc_id").cast("string"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(tx.numeric_tokens(dated), ",").alias("numbers"))
 
 
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,9 +187,9 @@ SELECT plate, regexp_replace(plate, '[^0-9]', '', 'g') AS digits, regexp_replace
   FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n]')) AS tok, n_chars FROM documents)) GROUP BY 1, 2, 3""",
     "numeric_tokens": """
 SELECT doc_id, array_to_string(list_transform(flatten(list_transform(
-    list_filter(regexp_extract_all(regexp_replace(text || ' 12345678 2019/01/02 00120034 ' || doc_id, '\\b[0-9]{2,4}/[0-9]{1,2}/[0-9]{1,2}\\b', ' ', 'g'), '[0-9]+'), lambda r: length(r) <= 18),
+    regexp_extract_all(regexp_replace(text || ' 12345678 2019/01/02 00120034 123456789012345678901234567890 000 ' || doc_id, '\\b[0-9]{2,4}/[0-9]{1,2}/[0-9]{1,2}\\b', ' ', 'g'), '[0-9]+'),
     lambda r: CASE WHEN length(r) = 8 AND CAST(r[1:4] AS INT) >= 100 AND CAST(r[5:8] AS INT) >= 100 THEN [r[1:4], r[5:8]] ELSE [r] END)),
-  lambda p: CAST(CAST(p AS BIGINT) AS VARCHAR)), ',') AS numbers FROM documents""",
+  lambda p: regexp_replace(p, '^0+([0-9])', '\\1')), ',') AS numbers FROM documents""",
     "date_range": """
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS n_dates, CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE day END AS issue_date,
        CASE WHEN o_orderkey % 3 = 0 THEN day ELSE short END AS expiry_date,

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 SECTION = T.StructType([
     T.StructField("page", T.StringType()),
     T.StructField("lines", T.ArrayType(T.StringType())),
+    T.StructField("error", T.StringType()),
 ])
 SECTIONS = T.StructType([
     T.StructField("document_type", T.StringType()),
@@ -21,7 +22,9 @@ SECTIONS = T.StructType([
 
 
 def _tidy(value: object) -> str:
-    return "" if value is None else " ".join(str(value).split())
+    """One line of text; nothing for null."""
+    words = [] if value is None else str(value).split()
+    return " ".join(words)
 
 
 def _leaves(root: object):
@@ -48,23 +51,37 @@ def _tree_lines(root: object) -> list[str]:
     ]
 
 
-def _page_section(position: int, page: object) -> dict:
-    fields = page if isinstance(page, dict) else {}
-    number = fields.get("page", position)
-    entries = fields.get("lines", [])
-    texts = (_tidy(e.get("text", "") if isinstance(e, dict) else e) for e in entries)
-    return {"page": None if number is None else str(number), "lines": [t for t in texts if t]}
+def _line_texts(lines: object) -> list[str]:
+    """Texts of a page's lines, which are objects with a ``text`` or bare values; blank ones are left out."""
+    if not isinstance(lines, (list, str, dict)):
+        raise ValueError(f"lines is {type(lines).__name__}, not a list")
+    bare = (line.get("text", "") if isinstance(line, dict) else line for line in lines)
+    return list(filter(None, map(_tidy, bare)))
+
+
+def _pages(entries: list) -> list[dict]:
+    """A section per page, numbered by position where the page has no number; a bad page carries its error."""
+    sections = []
+    for position, entry in enumerate(entries, start=1):
+        page = entry if isinstance(entry, dict) else {}
+        label = page["page"] if "page" in page else position
+        section = {"page": None if label is None else str(label), "lines": [], "error": None}
+        try:
+            section["lines"] = _line_texts(page.get("lines", []))
+        except ValueError as exc:
+            section["error"] = str(exc)
+        sections.append(section)
+    return sections
 
 
 def _sections(raw: str | None) -> dict:
     try:
         root = json.loads(raw)
         if isinstance(root, dict) and isinstance(root.get("pages"), list):
-            pages = [_page_section(n, p) for n, p in enumerate(root["pages"], 1)]
-            return {"document_type": "ocr_pages", "sections": pages, "error": None}
-        whole = {"page": None, "lines": _tree_lines(root)}
+            return {"document_type": "ocr_pages", "sections": _pages(root["pages"]), "error": None}
+        whole = {"page": None, "lines": _tree_lines(root), "error": None}
         return {"document_type": "structured_json", "sections": [whole], "error": None}
-    except (TypeError, ValueError, AttributeError, RecursionError) as exc:
+    except (TypeError, ValueError, RecursionError) as exc:
         return {"document_type": None, "sections": [], "error": f"{type(exc).__name__}: {exc}"}
 
 

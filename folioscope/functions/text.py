@@ -74,20 +74,18 @@ def clean_plate(c: Column, allow: str | None = None) -> Column:
 
 
 def numeric_tokens(c: Column) -> Column:
-    """Every digit run outside dates as bigint; an 8-digit run of two numbers is split.
-
-    Runs too long for bigint are left out: no rule accepts numbers of that size.
-    """
+    """Every digit run outside dates as text without leading zeros, whatever its length; an
+    8-digit run of two numbers is split."""
     runs = F.regexp_extract_all(
         F.regexp_replace(ascii_digits(c), DATE_PATTERN, " "), F.lit(r"(?U)\d+"), F.lit(0)
     )
 
     def pieces(run: Column) -> Column:
-        halves = F.array(F.substring(run, 1, 4).try_cast("bigint"), F.substring(run, 5, 4).try_cast("bigint"))
-        both_large = (F.get(halves, F.lit(0)) >= 100) & (F.get(halves, F.lit(1)) >= 100)
-        return F.when((F.length(run) == 8) & both_large, halves).otherwise(F.array(run.try_cast("bigint")))
+        halves = [F.substring(run, 1, 4), F.substring(run, 5, 4)]
+        both_large = (F.length(run) == 8) & ~halves[0].startswith("00") & ~halves[1].startswith("00")
+        return F.when(both_large, F.array(*halves)).otherwise(F.array(run))
 
-    return F.filter(F.flatten(F.transform(runs, pieces)), lambda v: v.isNotNull())
+    return F.transform(F.flatten(F.transform(runs, pieces)), lambda r: ascii_digits(F.regexp_replace(r, r"^(?U)0+(?=\d)", "")))
 
 
 def ordered_distinct(c: Column) -> Column:

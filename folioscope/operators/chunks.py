@@ -82,14 +82,14 @@ def chunk_pages(pages: DataFrame, source: Column, page: Column, texts: Column,
     )
 
 
-def rag_chunks(docs: DataFrame, source: str = "source_file", raw: str = "raw",
-               max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks of JSON documents. Page documents chunk page by page with overlap; any other
-    JSON becomes path lines without overlap. Python only parses; packing stays in the JVM."""
-    sections = (
-        docs.select(F.col(source).alias("source_file"), json_sections(F.col(raw)).alias("_s"))
-        .select("source_file", F.col("_s.document_type").alias("document_type"), F.explode_outer("_s.sections").alias("_p"))
-    )
+def parsed_documents(docs: DataFrame, source: str = "source_file", raw: str = "raw") -> DataFrame:
+    """(source_file, parsed): JSON documents as sections of lines, parsed once for chunks and errors."""
+    return docs.select(F.col(source).alias("source_file"), json_sections(F.col(raw)).alias("parsed"))
+
+
+def chunks_of(parsed: DataFrame, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Chunks of parsed documents; bad pages leave the good pages of their document alone."""
+    sections = parsed.select("source_file", F.col("parsed.document_type").alias("document_type"), F.explode_outer("parsed.sections").alias("_p"))
     paged = F.col("document_type") == "ocr_pages"
     packed = F.when(paged, chunk_lines(F.col("_p.lines"), max_chars, overlap)).otherwise(
         chunk_lines(F.col("_p.lines"), max_chars, 0)
@@ -109,9 +109,22 @@ def rag_chunks(docs: DataFrame, source: str = "source_file", raw: str = "raw",
     )
 
 
+def errors_of(parsed: DataFrame) -> DataFrame:
+    """(source_file, position, error): documents that are no JSON, and pages without usable lines."""
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("position"), F.col("parsed.error").alias("error")))
+    pages = F.transform("parsed.sections", lambda s, i: F.struct((i + 1).alias("position"), s["error"].alias("error")))
+    found = F.filter(F.concat(whole, F.coalesce(pages, F.slice(whole, 1, 0))), lambda e: e["error"].isNotNull())
+    return parsed.select("source_file", F.explode_outer(found).alias("e")).where(F.col("e").isNotNull()).select("source_file", "e.*")
+
+
+def rag_chunks(docs: DataFrame, source: str = "source_file", raw: str = "raw",
+               max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Chunks of JSON documents. Page documents chunk page by page with overlap; any other
+    JSON becomes path lines without overlap. Python only parses; packing stays in the JVM.
+    What cannot be chunked is in ``chunk_errors``."""
+    return chunks_of(parsed_documents(docs, source, raw), max_chars, overlap)
+
+
 def chunk_errors(docs: DataFrame, source: str = "source_file", raw: str = "raw") -> DataFrame:
-    """Documents that are no JSON, with the reason."""
-    return (
-        docs.select(F.col(source).alias("source_file"), json_sections(F.col(raw))["error"].alias("error"))
-        .where(F.col("error").isNotNull())
-    )
+    """Documents and pages that could not be chunked, with the reason."""
+    return errors_of(parsed_documents(docs, source, raw))

@@ -75,56 +75,53 @@ def claim_rollup(views: DataFrame, claims: DataFrame, claim: str = "claim_id") -
     """One report per claim from its gated view predictions.
 
     ``views`` has claim, view, is_car, car_confidence, damage_detected, confidence_score,
-    prob_damaged, prob_clean and optionally view_error. A claim has the four named views, so
-    the per-view map is built from four conditional aggregates that combine before the
-    shuffle; no list is collected. Repeated rows of a view: the one with the highest damage
-    probability speaks.
+    prob_damaged, prob_clean and optionally view_error and damages. Every view name is
+    reported, known or not; a null name counts as "unknown". Repeated rows of a view: one that
+    shows a car speaks, then the one with the highest damage probability. Rows combine to one
+    a view before a claim's views meet in a map.
     """
-    view_error = F.col("view_error") if "view_error" in views.columns else F.lit(None).cast("string")
-    ok = F.col("is_car") & view_error.isNull()
-    damaged = ok & F.col("damage_detected")
+    error = F.col("view_error") if "view_error" in views.columns else F.lit(None).cast("string")
+    damages = [F.col("damages")] if "damages" in views.columns else []
+    detected = F.coalesce(error.isNull() & F.col("damage_detected"), F.lit(False))
     prediction = F.struct(
-        F.coalesce(ok & F.col("damage_detected"), F.lit(False)).alias("damage_detected"),
-        "confidence_score", "prob_damaged", "prob_clean", view_error.alias("error"),
+        detected.alias("damage_detected"), "confidence_score", "prob_damaged", "prob_clean", *damages, error.alias("error")
     )
+    order = F.struct("is_car", "prob_damaged", "car_confidence")
+    name = F.coalesce("view", F.lit("unknown")).alias("view")
+    each = views.groupBy(claim, name).agg(
+        F.max_by(F.struct("is_car", "car_confidence", prediction.alias("p")), order).alias("v")
+    ).select(claim, "view", "v.*")
+    damaged = F.col("is_car") & F.col("p.damage_detected")
     skipped = F.struct(F.lit("not_a_car").alias("reason"), "car_confidence")
-    score = F.struct(F.col("prob_damaged"), F.col("car_confidence"))
-
-    def of_view(name: str, wanted: Column, value: Column, alias: str) -> Column:
-        here = wanted & (F.col("view") == name)
-        return F.max_by(F.when(here, value), F.when(here, score)).alias(f"{alias}_{name}")
-
-    sums = views.groupBy(claim).agg(
-        F.bool_or(damaged).alias("_damaged"),
-        F.max(F.when(damaged, F.col("confidence_score"))).alias("_best"),
-        F.bool_or(F.col("is_car") & view_error.isNotNull()).alias("_error"),
-        *[of_view(v, F.col("is_car"), prediction, "_seen") for v in VIEW_PRIORITY],
-        *[of_view(v, ~F.col("is_car"), skipped, "_skip") for v in VIEW_PRIORITY],
-    )
 
-    def by_view(alias: str) -> Column:
-        full = F.map_from_arrays(
-            F.array(*[F.lit(v) for v in VIEW_PRIORITY]), F.array(*[F.col(f"{alias}_{v}") for v in VIEW_PRIORITY])
-        )
-        return F.map_filter(full, lambda _, v: v.isNotNull())
-
-    spine = claims.select(claim).distinct()
-    report = spine.join(sums, claim, "left").select(
-        claim, F.coalesce("_damaged", F.lit(False)).alias("damage_detected"),
-        F.round(F.coalesce("_best", F.lit(0.0)), 4).alias("overall_confidence"),
-        by_view("_seen").alias("per_view"), F.coalesce("_error", F.lit(False)).alias("any_view_error"),
-        by_view("_skip").alias("skipped_views"),
+    def by_view(wanted: Column, value: Column) -> Column:
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(wanted, F.struct("view", value.alias("value"))))))
+
+    sums = each.groupBy(claim).agg(
+        F.bool_or(damaged).alias("_damaged"), F.max(F.when(damaged, F.col("p.confidence_score"))).alias("_best"),
+        F.bool_or(F.col("is_car") & F.col("p.error").isNotNull()).alias("_error"),
+        by_view(F.col("is_car"), F.col("p")).alias("_seen"), by_view(~F.col("is_car"), skipped).alias("_skip"),
     )
-    total = F.size("per_view")
-    return report.withColumn("total_views_analyzed", total).withColumn(
-        "message", F.when(total == 0, F.lit(NO_CAR_MESSAGE))
+    total = F.coalesce(F.size("per_view"), F.lit(0))
+    return (
+        claims.select(claim).distinct().join(sums, claim, "left")
+        .select(
+            claim, F.coalesce("_damaged", F.lit(False)).alias("damage_detected"),
+            F.round(F.coalesce("_best", F.lit(0.0)), 4).alias("overall_confidence"),
+            F.coalesce("_seen", F.map_from_arrays(F.array(), F.array()).cast(sums.schema["_seen"].dataType)).alias("per_view"),
+            F.coalesce("_error", F.lit(False)).alias("any_view_error"),
+            F.coalesce("_skip", F.map_from_arrays(F.array(), F.array()).cast(sums.schema["_skip"].dataType)).alias("skipped_views"),
+        )
+        .withColumn("total_views_analyzed", total)
+        .withColumn("message", F.when(F.col("total_views_analyzed") == 0, F.lit(NO_CAR_MESSAGE)))
     )
 
 
-def attach_plate(claims: DataFrame, plates: DataFrame, claim: str = "claim_id") -> DataFrame:
-    """Add the plate read on each claim's chosen view; default values and a reason otherwise.
+def attach_plate(claims: DataFrame, plates: DataFrame, due: Column, claim: str = "claim_id") -> DataFrame:
+    """Add the plate read on each claim's chosen view; default values otherwise.
 
-    ``plates`` has claim, source_view, detected, plate_text, confidence and may have error.
+    ``plates`` has claim, source_view, detected, plate_text, confidence and may have error. The
+    default names a reason only where a read was ``due``: a claim without a car view has none.
     """
     error = F.col("error") if "error" in plates.columns else F.lit(None).cast("string")
     found = plates.select(
@@ -133,6 +130,6 @@ def attach_plate(claims: DataFrame, plates: DataFrame, claim: str = "claim_id")
     )
     default = F.struct(
         F.lit(False).alias("detected"), F.lit("").alias("plate_text"), F.lit(0.0).alias("confidence"),
-        F.lit(None).cast("string").alias("source_view"), F.lit(PLATE_UNAVAILABLE).alias("error"),
+        F.lit(None).cast("string").alias("source_view"), F.when(due, F.lit(PLATE_UNAVAILABLE)).alias("error"),
     )
     return claims.join(found, claim, "left").withColumn("plate", F.coalesce("_plate", default)).drop("_plate")

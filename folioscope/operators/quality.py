@@ -163,7 +163,7 @@ def first_example(df: DataFrame, by: Sequence[str], files: str = "upload_files",
     """First upload path seen for every field name."""
     return (
         df.select(*by, order, F.explode(files).alias("field", "path")).groupBy(*by, "field")
-        .agg(F.min_by("path", order).alias("path"))
+        .agg(F.min(F.struct(order, "path"))["path"].alias("path"))
     )
 
 

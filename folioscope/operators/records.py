@@ -129,7 +129,7 @@ def extract_record(df: DataFrame, lines: str = "lines", out: str = "record") ->
     staged = (
         df.withColumn("_asc", F.transform(ln, ascii_digits))
         .withColumn("_joined", F.array_join("_asc", "\n"))
-        .withColumn("_nums", numeric_tokens(F.col("_joined")))
+        .withColumn("_nums", F.filter(F.transform(numeric_tokens(F.col("_joined")), lambda n: n.try_cast("bigint")), lambda n: n.isNotNull()))
         .withColumn("_plate", plate_of_lines(ln, joined, nums))
         .withColumn("_dates", issue_expiry(date_strings(joined)))
         .withColumn("_label_year", manufacture_year(ln, asc))

@@ -27,14 +27,15 @@ def envelope(df: DataFrame, data: Column, error: Column, request_id: Column, end
     )
 
 
-def classify_errors(df: DataFrame, status: str = "status_code", exception: str | None = None) -> DataFrame:
+def classify_errors(df: DataFrame, status: str = "status_code", exception: str | None = None, code: str | None = None) -> DataFrame:
     """Error code, HTTP status and retryable flag by exception class or status code.
 
-    Without an exception the reported status is kept and only 503 and 504 are retryable.
+    Without an exception the reported status is kept and only 503 and 504 are retryable. An
+    error that already has a code (column ``code``) keeps it.
     """
     by_status = F.lit("INTERNAL_ERROR")
-    for http, code in STATUS_CODES.items():
-        by_status = F.when(F.col(status) == http, code).otherwise(by_status)
+    for http, status_code in STATUS_CODES.items():
+        by_status = F.when(F.col(status) == http, status_code).otherwise(by_status)
     if exception is None:
         return (
             df.withColumn("error_code", by_status)
@@ -42,8 +43,10 @@ def classify_errors(df: DataFrame, status: str = "status_code", exception: str |
             .withColumn("retryable", F.coalesce(F.col(status).isin(503, 504), F.lit(False)))
         )
     by_class = F.lit("INTERNAL_ERROR")
-    for name, code in EXCEPTION_CODES.items():
-        by_class = F.when(F.col(exception) == name, code).otherwise(by_class)
+    for name, known_code in EXCEPTION_CODES.items():
+        by_class = F.when(F.col(exception) == name, known_code).otherwise(by_class)
+    if code is not None:
+        by_class = F.coalesce(F.col(code), by_class)
     known = F.broadcast(error_codes(df.sparkSession).withColumnRenamed("code", "error_code"))  # 9 fixed rows
     return df.withColumn("error_code", by_class).join(known, "error_code", "left")
 
@@ -97,7 +100,7 @@ def readiness(components: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return components.groupBy(*by).agg(
         F.bool_and(F.coalesce("ready", F.lit(False)) | ~F.col("critical")).alias("ready"),
         (~down_circuit).alias("circuits_ready"),
-        F.count_if(F.col("critical") & ~F.col("ready")).alias("critical_down"),
+        F.count_if(F.col("critical") & ~F.coalesce("ready", F.lit(False))).alias("critical_down"),
     )
 
 

@@ -52,43 +52,51 @@ def record_job(docs: DataFrame, key: str = "doc_id", lang: str = "lang") -> dict
     return {"records": noted, "fields": fields, "chunks": chunks}
 
 
+#: Fields of a damage entry.
+ENTRY = {
+    "type": "string", "confidence": "double", "severity": "string", "region": "string", "bbox": "array<double>",
+    "parts_at_risk": "array<string>", "repair_action": "string", "replace": "boolean",
+}
+
+
 def damage_job(views: DataFrame, boxes: DataFrame, claim_spine: DataFrame, plates: DataFrame | None = None,
                car_threshold: float = CAR_THRESHOLD, damage_threshold: float = DAMAGE_THRESHOLD) -> dict[str, DataFrame]:
     """Views with scores and detector boxes to damage entries and claim reports.
 
     Views have claim_id, view, car_prob and prob_damaged; boxes have claim_id, view and the
     detector columns. The car gate and the damage label run before the boxes are touched, so
-    only boxes of damaged car views are suppressed and looked up.
+    only boxes of damaged car views are suppressed and looked up, once. Damaged views without a
+    localised entry get the general one. A ``view_error`` column marks views of failed batches.
     """
     gated = claims.gate_in_place(views, car_threshold)
     p = F.col("prob_damaged")
+    error = [F.col("view_error")] if "view_error" in views.columns else []
     predicted = gated.withColumn("_p", damage_prediction(1.0 - p, p, damage_threshold)).select(
-        "claim_id", "view", "is_car", "car_confidence", "_p.*"
+        "claim_id", "view", "is_car", "car_confidence", *error, "_p.*"
     )
     damaged = predicted.where(F.col("is_car") & F.col("damage_detected"))
+    if error:  # views of a failed batch are reported with their error, not as damaged
+        damaged = damaged.where("view_error IS NULL")
     on_damaged = boxes.join(damaged.select("claim_id", "view"), ["claim_id", "view"], "left_semi")
     image = F.struct("claim_id", "view")
-    entries = detections.damage_entries(
-        on_damaged.withColumn("image_id", image).drop("claim_id"), "image_id", "view"
-    ).withColumn("claim_id", F.col("image_id.claim_id")).drop("image_id")
-    localised = entries.select("claim_id", "view").distinct()
-    all_entries = entries.select("claim_id", "view", "type", "severity", "confidence", "parts_at_risk", "repair_action", "replace").unionByName(
-        general_entries(damaged.join(localised, ["claim_id", "view"], "left_anti"))
-    )
-    report = claims.claim_rollup(predicted, claim_spine)
-    if plates is not None:
-        report = claims.attach_plate(report, plates)
-    return {"predictions": predicted, "damages": all_entries, "report": report}
-
-
-def general_entries(views: DataFrame) -> DataFrame:
-    """The general entry of damaged views in the shape of localised entries."""
-    flagged = claims.fallback_damage(views.withColumn("damages", F.array().cast("array<string>")))
+    entries = detections.damage_entries(on_damaged.withColumn("image_id", image).drop("claim_id"), "image_id", "view")
+    entry = [F.col(c) for c in ENTRY]
+    found = entries.groupBy("image_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "det_id", F.struct(*entry).alias("e")))),
+                    lambda d: d["e"]).alias("damages")
+    ).select("image_id.claim_id", "image_id.view", "damages")
+    general = claims.fallback_damage(damaged.join(found, ["claim_id", "view"], "left"))
     g = F.col("general_damage")
-    return flagged.select(
-        "claim_id", "view",
-        *[g[c].alias(c) for c in ("type", "severity", "confidence", "parts_at_risk", "repair_action", "replace")],
+    damages = F.coalesce("damages", F.array(F.struct(*[g[c].alias(c) for c in ENTRY])))
+    localised = general.select("claim_id", "view", damages.alias("damages")).dropDuplicates(["claim_id", "view"])
+    with_damages = predicted.join(localised, ["claim_id", "view"], "left").withColumn(
+        "damages", F.coalesce("damages", F.slice(F.array(F.struct(*[F.lit(None).cast(t).alias(c) for c, t in ENTRY.items()])), 1, 0))
     )
+    report = claims.claim_rollup(with_damages, claim_spine)
+    if plates is not None:
+        report = claims.attach_plate(report, plates, F.col("total_views_analyzed") > 0)
+    rows = localised.select("claim_id", "view", F.explode("damages").alias("d")).select("claim_id", "view", "d.*")
+    return {"predictions": predicted, "damages": rows, "report": report}
 
 
 def quality_job(samples: DataFrame, by: Sequence[str], order: Sequence[str], warmup: int = 1) -> dict[str, DataFrame]:

@@ -182,6 +182,13 @@ STATUS_CODES = {
 EXCEPTION_CODES = {
     "FileNotFoundError": "MODEL_UNAVAILABLE",
     "TimeoutError": "DEPENDENCY_TIMEOUT",
+    "ValidationError": "VALIDATION_ERROR",
+    "UnsupportedMediaError": "UNSUPPORTED_MEDIA",
+    "PayloadTooLargeError": "PAYLOAD_TOO_LARGE",
+    "ModelUnavailableError": "MODEL_UNAVAILABLE",
+    "CircuitOpenError": "CIRCUIT_OPEN",
+    "DependencyTimeoutError": "DEPENDENCY_TIMEOUT",
+    "PipelineFailureError": "PIPELINE_FAILURE",
 }
 
 # --- Fixed values: fields of a vehicle registration card ----------------------

@@ -25,6 +25,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **options: s
     """A local session for tests and the benchmark; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("folioscope")
     settings = {**LOCAL_OPTIONS, "spark.sql.shuffle.partitions": str(shuffle_partitions), **options}
+    settings.setdefault("spark.folioscope.spread", str(shuffle_partitions))
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -58,11 +59,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows written to the shared scratch folder and read back: cuts lineage, survives lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Share a small input over all cores before costly row work.
+    """Share a one-split test file over the cores, in sessions that ask for it.
 
-    Only inputs with fewer file splits than cores are shuffled; large tables already have
-    more splits than cores and pass through unchanged.
+    Only ``local_session`` sets the option; on a cluster nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.sparkSession.conf.get("spark.folioscope.spread", None)
+    return df.repartition(int(parts)) if parts else df

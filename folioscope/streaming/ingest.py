@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folioscope.operators.chunks import rag_chunks
+from folioscope.functions.jsontext import json_sections
+from folioscope.operators.chunks import chunks_of, errors_of
 from folioscope.operators.routing import categorize, check_requests, media_type, suffix_of
 from folioscope.rules import CHUNK_CHARS, CHUNK_OVERLAP
 
+#: Quarantine code of valid uploads whose content, or a page of it, could not be read.
+UNREADABLE = "VALIDATION_ERROR"
+
 
 def prepare(uploads: DataFrame) -> DataFrame:
     """Add error_code, media type and category to (filename, process_type, size_bytes, raw)."""
@@ -22,12 +26,18 @@ def prepare(uploads: DataFrame) -> DataFrame:
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, quarantine: str,
                  max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> None:
     """Write one micro-batch. Each batch owns its folder, so a repeated batch overwrites itself."""
-    ready = prepare(batch)
-    good = ready.where(F.col("error_code").isNull())
-    rag_chunks(good.withColumn("source_file", F.col("filename")), max_chars=max_chars, overlap=overlap).write.mode(
-        "overwrite"
-    ).parquet(f"{out}/batch={batch_id}")
-    ready.where(F.col("error_code").isNotNull()).drop("raw").write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+    good = F.col("error_code").isNull()
+    content = F.when(good, F.col("raw"))
+    own = prepare(batch).withColumn("parsed", F.when(good, json_sections(content))).persist()  # parsed once for both sinks
+    try:
+        parsed = own.where(good).select(F.col("filename").alias("source_file"), "parsed")
+        chunks_of(parsed, max_chars, overlap).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        bad = errors_of(parsed).groupBy("source_file").agg(F.min(F.struct("position", "error"))["error"].alias("error_detail"))
+        unread = own.where(good).join(bad, own["filename"] == bad["source_file"]).drop("source_file").withColumn("error_code", F.lit(UNREADABLE))
+        refused = own.where(~good).withColumn("error_detail", F.lit(None).cast("string"))
+        refused.unionByName(unread).drop("raw", "parsed").write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+    finally:
+        own.unpersist()
 
 
 def stream_ingest(uploads: DataFrame, out: str, quarantine: str, checkpoint: str,
