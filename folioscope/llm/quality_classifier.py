@@ -28,8 +28,8 @@ from folioscope.llm.words import ALPHANUMERIC, SPACED, U64, Block, blocks, mix
 
 BITS = 18
 GRADES = 3
-TRAIN_ROWS = 10_000
-TRAIN_FEATURES = 20_000_000
+TRAIN_ROWS = 6_000
+TRAIN_FEATURES = 6_000_000
 #: Features in fewer sampled documents than this get no weight.
 MIN_DOCS = 3
 STEPS, RATE, PENALTY, SCALE = 150, 0.1, 3e-4, 4.0
@@ -93,9 +93,10 @@ def fit(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndar
     n = len(grades)
     if not n:
         return Fit(np.zeros(1 << BITS), np.full(GRADES - 1, -60.0))
-    wide = np.bincount(slots, minlength=1 << BITS)[slots] >= MIN_DOCS
-    rows, slots, values = rows[wide], slots[wide], values[wide]
-    used, at = np.unique(slots, return_inverse=True)
+    wide = np.bincount(slots, minlength=1 << BITS) >= MIN_DOCS
+    held = wide[slots]
+    used = np.flatnonzero(wide)
+    at, rows, values = (np.cumsum(wide, dtype=np.int32) - 1)[slots[held]], rows[held], values[held]
     share = np.bincount(grades, minlength=GRADES) + 1.0
     log_odds = np.log(np.cumsum(share)[:-1] / (share.sum() - np.cumsum(share)[:-1]))
     state = np.concatenate([np.zeros(len(used)), log_odds[:1], np.log(np.maximum(np.diff(log_odds), 1e-3))])
@@ -150,18 +151,17 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     # one row an id, however often the document table repeats it
     got = chosen.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "grade", F.hash("slots")).limit(rows).toArrow().combine_chunks()
     if not got.num_rows:
-        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64))
     slots, shares = got.column("slots").combine_chunks(), got.column("shares").combine_chunks()
     sizes = slots.value_lengths().to_numpy()
     within = int(np.searchsorted(np.cumsum(sizes), TRAIN_FEATURES, side="right"))
-    row = np.repeat(np.arange(within), sizes[:within])
+    row = np.repeat(np.arange(within, dtype=np.int32), sizes[:within])
     total = len(row)
-    return fit(row, slots.flatten().to_numpy()[:total].astype(np.int64), shares.flatten().to_numpy()[:total].astype(np.float64),
-               got.column("grade").to_numpy()[:within].astype(np.int64))
+    return fit(row, slots.flatten().to_numpy()[:total], shares.flatten().to_numpy()[:total], got.column("grade").to_numpy()[:within].astype(np.int64))
 
 
 def score(
-    docs: DataFrame, model: Fit, id_column: str = "doc_id", text_column: str = "text", least_grade: int = 2, least: float = 0.5,
+    docs: DataFrame, model: Fit, id_column: str = "doc_id", text_column: str = "text", least_grade: int = 2, least: float = 0.65,
     carry: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, score, expected_grade, tail (P(grade >= least_grade)), kept (tail >= least).
