@@ -37,9 +37,10 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Bounds of the per-worker memories of words and of piece pairs; a full one starts anew.
-WORDS, PAIRS, LONGEST_WORD = 1 << 18, 1 << 19, 64
+WORDS, PAIRS, LONGEST_WORD = 600_000, 500_000, 64
 
-_segments = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_NONE: dict[str, bool] = {}
+_words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Model:
@@ -75,9 +76,17 @@ class Model:
                 raise ValueError(f"piece type {p.type} is not supported")
         self.longest = max(map(len, self.ids))
         self.unknown = min(self.scores.values()) - 10
+        #: Pieces by their characters: each character leads to the piece that ends with it, if any, and on.
+        self.tree: dict[str, list] = {}
+        for p in self.ids:
+            node = [None, self.tree]
+            for c in p:
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = p
         #: Text may be cut before a mark that follows another character if no piece spans that place.
         self.words = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self._apart: dict[tuple[str, str], bool] = {}
+        self._apart: dict[str, dict[str, bool]] = {}
+        self._pairs = 0
         self._known: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -96,13 +105,16 @@ class Model:
 
     def apart(self, left: str, right: str) -> bool:
         """Whether merging leaves two neighbouring pieces as they are."""
-        if left not in self.ids or right not in self.ids:
+        if left not in self.ids:
             return True
-        known = self._apart.get((left, right))
-        if known is None:
-            if len(self._apart) >= PAIRS:
-                self._apart.clear()
-            known = self._apart[left, right] = self.merged(left + right) == [left, right]
+        if self._pairs >= PAIRS:
+            self._apart.clear()
+            self._pairs = 0
+        self._pairs += 1
+        # pieces that may merge into one do not stay apart; others must come out of merging as they are
+        whole = left + right
+        known = whole not in self.ids and self.merged(whole) == [left, right]
+        self._apart.setdefault(left, {})[right] = known
         return known
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
@@ -110,47 +122,57 @@ class Model:
         return (known,) if known is not None else tuple(self.bytes[b] for b in piece.encode())
 
     def viterbi(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Ids of a marked text, piece by piece, as soon as they are final."""
-        settled, window = 0, self.longest
-        back: dict[int, int] = {}
-        score: dict[int, float] = {0: 0.0}
-        ids, bpe = self.ids, self.kind == BPE
-        for end in range(1, len(text) + 1):
-            best, start = None, end - 1
-            for j in range(max(settled, end - window), end):
-                piece = text[j:end]
-                if piece not in ids and j < end - 1:
+        """Ids of a marked text, piece by piece, as soon as they are final.
+
+        ``last`` holds the piece that ends at each living boundary, which is its backpointer too.
+        """
+        settled, total, window, bpe = 0, len(text), self.longest, self.kind == BPE
+        tree, known, scores, unknown = self.tree, self._apart, self.scores, self.unknown
+        last, score = {0: ""}, {0: 0.0}
+        for start in range(total):
+            before, branch, end = last[start], tree, start
+            apart = known.get(before, _NONE)
+            for character in text[start : start + window]:
+                node = branch.get(character)
+                if node is None:
+                    break
+                piece, branch = node
+                end += 1
+                if piece is None:
                     continue
-                if bpe:
-                    if j == 0 or self.apart(text[back[j] : j], piece):
-                        start = j
-                        break
-                else:
-                    total = score[j] + self.scores.get(piece, self.unknown)
-                    if best is None or total > best:
-                        best, start = total, j
-            back[end] = start
-            if not bpe:
-                score[end] = best
-            if end - settled > 3 * window or end == len(text):
-                alive = {end} if end == len(text) else set(range(end - window + 1, end + 1))
-                while len(alive) > 1:
-                    last = max(alive)
-                    alive.remove(last)
-                    alive.add(back[last])
-                common = alive.pop()
-                if common > settled:
-                    ends = [common]
-                    while back[ends[-1]] > settled:
-                        ends.append(back[ends[-1]])
-                    at = settled
-                    for e in reversed(ends):
-                        yield self.piece_ids(text[at:e])
-                        at = e
-                    # with BPE, the last settled piece still decides what may follow
-                    back = {k: v for k, v in back.items() if k >= common}
-                    score = {k: v for k, v in score.items() if k >= common}
-                    settled = common
+                if not bpe:
+                    sum_ = score[start] + scores[piece]
+                    if end not in score or sum_ > score[end]:
+                        last[end], score[end] = piece, sum_
+                elif end not in last:
+                    free = apart.get(piece)
+                    if free or (free is None and self.apart(before, piece)):
+                        last[end] = piece
+            if start + 1 not in last:
+                last[start + 1] = text[start]
+                if not bpe:
+                    score[start + 1] = score[start] + unknown
+            elif not bpe and text[start] not in scores and score[start] + unknown > score[start + 1]:
+                last[start + 1], score[start + 1] = text[start], score[start] + unknown
+            if start - settled < 3 * window and start + 1 < total:
+                continue
+            # everything up to here is explored: later pieces start at boundaries behind it
+            alive = {b for b in last if b > start}
+            while len(alive) > 1:
+                latest = max(alive)
+                alive.remove(latest)
+                alive.add(latest - len(last[latest]))
+            common = alive.pop()
+            if common > settled:
+                pieces, at = [], common
+                while at > settled:
+                    pieces.append(last[at])
+                    at -= len(last[at])
+                for piece in reversed(pieces):
+                    yield self.piece_ids(piece)
+                settled = common
+                last = {b: p for b, p in last.items() if b >= common}
+                score = {b: v for b, v in score.items() if b >= common}
 
     def encode(self, text: str) -> Iterator[tuple[int, ...]]:
         if not text:
@@ -158,7 +180,7 @@ class Model:
         marked = self.prefix + text.replace(" ", MARK)
         if not self.words:
             return self.viterbi(marked)
-        parts = _segments.findall(marked)
+        parts = _words.findall(marked)
         for part in set(parts).difference(self._known):
             if len(part) <= LONGEST_WORD:
                 self._known[part] = tuple(chain.from_iterable(self.viterbi(part)))
