@@ -73,7 +73,7 @@ def auxiliary_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def auxiliary_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ops.with_fallback(auxiliary_cards(spark, sf_dir).where(F.col("doc_id") % 8 != 0))
+    out = ops.with_fallback(auxiliary_cards(spark, sf_dir))
     return out.select(
         "doc_id", F.coalesce("record.vin_or_chassis", F.lit("-")).alias("vin"), F.coalesce("record.issue_date", F.lit("-")).alias("issue_date"),
         "record.notes", F.coalesce("auxiliary_ocr_lang", F.lit("-")).alias("auxiliary"),
@@ -142,10 +142,10 @@ SELECT doc_id, f AS id_found, CAST(f AS INT) + CAST(b AS INT) + CAST(g AS INT) +
          regexp_matches(l, '{_B}(?:male|female|transgender|m|f){_E}') AS g, regexp_matches(l, '{_B}(?:address|s/o|d/o|w/o|c/o|pin|pincode){_E}') AS a
   FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t, lower(replace(text, chr(10), ' ')) AS l FROM documents))""",
     "auxiliary_fallback": with_sql(CARDS_SQL) + f"""
-SELECT doc_id, CASE WHEN again THEN 'ZZ1AAAAAAAAAAAA' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') WHEN k % 3 = 0 THEN '-' ELSE vin END AS vin,
+SELECT doc_id, CASE WHEN again AND k % 3 = 0 THEN 'ZZ1AAAAAAAAAAAA' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') WHEN k % 3 = 0 THEN '-' ELSE vin END AS vin,
        CASE WHEN again THEN '2001/01/02' WHEN k % 3 = 0 THEN '-' ELSE issued END AS issue_date,
        CASE WHEN again THEN '{AUXILIARY_NOTE}' ELSE '{EXTRACT_NOTE}' END AS notes, CASE WHEN again THEN 'en' ELSE '-' END AS auxiliary
-FROM (SELECT *, k % 3 = 0 AND k % 9 <> 0 AND k % 2 = 0 AS again FROM cards WHERE k % 8 <> 0)""",
+FROM (SELECT *, (k % 3 = 0 OR k % 8 = 0) AND k % 9 <> 0 AND k % 2 = 0 AS again FROM cards)""",
     "translate_record": with_sql(CARDS_SQL, CARD_FIELDS_SQL) + f"""
 SELECT doc_id, field, label, coalesce(value, '-') AS value, coalesce(CASE WHEN num THEN value WHEN d.dst IS NOT NULL THEN d.dst ELSE {_REPLACED.format('value')} END, '-') AS translation
 FROM ({_field_rows()}) f LEFT JOIN {_PAIRS} ON f.value = d.src""",

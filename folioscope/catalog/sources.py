@@ -79,16 +79,17 @@ ERROR_VALUES = _values([(_q(c), str(h), str(r).lower()) for c, h, r in ERROR_COD
 
 
 def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each embedding drawn as an 8 x 8 bitmap file; label picks the shape of the frame."""
+    """Each embedding drawn as a bitmap file of its 64 values; label picks the shape of the frame."""
     folder = scratch_path(spark, "images")
     width = F.when(F.col("label") % 2 == 0, 8).otherwise(4)
+    height = F.when(F.col("label") % 2 == 0, 8).otherwise(16)
     low = "\x00\x00\x00"
     header = F.concat(
         F.lit("BM\x76\x01\x00\x00\x00\x00\x00\x00\x36\x00\x00\x00\x28\x00\x00\x00"), F.chr(width), F.lit(low),
-        F.lit("\x08\x00\x00\x00\x01\x00\x18\x00" + "\x00" * 24),
+        F.chr(height), F.lit("\x00\x00\x00\x01\x00\x18\x00" + "\x00" * 24),
     )
     pixel = lambda x: F.repeat(F.chr(((x + 1.0) * 40).cast("int") + 1), 3)
-    body = F.array_join(F.transform(F.slice("embedding", F.lit(1), width * 8), pixel), "")
+    body = F.array_join(F.transform("embedding", pixel), "")
     table(spark, sf_dir, "embeddings").select(F.concat(header, body).alias("value")).write.option(
         "maxRecordsPerFile", 1
     ).text(folder)
@@ -153,8 +154,8 @@ FROM (SELECT {CLASS_LIST}[class_id + 1] AS type, count(*) AS n_boxes FROM detect
 JOIN (SELECT a AS type, count(*) AS n_parts_rules, CAST(sum(len(c)) AS BIGINT) AS n_parts FROM {PARTS_VALUES} v(a, b, c) GROUP BY 1) p USING (type)
 JOIN (SELECT a AS type, count(*) FILTER (WHERE d) AS n_replace FROM {REPAIR_VALUES} v(a, b, c, d) GROUP BY 1) r USING (type)""",
     "image_metadata": """
-SELECT CASE WHEN label % 2 = 0 THEN 8 ELSE 4 END AS width, 8 AS height, 'RGB' AS mode, count(*) AS images, CAST(0 AS BIGINT) AS errors
-FROM embeddings GROUP BY 1""",
+SELECT CASE WHEN label % 2 = 0 THEN 8 ELSE 4 END AS width, CASE WHEN label % 2 = 0 THEN 8 ELSE 16 END AS height, 'RGB' AS mode, count(*) AS images, CAST(0 AS BIGINT) AS errors
+FROM embeddings GROUP BY 1, 2""",
     "tabular_preview": """
 SELECT CAST(c_custkey % 16 AS INT) AS bucket, CAST(row_number() OVER (PARTITION BY c_custkey % 16 ORDER BY c_custkey) AS INT) AS row_no,
        c_custkey || '|' || c_name AS cells

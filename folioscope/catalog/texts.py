@@ -114,7 +114,7 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def argmax_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").withColumn("v", F.transform(F.slice("embedding", 1, 6), lambda x: F.round(x.cast("double"), 4)))
+    e = table(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)))
     return e.select("vec_id", sc.argmax_class(F.col("v"), DAMAGE_CLASSES, 0.52).alias("c")).where(F.col("c").isNotNull()).select(
         "vec_id", "c.class_id", "c.label", F.round("c.score", 6).alias("score")
     )
@@ -216,10 +216,11 @@ SELECT vec_id, round(exp(v[1]) / z, 6) AS first_p, round(exp(list_max(v)) / z, 6
        round(1 - CASE WHEN v[1] * 100 BETWEEN 0 AND 1 THEN v[1] * 100 ELSE {_SIG.format(x='v[1] * 100')} END, 6) AS negated_p
 FROM (SELECT *, list_sum(list_transform(v, lambda x: exp(x))) AS z FROM {_ROUNDED})""",
     "argmax_class": f"""
-SELECT vec_id, CAST(list_position(v[1:6], top) - 1 AS INT) AS class_id,
-       ['car-part-crack', 'deformation', 'flat-tire', 'glass-crack', 'lamp-crack', 'scratches'][list_position(v[1:6], top)] AS label, round(s, 6) AS score
-FROM (SELECT *, CASE WHEN list_min(v[1:6]) < 0 OR top > 1 THEN {_SIG.format(x='top')} ELSE top END AS s FROM (
-  SELECT *, list_max(v[1:6]) AS top FROM {_ROUNDED})) WHERE s >= 0.52""",
+SELECT vec_id, CAST(list_position(v, top) - 1 AS INT) AS class_id,
+       coalesce(['car-part-crack', 'deformation', 'flat-tire', 'glass-crack', 'lamp-crack', 'scratches'][list_position(v, top)],
+                CAST(list_position(v, top) - 1 AS VARCHAR)) AS label, round(s, 6) AS score
+FROM (SELECT *, CASE WHEN list_min(v) < 0 OR top > 1 THEN {_SIG.format(x='top')} ELSE top END AS s FROM (
+  SELECT *, list_max(v) AS top FROM {_ROUNDED})) WHERE s >= 0.52""",
     "box_geometry": with_sql(DETECTIONS_SQL) + """
 SELECT image_id, det_id, round(cx / 640, 4) AS fcx, round(w / 640, 4) AS fw, cx - w / 2 AS x1, cy + h / 2 AS y2,
        greatest(0, least((cx - w / 2) / 0.5, 1280)) AS ux1, greatest(0, least((cy - h / 2 - 80) / 0.5, 960)) AS uy1,
