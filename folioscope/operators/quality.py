@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.routing import hitl
 from folioscope.rules import AUTO_ACCEPT, REJECT_BELOW
+from folioscope.session import written
 
 PERCENTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -184,13 +185,15 @@ def drop_warmup(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int)
     """Leave out the first ``n`` runs of each group.
 
     Only the n warm-up rows per group are ranked (cut off before the shuffle); the rest is
-    compared with the last of them. ``order`` must be unique within a group.
+    compared with the last of them. Those last rows are written first: Spark then knows their
+    size, so with few groups the samples are not shuffled, and with many the join is one whose
+    hot groups it can split. ``order`` must be unique within a group.
     """
     if n <= 0:
         return df
     by = list(by)
     warm = top_k(df.select(*by, *order), by, [F.col(c) for c in order], n)
-    last = warm.groupBy(*by).agg(F.max(F.struct(*order)).alias("_last"))
+    last = written(warm.groupBy(*by).agg(F.max(F.struct(*order)).alias("_last")), "warm-up")
     left, right = df.alias("l"), last.alias("r")
     return (
         left.join(right, _same_keys("l", "r", by), "left")
