@@ -20,6 +20,7 @@ get a row; texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,12 +199,12 @@ class Model:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_loaded: dict[str, Model] = {}
+_loaded: dict[bytes, Model] = {}
 
 
-def _model(shared) -> Model:
-    """The broadcast model, built once per Python worker."""
-    key = str(shared.id) if hasattr(shared, "id") else str(id(shared))
+def _model(shared: Broadcast) -> Model:
+    """The broadcast model with its memories, kept by content for all tasks of a Python worker."""
+    key = hashlib.sha256(shared.value).digest()
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = Model(shared.value)
