@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected_components
-from folioscope.llm.frames import keyed_texts, written
+from folioscope.llm.frames import bitmap, keyed_texts, marked, written
 from folioscope.llm.words import U64, Block, blocks, grams, mix
 
 SHINGLE = 3
@@ -203,24 +203,26 @@ def _as_partner(postings: DataFrame, *more: str) -> DataFrame:
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the similarity."""
+    """The pairs whose whole sets reach the similarity. Only sets that pairs may name leave their task."""
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    asked = written(classes.select("c", "k1", "k2").join(ids, "c"), "asked")
+    wanted = bitmap(asked, "k1")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(wanted, dtype=np.uint8)
         for batch in batches:
+            batch = batch.take(pa.array(marked(bits, batch.column("k1").to_numpy())))
             for b in blocks(batch.column("text"), lower=True):
                 row, token = shingle_sets(b, size)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.rows))])
+                part = batch.slice(b.row, b.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("c").slice(b.row, b.rows), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token.view(np.int64)))],
-                    ["c", "tokens"])
+                    [part.column("k1"), part.column("k2"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token.view(np.int64)))],
+                    ["k1", "k2", "tokens"])
 
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    asked = classes.select("c", "k1", "k2").join(ids, "c")
-    whole = (
-        docs.select("k1", "k2", "text").join(asked, ["k1", "k2"]).dropDuplicates(["c"]).select("c", "text")
-        .mapInArrow(sets, "c bigint, tokens array<bigint>"))
-    whole = written(whole, "sets")
+    found = docs.select("k1", "k2", "text").mapInArrow(sets, "k1 bigint, k2 bigint, tokens array<bigint>")
+    whole = written(found.join(asked, ["k1", "k2"]).dropDuplicates(["c"]).select("c", "tokens"), "sets")
     both = pairs.join(whole.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b").join(
         whole.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
