@@ -38,12 +38,21 @@ def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return marked.join(own, [k1, k2], how).select(*docs.columns)
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """Hand texts to Python a thousand rows at a time, unless the session says otherwise."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, "1000")
+
+
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.score(docs, model, carry=True).where("kept").select("row.*")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     groups = written(ngram_join.linked_groups(docs, size=SHINGLE, percent=PERCENT).where("n_shingles > 0"), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")
     first = groups.groupBy("group").agg(F.min(order).alias("f"))
@@ -54,6 +63,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _joined(docs, found.where("contaminated"), "left_anti")
 
@@ -63,6 +73,7 @@ def secret_masking_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def token_ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return sentencepiece.encode(docs)
 
 

@@ -28,8 +28,8 @@ from folioscope.llm.words import ALPHANUMERIC, SPACED, U64, Block, blocks, mix
 
 BITS = 18
 GRADES = 3
-TRAIN_ROWS = 6_000
-TRAIN_FEATURES = 6_000_000
+TRAIN_ROWS = 4_000
+TRAIN_FEATURES = 4_000_000
 #: Features in fewer sampled documents than this get no weight.
 MIN_DOCS = 3
 STEPS, RATE, PENALTY, SCALE = 150, 0.1, 3e-4, 4.0
