@@ -266,6 +266,27 @@ def test_chat_perspectives(spark):
     assert chat_perspectives.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_parts_of_shared_turn_numbers(spark):
+    """Tied, null and repeated turn numbers: bounded rows that give the whole dialogue in order."""
+    tied = [(1, 5, f"r{i % 3}", f"t{i:04}") for i in range(1000)] + [(1, 7, "r0", "same")] * 300 + [(1, None, "r1", "null")] * 70
+    turns = tied + [(1, 200, "r2", "late"), (1, 64, "r2", "next")] + [(2, i % 8, "ann", str(i)) for i in range(64)] + [(None, 3, "x", "alone")] * 130
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {}
+    for r in chat_perspectives.rotate(df).collect():
+        assert r.n_turns <= chat_perspectives.PER_PART
+        assert (r.conv_id, r.speaker, r.part) not in got
+        got[r.conv_id, r.speaker, r.part] = r
+    for talk in (1, 2, None):
+        rows = sorted((-1 if t is None else t, r, x) for c, t, r, x in turns if c == talk)
+        for speaker in {r for _, r, _ in rows}:
+            parts = [r for k, r in sorted(got.items(), key=lambda x: x[0][2]) if k[:2] == (talk, speaker)]
+            heads = [(f"<|im_start|>{'assistant' if r == speaker else 'user name=' + r}\n", x) for _, r, x in rows]
+            assert "".join(p.rendered for p in parts) == "".join(f"{h}{x}<|im_end|>\n" for h, x in heads)
+            assert [p.rendered[m.start : m.end] for p in parts for m in p.mask] == [f"{x}<|im_end|>" for _, r, x in rows if r == speaker]
+    assert [k[2] for k in sorted(k for k in got if k[:2] == (1, "r0"))] == [*range(23), 24]  # 21 full parts and one of 26; then turns 64 and 200
+    assert [k[2] for k in got if k[0] == 2] == [0]
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame(
         [(i, f"http://h/{i}", f"<p>é{i}\r\n\r\n</p>" * (i % 50)) for i in range(700)] + [(None, None, None), (3, "http://h/3", "again")],
