@@ -7,10 +7,16 @@ a document is looked up, and each of its lines as a notice of its own.
 Only lines whose canonical length is that of a known text are hashed and joined; no other can match.
 Null and empty texts have an empty canonical form and match nothing, like texts of copyright lines
 alone. Repeated rows each get a row; known licences that share a canonical text are all named.
+
+The known set is ``KNOWN`` (short texts and notices) and the whole texts in ``license_texts/``, with
+and without their titles and appendices, as wrapped there and with one line a paragraph.
 """
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +76,52 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 )
 
+# Titles that may stand above a text; those of texts not named here are in their file.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", "The BSD License",
+                     'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "The BSD License", "New BSD License", "Modified BSD License",
+                     'BSD 3-Clause "New" or "Revised" License'),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: Paragraphs of the title, where a file has more than one.
+TITLE_PARAGRAPHS = {"CC0-1.0": 2}
+#: Last line of the terms, after which an appendix on their use may be left out.
+END_OF_TERMS = r"(?i)\n *(END OF TERMS AND CONDITIONS|Exhibit A - Source Code Form License Notice)[^\n]*"
+#: Wordings of one licence: pairs of a wording and others that stand in its place.
+WORDINGS = (
+    ("COPYRIGHT\nHOLDER OR CONTRIBUTORS BE", ("COPYRIGHT OWNER OR CONTRIBUTORS BE",)),
+    ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", ("59 Temple Place, Suite 330, Boston, MA 02111-1307 USA",)),
+    ("modify, and/or distribute", ("modify, and distribute",)),
+)
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of whole licence texts, in the variants that are looked up."""
+    files = [(f.name.removesuffix(".txt").split("~")[0], f.read_text("utf-8").strip("\n")) for f in resources.files("folioscope.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")]
+    found = set()
+    for name, text in [*files, *((n, t) for n, t in KNOWN if "\n\n" in t)]:
+        paragraphs = re.split(r"\n\s*\n", text)
+        own = TITLES.get(name, ())
+        if not own:
+            heads = range(TITLE_PARAGRAPHS.get(name, 1) + 1)
+            starts = ["\n\n".join(paragraphs[n:]) for n in heads]
+        else:
+            body = "\n\n".join(paragraphs[1:] if paragraphs[0].strip() in own else paragraphs)
+            starts = [body, *(f"{title}\n\n{body}" for title in own)]
+        for whole in starts:
+            ended = re.split(END_OF_TERMS, whole, maxsplit=1)
+            forms = [whole] if len(ended) == 1 else [whole, ended[0], *([f"{ended[0]}\n{ended[1]}"] if ended[1].startswith("END") else [])]
+            forms += [f.replace(a, b) for f in forms for a, others in WORDINGS for b in others if a in f]
+            forms += [re.sub(r"(?m)^ *[1-4][.)] ", " * ", f) for f in forms if name.startswith("BSD")]
+            forms += ["\n\n".join(re.sub(r"\s*\n\s*", " ", p) for p in re.split(r"\n\s*\n", f)) for f in forms]
+            found.update((name, f) for f in forms)
+    return sorted(found)
+
 
 def canonical_lines(text: Column) -> Column:
     """Canonical form with line breaks kept."""
@@ -84,9 +136,9 @@ def canonical(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
-def known_licenses(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def known_licenses(spark: SparkSession, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """(license, digest, length) of the known texts; rows without text after normalisation are left out."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
+    rows = spark.createDataFrame([*KNOWN, *whole_texts()] if known is None else list(known), "license string, text string")
     form = rows.select("license", canonical(canonical_lines(F.col("text"))).alias("form")).where("form != ''")
     return form.select("license", F.sha2("form", 256).alias("digest"), F.length("form").alias("length")).distinct()
 

@@ -1,5 +1,6 @@
 """Each operator against a plain version, on texts with every odd case."""
 
+import os
 import random
 from itertools import chain
 
@@ -251,6 +252,43 @@ def test_licenses(spark, docs, rows, nothing):
     assert licenses.scan_licenses(docs, licenses.known_licenses(spark).limit(0)).where("size(notices) > 0").count() == 0
 
 
+#: Written here by hand, in another wrapping than the file's.
+BSD_2 = """Copyright 2011 Someone Else. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met:
+  * Redistributions of source code must retain the above copyright notice, this list of conditions
+    and the following disclaimer.
+  * Redistributions in binary form must reproduce the above copyright notice, this list of
+    conditions and the following disclaimer in the documentation and/or other materials provided
+    with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT OWNER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER
+IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def test_whole_license_texts(spark):
+    folder = os.path.join(os.path.dirname(licenses.__file__), "license_texts")
+    files = {f: open(os.path.join(folder, f), encoding="utf-8").read() for f in sorted(os.listdir(folder))}
+    mit = dict(licenses.KNOWN[:1])["MIT"].split("\n\n", 1)[1]
+    gpl = files["GPL-3.0.txt"]
+    apache = files["Apache-2.0.txt"]
+    rows = [(f, t) for f, t in files.items()] + [
+        ("bare MIT", mit), ("old title", "The MIT License (MIT)\n\n" + mit.replace("<year> <holder>", "2001 A, B")), ("BSD-2", BSD_2),
+        ("no title", gpl.split("29 June 2007")[1]), ("no appendix", apache.split("   END OF")[0]),
+        ("filled in", apache.replace("[yyyy] [name of copyright owner]", "2020 A. Uthor")), ("other", BSD_2 + " More."), ("cut", gpl[:9000])]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {f: [f.removesuffix(".txt").split("~")[0]] for f in files} | {
+        "bare MIT": ["MIT"], "old title": ["MIT"], "BSD-2": ["BSD-2-Clause"], "no title": ["GPL-3.0"], "no appendix": ["Apache-2.0"],
+        "filled in": ["Apache-2.0"], "other": [], "cut": []}
+
+
 def test_chat_perspectives(spark):
     turns = [(1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "hé"), (1, 0, "system", "be kind"), (1, 3, "ann", None), (1, 70, "bob", "late"),
              (None, 0, "ann", "alone"), (None, 0, None, "apart"), (2, 0, "system", "only"), (3, 1, "ann", "tie"), (3, 1, "ann", "tie")]
