@@ -10,7 +10,7 @@ The fit uses at most ``TRAIN_ROWS`` labelled documents (those whose ids hash low
 
 Null and empty texts have no features and get the score 0. Unlabelled documents are scored like all
 others. Of several labels of a document the lowest grade counts; labels without quality are left out.
-Without any label all documents are kept. Repeated rows each get a row.
+Without any label all documents are kept. Repeated rows each get a row; the fit takes the least text of an id.
 """
 
 from __future__ import annotations
@@ -146,9 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                     ["doc_id", "grade", "slots", "shares"])
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    chosen = own.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade").mapInArrow(
-        describe, f"doc_id {kind}, grade int, slots array<int>, shares array<float>")
-    # one row an id, however often the document table repeats it
+    # one row an id, however often the document table repeats it: the least text, found before texts are described
+    once = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    chosen = once.select("doc_id", "text", "grade").mapInArrow(describe, f"doc_id {kind}, grade int, slots array<int>, shares array<float>")
     got = chosen.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "grade", F.hash("slots")).limit(rows).toArrow().combine_chunks()
     if not got.num_rows:
         return fit(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64))

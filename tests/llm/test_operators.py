@@ -252,6 +252,19 @@ def test_licenses(spark, docs, rows, nothing):
     assert licenses.scan_licenses(docs, licenses.known_licenses(spark).limit(0)).where("size(notices) > 0").count() == 0
 
 
+def test_classifier_takes_a_repeated_id_once(spark):
+    texts = [prose(30) if i % 3 else prose(30).upper() for i in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    lowest = table.orderBy(F.xxhash64("doc_id")).first()
+    copies = table.where(F.col("doc_id") == lowest.doc_id).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(5000)))).drop("n")
+    model = quality_classifier.train(table, labels)
+    again = quality_classifier.train(table.unionByName(copies).repartition(4), labels)
+    assert again.weights.any() and max(abs(again.weights - model.weights)) < 1e-9 and max(abs(again.thresholds - model.thresholds)) < 1e-9
+    least = quality_classifier.train(table.unionByName(copies.withColumn("text", F.concat("text", F.lit(" later")))), labels)
+    assert max(abs(least.weights - model.weights)) < 1e-9
+
+
 #: Written here by hand, in another wrapping than the file's.
 BSD_2 = """Copyright 2011 Someone Else. All rights reserved.
 
