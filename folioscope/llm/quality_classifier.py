@@ -5,8 +5,8 @@ word beginnings, word shapes and immediate repetitions is shared by all grades;
 P(grade <= k) = sigmoid(threshold_k - score). The fit gives an expected grade and the tail probability
 of the selected grade, by which documents are kept.
 
-The fit uses at most ``TRAIN_ROWS`` labelled documents (those whose ids hash lowest) and at most
-``TRAIN_FEATURES`` distinct features of theirs, in the same order; everything is scored.
+The fit uses at most ``rows`` labelled documents (those whose ids hash lowest) and stops before the
+document with which their distinct features would pass ``most_features``; everything is scored.
 
 Null and empty texts have no features and get the score 0. Unlabelled documents are scored like all
 others. Of several labels of a document the lowest grade counts; labels without quality are left out.
@@ -130,8 +130,11 @@ def graded(labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
         .groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade")))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = TRAIN_ROWS) -> Fit:
-    """Fit on the labelled documents whose ids hash lowest, ``rows`` at most."""
+def train(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = TRAIN_ROWS,
+    most_features: int = TRAIN_FEATURES,
+) -> Fit:
+    """Fit on the labelled documents whose ids hash lowest, ``rows`` and ``most_features`` of their features at most."""
     sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
 
@@ -154,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         return fit(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64))
     slots, shares = got.column("slots").combine_chunks(), got.column("shares").combine_chunks()
     sizes = slots.value_lengths().to_numpy()
-    within = int(np.searchsorted(np.cumsum(sizes), TRAIN_FEATURES, side="right"))
+    within = int(np.searchsorted(np.cumsum(sizes), most_features, side="right"))
     row = np.repeat(np.arange(within, dtype=np.int32), sizes[:within])
     total = len(row)
     return fit(row, slots.flatten().to_numpy()[:total], shares.flatten().to_numpy()[:total], got.column("grade").to_numpy()[:within].astype(np.int64))

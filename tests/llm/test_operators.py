@@ -265,6 +265,13 @@ def test_classifier_takes_a_repeated_id_once(spark):
     assert max(abs(least.weights - model.weights)) < 1e-9
 
 
+def test_classifier_bounds_are_parameters(spark):
+    table = spark.createDataFrame([(i, prose(30) if i % 2 else prose(30).upper()) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.train(table, labels, most_features=10**6).weights.any()
+    assert not quality_classifier.train(table, labels, most_features=0).weights.any()
+
+
 #: Written here by hand, in another wrapping than the file's.
 BSD_2 = """Copyright 2011 Someone Else. All rights reserved.
 
