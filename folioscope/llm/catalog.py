@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat_perspectives, decontamination, licenses, ngram_join, secrets, sentencepiece, substring_dedup, warc_fixity
+from folioscope.llm import (
+    chat_perspectives,
+    decontamination,
+    licenses,
+    ngram_join,
+    secrets,
+    sentencepiece,
+    substring_dedup,
+    vector_codes,
+    warc_fixity,
+)
 from folioscope.llm import quality_classifier as classifier
 from folioscope.llm import quality_rules as rules
 
@@ -69,6 +79,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k1", "k2", "items")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secrets": op2_secrets,
@@ -80,6 +95,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_license_digests": op9_license_digests,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,6 +140,20 @@ def _secret_spans(number: int, rule: secrets.Rule) -> str:
 _found = " UNION ALL".join(_secret_spans(i, r) for i, r in enumerate(secrets.RULES))
 _base = [i for i, r in enumerate(secrets.RULES) if r.base]
 
+
+def _vector_round(k: int) -> str:
+    """Nearest entries under codebook k, and codebook k + 1; floors of quotients are written out for negative sums."""
+    return f"""
+near{k} AS MATERIALIZED (
+  SELECT DISTINCT ON (rid, part) rid, part, entry, d FROM (
+    SELECT rid, part, entry, sum((c.v - b.v) * (c.v - b.v)) AS d FROM comp AS c JOIN book{k} AS b USING (part, pos) GROUP BY rid, part, entry)
+  ORDER BY rid, part, d, entry),
+book{k + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, coalesce(m.v, b.v) AS v FROM book{k} AS b LEFT JOIN (
+    SELECT part, entry, pos, (sum(v) - (sum(v) % count(*) + count(*)) % count(*)) // count(*) AS v
+    FROM comp JOIN near{k} USING (rid, part) GROUP BY part, entry, pos) AS m USING (part, entry, pos)),"""
+
+
 ORACLES = {
     "op2_secrets": f"""
 WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -268,5 +298,22 @@ found AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN hits USING (rid) LEFT JOIN found USING (rid)
+""",
+    "op11_vector_codes": f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+comp AS MATERIALIZED (
+  SELECT rid, (i - 1) // (len(embedding) // {vector_codes.PARTS}) AS part, (i - 1) % (len(embedding) // {vector_codes.PARTS}) AS pos,
+         CAST(floor({vector_codes.SCALE} * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS v
+  FROM kept, unnest(range(1, len(embedding) + 1)) AS t(i)),
+book0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, pos, v FROM comp WHERE rid <= {vector_codes.ENTRIES}),
+{"".join(_vector_round(k) for k in range(vector_codes.ROUNDS + 1))}
+coded AS (
+  SELECT rid, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near{vector_codes.ROUNDS} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book{vector_codes.ROUNDS}) AS codebooks_sha256
+FROM kept JOIN coded USING (rid)
 """,
 }
