@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.llm import (
     chat_perspectives,
     decontamination,
+    divergence,
     licenses,
     ngram_join,
     secrets,
@@ -84,6 +85,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secrets": op2_secrets,
@@ -96,6 +101,7 @@ QUERIES = {
     "op9_license_digests": op9_license_digests,
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -315,5 +321,33 @@ coded AS (
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
        (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book{vector_codes.ROUNDS}) AS codebooks_sha256
 FROM kept JOIN coded USING (rid)
+""",
+    "op13_source_divergence": rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+word AS (SELECT rid, lang, source, unnest(w) AS term FROM doc),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM word GROUP BY lang, term HAVING count(DISTINCT rid) >= {divergence.LEAST}),
+size AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+own AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM word SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+grp AS (SELECT lang, source, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM doc)
+        LEFT JOIN (SELECT lang, source, sum(n) AS n FROM own GROUP BY lang, source) AS s USING (lang, source)),
+share AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, 1 + 1000000000 * (coalesce(o.n, 0) + 1) // (g.n + s.v) AS p,
+         1 + 1000000000 * (k.n + 1) // (s.n + s.v) AS q
+  FROM grp AS g JOIN size AS s USING (lang) JOIN kept AS k USING (lang) LEFT JOIN own AS o USING (lang, source, term)),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM share AS a JOIN share AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM grp AS a JOIN grp AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart AS x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM share WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+         CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) AS t)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
 """,
 }

@@ -22,16 +22,16 @@ _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def _byte_class(excluded: list[int]) -> np.ndarray:
+def byte_class(excluded: list[int]) -> np.ndarray:
     table = np.ones(256, dtype=bool)
     table[excluded] = False
     return table
 
 
 #: Bytes of words ``[^\x20\x09-\x0D]+``.
-SPACED = _byte_class(list(SPACES))
+SPACED = byte_class(list(SPACES))
 #: Bytes of words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
-ALPHANUMERIC = _byte_class([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+ALPHANUMERIC = byte_class([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 _powers = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
 
@@ -111,14 +111,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def blocks(column: pa.Array, word_bytes: np.ndarray = SPACED, lower: bool = False) -> Iterator[Block]:
-    """Blocks of a text column in row order; ``lower`` turns A-Z into a-z first."""
+def blocks(column: pa.Array, word_bytes: np.ndarray = SPACED, lower: bool = False, size: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Blocks of about ``size`` bytes of a text column in row order; ``lower`` turns A-Z into a-z first."""
     if not len(column):
         return
     data, offsets = text_bytes(column)
     row = 0
     while row < len(offsets) - 1:
-        last = int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         last = max(last, row + 1)
         own = data[offsets[row] : offsets[last]]
         if lower:
@@ -173,3 +173,16 @@ def single_spaced(b: Block) -> tuple[bytes, np.ndarray, np.ndarray]:
     source = np.flatnonzero(inside[:-1])
     out[source - np.repeat(b.starts - starts, lengths)] = b.data[source]
     return out.tobytes(), starts, starts + lengths
+
+
+def packed_words(b: Block) -> pa.Array:
+    """All words of a block as one string column, in order."""
+    change = np.zeros(len(b.data) + 1, dtype=np.int8)
+    change[b.starts] += 1
+    change[b.ends] -= 1  # a word ends where the next row's word may begin
+    inside = np.cumsum(change[:-1], dtype=np.int8) > 0
+    offsets = np.zeros(len(b.starts) + 1, dtype=np.int64)
+    np.cumsum(b.ends - b.starts, out=offsets[1:])
+    letters = b.data[inside]
+    kind, width = (pa.string(), np.int32) if len(letters) < 1 << 31 else (pa.large_string(), np.int64)
+    return pa.Array.from_buffers(kind, len(b.starts), [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(letters)])
