@@ -35,7 +35,7 @@ from folioscope.llm.words import blocks, byte_class, packed_words
 LETTERS = byte_class([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 LEAST, UNIT, TOP = 3, 1_000_000_000, 200
 TEXT_BLOCK = 1 << 23
-SLICE_POSTINGS, CHUNK_POSTINGS, SALTS = 1 << 20, 1 << 20, 16
+SLICE_POSTINGS, CHUNK_POSTINGS, SALTS = 1 << 16, 1 << 20, 16
 
 
 def term_counts(docs: DataFrame, text_column: str, lang_column: str, source_column: str) -> DataFrame:
@@ -144,34 +144,40 @@ def _accumulated(table: pa.Table) -> pa.Table:
     lang = table.column("lang")[0].as_py()
     return pa.table({
         "lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(row), np.int64))), "source": names.dictionary.take(pa.array(row)),
-        "item": names.dictionary.take(pa.array(peer)), "shared": pa.array(value)})
+        "item": names.dictionary.take(pa.array(peer)), "value": pa.array(value)})
 
 
 def shared_corrections(postings: DataFrame, n_postings: int) -> DataFrame:
-    """(lang, source, item, shared) of every two sources that share a term."""
+    """(lang, source, item, value) of every two sources that share a term, a row for each slice."""
     slices = max(1, -(-n_postings // SLICE_POSTINGS))
     dealt = postings.select("lang", F.pmod(F.xxhash64("term"), F.lit(slices)).alias("slice"), "term", "source", "p", "zero")
-    cells = dealt.groupBy("lang", "slice").applyInArrow(_accumulated, "lang string, source string, item string, shared bigint")
-    return cells.groupBy("lang", "source", "item").agg(F.sum(F.col("shared").cast("decimal(38,0)")).cast("bigint").alias("shared"))
+    return dealt.groupBy("lang", "slice").applyInArrow(_accumulated, "lang string, source string, item string, value bigint")
 
 
-def _pairs(groups: DataFrame, shared: DataFrame) -> DataFrame:
-    """(lang, source, item, value) of every two sources of a language."""
+def _zero_baselines(groups: DataFrame) -> DataFrame:
+    """(lang, source, item, value): two rows for every two sources, from the terms that one has, as if the other had none.
+
+    The peers' side is three numbers a source, so its salted copies stay small; a source's shares stay in its own row.
+    """
     left = groups.withColumn("salt", F.pmod(F.xxhash64("source"), F.lit(SALTS)).cast("int"))
     right = groups.select(
-        "lang", F.col("source").alias("item"), F.col("zero").alias("zero2"), F.col("held").alias("held2"), F.col("shares").alias("shares2"),
+        "lang", F.col("source").alias("item"), F.col("zero").alias("zero2"), F.col("held").alias("held2"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     both = left.join(right, ["lang", "salt"]).where("source <> item")
     start = F.lit(0).cast("bigint")
-    base = (
-        F.aggregate("shares", start, lambda s, x: s + x["times"] * _apart(x["p"], F.col("zero2")))
-        + F.aggregate("shares2", start, lambda s, x: s + x["times"] * _apart(F.col("zero"), x["p"]))
-        + (F.col("kept") - F.col("held") - F.col("held2")) * _apart(F.col("zero"), F.col("zero2"))
-    )
-    value = F.when(F.col("kept") > 0, base).otherwise(start)
-    based = both.select("lang", "source", "item", value.alias("base"))
-    return based.join(shared, ["lang", "source", "item"], "left").select(
-        "lang", "source", "item", (F.col("base") + F.coalesce("shared", start)).alias("value"))
+    lacking = (F.col("kept") - F.col("held") - F.col("held2")) * _apart(F.col("zero"), F.col("zero2"))
+    own = F.aggregate("shares", start, lambda s, x: s + x["times"] * _apart(x["p"], F.col("zero2"))) + lacking
+    seen = F.aggregate("shares", start, lambda s, x: s + x["times"] * _apart(F.col("zero2"), x["p"]))
+    sides = F.array(
+        F.struct("source", "item", own.alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), seen.alias("value")))
+    return both.select("lang", F.when(F.col("kept") > 0, sides).otherwise(
+        F.array(F.struct("source", "item", start.alias("value")))).alias("sides")).select("lang", F.inline("sides"))
+
+
+def _pairs(groups: DataFrame, corrections: DataFrame) -> DataFrame:
+    """(lang, source, item, value) of every two sources of a language."""
+    parts = _zero_baselines(groups).unionByName(corrections)
+    return parts.groupBy("lang", "source", "item").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("bigint").alias("value"))
 
 
 def audit(
