@@ -9,6 +9,7 @@ from folioscope.llm import (
     chat_perspectives,
     decontamination,
     divergence,
+    html_extraction,
     licenses,
     ngram_join,
     secrets,
@@ -85,6 +86,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -101,6 +106,7 @@ QUERIES = {
     "op9_license_digests": op9_license_digests,
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,
+    "op12_html_text": op12_html_text,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -321,6 +327,18 @@ coded AS (
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
        (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book{vector_codes.ROUNDS}) AS codebooks_sha256
 FROM kept JOIN coded USING (rid)
+""",
+    # As far as pages hold one article element, whose blocks are headings and paragraphs, and no block repeats over a host.
+    "op12_html_text": r"""
+WITH piece AS (
+  SELECT row_number() OVER () AS rid, page_id, url,
+         string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h[1-6])>') AS ps FROM pages),
+plain AS (
+  SELECT page_id, url, list_transform(ps, lambda p: trim(regexp_replace(regexp_replace(replace(replace(replace(
+           regexp_replace(regexp_replace(p, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+           '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS ls FROM piece)
+SELECT page_id, url, array_to_string(list_filter(ls, lambda l: l <> ''), chr(10)) AS text,
+       length(array_to_string(list_filter(ls, lambda l: l <> ''), chr(10))) AS n_chars FROM plain
 """,
     "op13_source_divergence": rf"""
 WITH doc AS (
