@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.frames import written
+from folioscope.llm.frames import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,17 +25,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge to another one; component is the least node reachable.
 
-    Edges stay in tables throughout; no node's neighbours are gathered, and a hot node is only a
-    join key that adaptive execution can split. Ends when a round changes nothing.
+    Edges stay in tables throughout, and no node's neighbours are gathered. Ends when a round leaves the same edges;
+    both tables hold each edge once, so equal counts and no edge that is new prove it. Tables of past rounds go.
     """
     a, b = edges.columns[:2]
     current = written(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
-    before = None
+    before = current.count()
     while True:
         stars = written(_small_star(_large_star(current).where("a > b").distinct()).where("a > b").distinct(), "stars")
-        state = stars.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        after = stars.count()
+        if after == before and stars.join(current, ["a", "b"], "left_anti").isEmpty():
+            discard(current)
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        current, before = stars, state
+        discard(current)
+        current, before = stars, after

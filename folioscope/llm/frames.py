@@ -21,6 +21,15 @@ def keyed_texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no later read needs."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()  # type: ignore[union-attr]
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)  # type: ignore[attr-defined]
+
+
 #: Size of a filter on hash values, whatever their number; more values only make it less selective.
 BITMAP_BITS = 1 << 24
 

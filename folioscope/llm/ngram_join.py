@@ -14,6 +14,10 @@ copies costs one comparison a member and list, not one a pair. Members already l
 need no further comparison; what is left, members of a list in different components, is compared in
 full. So every link between components is found, and no pairs inside a component are enumerated.
 
+Before any set moves, pairs are compared by signatures of about a bit a shingle: the parity of the number of shingles in each of
+2^k classes. Two signatures differ in no more bits than the sets differ in shingles, so a pair whose signatures differ in
+more than a link allows is no link. Sets are then read for the pairs left.
+
 Null, empty and blank texts have no shingles and link with nothing. Repeated rows have equal sets and
 share a component. A null id never names a component unless the whole component has none.
 """
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected_components
-from folioscope.llm.frames import bitmap, keyed_texts, marked, written
+from folioscope.llm.frames import bitmap, discard, keyed_texts, marked, written
 from folioscope.llm.words import U64, Block, blocks, grams, mix
 
 SHINGLE = 3
@@ -76,7 +80,7 @@ def _choose(n: int, k: int) -> int:
 
 def shingle_sets(b: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of each distinct shingle of a block, sorted; shorter texts have one, their whole sequence."""
-    words = b.word_hashes()
+    words = b.word_keys()
     hashes, at = grams(words, b.first, size)
     row_of = b.row_of_word()
     found, rows = [hashes], [row_of[at]]
@@ -128,7 +132,31 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
     return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
 
-SETS = "k1 bigint, k2 bigint, doc_id {}, n int, d1 bigint, d2 bigint, heavy array<bigint>, light array<bigint>"
+#: Words of a signature, by the size of the set: one bit a shingle, between the bounds.
+LEAST_WORDS, MOST_WORDS = 1, 128
+
+
+def signatures(row: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signature words of every set, and the number of words of each; a power of two that grows with the set."""
+    words = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).clip(0).astype(np.int64), LEAST_WORDS, MOST_WORDS)
+    start = np.concatenate([[0], np.cumsum(words)])
+    bit = (mix(token + U64(0x2545F4914F6CDD1D)) & (words[row] * 64 - 1).astype(U64)).astype(np.int64)
+    odd = (np.bincount(start[row] * 64 + bit, minlength=int(start[-1]) * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64), words
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    """Bits in which two signatures differ; the longer is folded to the other's length."""
+
+    def folded(s: Column, other: Column) -> Column:
+        half = (F.size(s) / 2).cast("int")
+        return F.when(F.size(s) > F.size(other), F.zip_with(F.slice(s, 1, half), F.slice(s, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(s)
+
+    both = F.zip_with(folded(F.col(a), F.col(b)), folded(F.col(b), F.col(a)), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(both, F.lit(0), lambda s, x: s + x)
+
+
+SETS = "k1 bigint, k2 bigint, doc_id {}, n int, d1 bigint, d2 bigint, heavy array<bigint>, light array<bigint>, signature array<bigint>"
 
 
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -161,12 +189,13 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 place = np.arange(len(row)) - head[row]
                 length = np.where(n > light, n - -(-percent * n // 100) + 1, 0)
                 prefix = token[by_rarity][place < length[row]]
+                signature, n_words = signatures(row, token, n)
                 small = [subsets(token[head[r] : head[r + 1]]) if 0 < n[r] and percent * n[r] <= 100 * light else [] for r in range(b.rows)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("k1"), part.column("k2"), part.column("doc_id"), pa.array(n.astype(np.int32)),
                      *(pa.array(d.view(np.int64)) for d in digests), lists(prefix.view(np.int64), length),
-                     pa.array(small, pa.list_(pa.int64()))],
-                    ["k1", "k2", "doc_id", "n", "d1", "d2", "heavy", "light"])
+                     pa.array(small, pa.list_(pa.int64())), lists(signature, n_words)],
+                    ["k1", "k2", "doc_id", "n", "d1", "d2", "heavy", "light", "signature"])
 
     return docs.mapInArrow(describe, SETS.format(docs.schema["doc_id"].dataType.simpleString()))
 
@@ -203,8 +232,14 @@ def _as_partner(postings: DataFrame, *more: str) -> DataFrame:
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the similarity. Only sets that pairs may name leave their task."""
-    pairs = written(pairs, "pairs")
+    """The pairs whose whole sets reach the similarity. Only sets of pairs whose signatures agree leave their task."""
+    met = written(pairs, "met")
+    slim = classes.select("c", "n", "signature")
+    sides = met.join(slim.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a").join(
+        slim.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb")), "b")
+    n, m = F.col("na"), F.col("nb")
+    pairs = written(sides.where(_bits_apart("sa", "sb") <= n + m - 2 * _needed(n, m, percent)).select("a", "b"), "pairs")
+    discard(met)
     ids = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     asked = written(classes.select("c", "k1", "k2").join(ids, "c"), "asked")
     wanted = bitmap(asked, "k1")
@@ -227,7 +262,9 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
         whole.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
     counted = both.select("a", "b", shared.alias("o"), (F.size("ta") + F.size("tb")).alias("s"))
-    return counted.where(100 * F.col("o") >= percent * (F.col("s") - F.col("o"))).select("a", "b")
+    links = written(counted.where(100 * F.col("o") >= percent * (F.col("s") - F.col("o"))).select("a", "b"), "links")
+    discard(pairs, asked, whole)
+    return links
 
 
 def linked_groups(
@@ -240,13 +277,13 @@ def linked_groups(
     keyed = keyed_texts(docs, id_column, text_column)
     sets = written(_sets(keyed, size, percent), "sets")
     members = sets.where("n > 0").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("k1", "k2", "n", "heavy", "light")))
+        F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("k1", "k2", "n", "heavy", "light", "signature")))
     classes = written(members.withColumn("c", F.monotonically_increasing_id()), "classes")
     postings = written(_postings(classes, "heavy", 0).unionByName(_postings(classes, "light", 1)), "postings")
     # subset keys are led by the smallest set, lists by the member with the fewest rarer shingles
     first = F.struct(F.when(F.col("kind") == 1, F.col("n")).otherwise(F.col("at")).alias("o"), "c", "n", "at")
     leaders = postings.groupBy("kind", "token").agg(F.min(first).alias("l")).select("kind", "token", "l.c", "l.n", "l.at")
-    links = written(_links(_pairs(postings, _as_partner(leaders), percent), classes, keyed, size, percent), "links")
+    links = _links(_pairs(postings, _as_partner(leaders), percent), classes, keyed, size, percent)
     groups = connected_components(links)
 
     labelled = postings.join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))

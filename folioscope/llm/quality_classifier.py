@@ -5,8 +5,9 @@ word beginnings, word shapes and immediate repetitions is shared by all grades;
 P(grade <= k) = sigmoid(threshold_k - score). The fit gives an expected grade and the tail probability
 of the selected grade, by which documents are kept.
 
-The fit uses at most ``rows`` labelled documents (those whose ids hash lowest) and stops before the
-document with which their distinct features would pass ``most_features``; everything is scored.
+The fit uses at most ``rows`` labelled documents (of those that are there, the ones whose ids hash lowest) and stops before
+the document with which their distinct features would pass ``most_features``; everything is scored. The bounded sample goes to
+one task, which fits and returns the weights; the driver never holds a document or its features.
 
 Null and empty texts have no features and get the score 0. Unlabelled documents are scored like all
 others. Of several labels of a document the lowest grade counts; labels without quality are left out.
@@ -135,8 +136,10 @@ def train(
     most_features: int = TRAIN_FEATURES,
 ) -> Fit:
     """Fit on the labelled documents whose ids hash lowest, ``rows`` and ``most_features`` of their features at most."""
-    sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    # labels of documents that are not there must not use up the sample
+    present = graded(labels).join(own.select("doc_id"), "doc_id", "left_semi")
+    sample = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,19 +151,32 @@ def train(
                      pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32)))],
                     ["doc_id", "grade", "slots", "shares"])
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, slot, value, grades, total = [], [], [], [], 0
+        for batch in batches:
+            sizes = batch.column("slots").value_lengths().to_numpy()
+            within = int(np.searchsorted(total + np.cumsum(sizes), most_features, side="right"))
+            n = int(sizes[:within].sum())
+            row.append(np.repeat(np.arange(within, dtype=np.int32) + np.int32(sum(map(len, grades))), sizes[:within]))
+            slot.append(batch.column("slots").flatten().to_numpy()[:n])
+            value.append(batch.column("shares").flatten().to_numpy()[:n])
+            grades.append(batch.column("grade").to_numpy()[:within].astype(np.int64))
+            total += n
+            if within < batch.num_rows:
+                break
+        if row:
+            model = fit(np.concatenate(row), np.concatenate(slot), np.concatenate(value), np.concatenate(grades))
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()]) for x in model], ["weights", "thresholds"])
+
     kind = own.schema["doc_id"].dataType.simpleString()
     # one row an id, however often the document table repeats it: the least text, found before texts are described
     once = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
     chosen = once.select("doc_id", "text", "grade").mapInArrow(describe, f"doc_id {kind}, grade int, slots array<int>, shares array<float>")
-    got = chosen.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "grade", F.hash("slots")).limit(rows).toArrow().combine_chunks()
-    if not got.num_rows:
+    ordered = chosen.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "grade", F.hash("slots")).limit(rows)
+    got = ordered.select("grade", "slots", "shares").mapInArrow(fitted, "weights binary, thresholds binary").first()
+    if got is None:
         return fit(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64))
-    slots, shares = got.column("slots").combine_chunks(), got.column("shares").combine_chunks()
-    sizes = slots.value_lengths().to_numpy()
-    within = int(np.searchsorted(np.cumsum(sizes), most_features, side="right"))
-    row = np.repeat(np.arange(within, dtype=np.int32), sizes[:within])
-    total = len(row)
-    return fit(row, slots.flatten().to_numpy()[:total], shares.flatten().to_numpy()[:total], got.column("grade").to_numpy()[:within].astype(np.int64))
+    return Fit(*(np.frombuffer(x, dtype=np.float64) for x in got))
 
 
 def score(

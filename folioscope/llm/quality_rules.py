@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.words import U64, Block, blocks, grams, mix, spans_union
+from folioscope.llm.words import Block, blocks, packed_words, spans_union
 
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -74,13 +74,24 @@ def _clean(text: str) -> tuple[str, int, int, int]:
     return "\n".join(left), words, repeated, removed
 
 
+def _repeated_windows(b: Block) -> np.ndarray:
+    """First words of the 3-word windows that a row holds twice or more; words are compared, by their numbers in the block."""
+    encoded = packed_words(b).dictionary_encode()
+    word, size = encoded.indices.to_numpy().astype(np.int64), len(encoded.dictionary)
+    row = b.row_of_word()
+    if len(word) < 3:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(row[:-2] == row[2:])
+    pairs, pair = np.unique(word[at] * size + word[at + 1], return_inverse=True)
+    _, window, times = np.unique((row[at] * len(pairs) + pair) * size + word[at + 2], return_inverse=True, return_counts=True)
+    return at[times[window] > 1]
+
+
 def _base(b: Block) -> dict[str, np.ndarray]:
     points = b.code_points_before()
     letters = np.concatenate([[0], np.cumsum(points[b.ends] - points[b.starts])])
     symbols = np.concatenate([[0], np.cumsum(np.isin(b.data, list(SYMBOLS)))])
-    hashes, at = grams(b.word_hashes(), b.first, 3)
-    _, group, size = np.unique(mix(hashes + mix(b.row_of_word()[at].astype(U64))), return_inverse=True, return_counts=True)
-    again = at[size[group] > 1]
+    again = _repeated_windows(b)
     repeated = np.concatenate([[0], np.cumsum(spans_union(again, np.full(len(again), 3), len(b.starts)))])
     return {
         "n_words": b.counts, "word_chars": np.diff(letters[b.first]), "n_symbols": np.diff(symbols[b.offsets]),

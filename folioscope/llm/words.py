@@ -1,8 +1,10 @@
 """Words of whole Arrow text columns as arrays: boundaries, hashes, n-grams.
 
 A column is worked off in blocks of a bounded number of text bytes (one row at least), so the
-arrays of a task stay small whatever the batch holds. Hashes are 64-bit and only ever group or
-pre-select; operators that need equality compare words, or carry 128 bits.
+arrays of a task stay small whatever the batch holds. ``word_hashes`` is a polynomial modulo 2^64: it only groups or
+pre-selects, for operators that then compare words or carry more bits. ``word_keys`` adds scrambled (place, byte) pairs and
+may stand for words where nothing else is compared: equal keys of different words are a matter of 64-bit chance alone, with
+no structure of a word that makes them meet. ``packed_words`` gives the words themselves.
 """
 
 from __future__ import annotations
@@ -84,6 +86,18 @@ class Block(NamedTuple):
         np.cumsum((self.data + U64(1)) * powers[: len(self.data)], out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
 
+    def word_keys(self) -> np.ndarray:
+        """Hashes that may stand for the words: the sum of a scrambled value for each (place in the word, byte)."""
+        sums = np.zeros(len(self.data) + 1, dtype=U64)
+        place = np.arange(len(self.data), dtype=U64)
+        lengths = self.ends - self.starts
+        inside = np.repeat(self.starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else self.starts, lengths)
+        at = (np.arange(len(inside)) + inside).astype(np.int64)  # positions of all letters
+        place = place[at] - np.repeat(self.starts, lengths).astype(U64)
+        sums[at + 1] = mix(((place << U64(8)) | self.data[at]) + U64(0x632BE59BD9B4E019))
+        np.cumsum(sums, out=sums)
+        return mix(sums[self.ends] - sums[self.starts] + lengths.astype(U64))
+
     def code_points_before(self) -> np.ndarray:
         """Code points before each byte position."""
         out = np.zeros(len(self.data) + 1, dtype=np.int64)
