@@ -15,6 +15,7 @@ read whole; spans are in code points, end exclusive.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import product
 from typing import NamedTuple
 
@@ -162,15 +163,29 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
         F.regexp_extract_all(text, pattern, F.lit(rule.group)),
         lambda s, g: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), (F.length(g) >= rule.least).alias("ok")))
     span = lambda a, s: F.struct((a["at"] + s["gap"]).alias("start"), F.lit(number).alias("rule"), (a["at"] + s["gap"] + s["size"]).alias("end"))
-    folded = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
+    fold = lambda part: F.aggregate(
+        part, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
         lambda a, s: F.struct(
             (a["at"] + s["gap"] + F.coalesce(s["size"], F.lit(0))).alias("at"),
-            F.when(s["ok"], F.concat(a["out"], F.array(span(a, s)))).otherwise(a["out"]).alias("out")),
-        lambda a: a["out"])
+            F.when(s["ok"], F.concat(a["out"], F.array(span(a, s)))).otherwise(a["out"]).alias("out")))
+    moved = lambda part, by: F.transform(part["out"], lambda s: F.struct(
+        (s["start"] + by).alias("start"), s["rule"].alias("rule"), (s["end"] + by).alias("end")))
+    folded = let(F.transform(_parts(steps), fold), lambda parts: F.flatten(F.zip_with(
+        parts, _before(F.transform(parts, lambda p: p["at"]), lambda x, y: x + y), lambda p, by: F.when(p.isNotNull(), moved(p, by)).otherwise(F.array().cast(SPAN)))))
     return F.when(F.rlike(text, pattern), folded).otherwise(F.array().cast(SPAN))
 
 
+def _parts(values: Column) -> Column:
+    """An array in about as many parts as each part has elements, so that folds copy short lists only."""
+    return let(values, lambda all_: let(F.ceil(F.sqrt(F.size(all_))).cast("int"), lambda c: F.transform(
+        F.sequence(F.lit(0), ((F.size(all_) - 1) / c).cast("int")), lambda i: F.slice(all_, i * c + 1, c))))
+
+
+def _before(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Running totals, from 0 before the first value to the total of all; one element more than the values."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda sums, x: F.concat(sums, F.array(add(F.element_at(sums, -1), x))))
+
+
 def _found(rows: DataFrame, text: Column, rules: tuple[Rule, ...]) -> DataFrame:
     """Rows (k1, ...) with a column ``found``: spans by start, then rule."""
     may = written(candidates(written(trigram_index(rows.select("k1", text.alias("text")), rules), "trigrams"), rules), "candidates")
@@ -192,12 +207,12 @@ def mask_secrets(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str | None = "n_chars",
     rules: tuple[Rule, ...] = RULES,
 ) -> DataFrame:
-    """The documents with secrets masked in their texts, and lengths of changed texts renewed; all columns stay."""
+    """The documents with secrets masked in their texts, and lengths of changed texts renewed where there is such a column; all columns stay."""
     rows = docs.select(F.xxhash64(id_column, text_column).alias("k1"), F.struct("*").alias("row"))
     text = F.col("row").getField(text_column)
     found = _found(rows, text, rules).select("row", masked(text, F.col("found")).alias("left"), (F.size("found") > 0).alias("changed"))
     out = F.col("row").withField(text_column, F.col("left"))
-    if length_column:
+    if length_column in docs.columns:
         kind = docs.schema[length_column].dataType
         out = out.withField(length_column, F.length("left").cast(kind))
     return found.select(F.when(F.col("changed"), out).otherwise(F.col("row")).alias("row")).select("row.*")
@@ -219,12 +234,26 @@ def report(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def masked(text: Column, found: Column, mask: str = MASK) -> Column:
-    """The text with every stretch covered by spans replaced by a mark."""
-    folded = F.aggregate(
-        found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] < a["at"], a["out"])
-            .otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, folded).otherwise(text)
+    """The text with every stretch covered by spans replaced by a mark.
+
+    Spans are worked off in parts: each cuts its stretch from the text once and then cuts that, so the work does not
+    grow with the number of spans times the length of the text.
+    """
+
+    def cut(part: Column, end: Column) -> Column:
+        stretch = F.substring(text, end + 1, F.greatest(F.element_at(part, -1)["start"] - end, F.lit(0)))
+        return let(stretch, lambda own: F.aggregate(
+            part, F.struct(end.alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda a, s: F.struct(
+                F.greatest(a["at"], s["end"]).alias("at"),
+                F.when(s["start"] < a["at"], a["out"])
+                .otherwise(F.concat(a["out"], F.array(F.concat(F.substring(own, a["at"] - end + 1, s["start"] - a["at"]), F.lit(mask))))).alias("out")),
+            lambda a: F.array_join(a["out"], "")))
+
+    def whole(parts: Column) -> Column:
+        tops = F.transform(parts, lambda p: F.array_max(F.transform(p, lambda s: s["end"])))
+        return let(_before(tops, F.greatest), lambda ends: F.concat(
+            F.array_join(F.zip_with(parts, ends, lambda p, end: F.when(p.isNotNull(), cut(p, end)).otherwise(F.lit(""))), ""),
+            F.substring(text, F.element_at(ends, -1) + 1, F.length(text))))
+
+    return F.when(F.size(found) > 0, let(_parts(found), whole)).otherwise(text)

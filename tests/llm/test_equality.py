@@ -1,6 +1,7 @@
 """Words that a polynomial hash confuses, signatures, sampling and gradients."""
 
 import random
+import time
 
 import brute
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import ngram_join, quality_classifier, quality_rules
+from folioscope.llm import ngram_join, quality_classifier, quality_rules, secrets
 from folioscope.llm.components import connected_components
 from folioscope.llm.words import U64, blocks, packed_words
 
@@ -126,3 +127,17 @@ def test_short_sets(spark, texts):
     sizes, groups = brute.groups(texts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_groups(docs).collect()}
     assert got == {i: (sizes[i], groups[i]) for i in range(len(texts))}
+
+
+def test_very_many_secrets_in_one_text(spark):
+    hexes = [f"{rng.randrange(1 << 100):025x}"[-25:] for _ in range(50_000)]
+    text = " ".join(f"é{h}" if i % 3 else f"token={h}" for i, h in enumerate(hexes))
+    docs = spark.createDataFrame([(1, text, 0), (2, "token=abcdef password: 'tokenxyz", 0)], "doc_id long, text string, n_chars int")
+    started = time.time()
+    got = {r.doc_id: r for r in secrets.mask_secrets(docs).collect()}
+    assert time.time() - started < 40
+    assert got[1].text == " ".join("é<secret>" if i % 3 else "<secret>" for i in range(50_000))
+    assert got[1].n_chars == len(got[1].text)
+    found = {r.doc_id: r for r in secrets.report(secrets.find_secrets(docs)).collect()}
+    for i, t in ((1, text), (2, docs.collect()[1].text)):
+        assert (found[i].n_assign, found[i].n_access, found[i].n_hex, found[i].base_sha256) == brute.secrets(t)

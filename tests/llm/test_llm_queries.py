@@ -11,6 +11,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(
 
 import corpus_pipeline
 from check_oracle import TABLES, _rows
+from pyspark.sql import functions as F
+
 from folioscope.llm import quality_classifier
 from folioscope.llm.catalog import ORACLES, QUERIES
 
@@ -102,6 +104,19 @@ def test_token_stage(stages):
     assert ids == {r.doc_id: reference.encode(r.text) for r in before}
 
 
+def test_extra_and_clashing_columns_pass_all_stages(spark, tmp_path):
+    names = ["row", "k1", "k2", "_key1", "_key2", "group", "found", "rules", "n", "f", "spans", "contaminated", "kept"]
+    rows = [(i, f"Words {i} of a text that tells number {i * i} and some more things. " * (3 + i % 4), "en", "s") for i in range(30)] + [(30, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select("*", *(F.lit("x").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, SF_DIR).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        assert after.columns == docs.columns and {r[n] for r in after.collect() for n in names} <= {"x"}, name
+        docs = after
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+    assert out.count() == docs.count()
+
+
 def test_odd_rows_pass_all_stages(spark, tmp_path):
     rows = [(None, "The same words stand in this text. " * 9), (None, "Other words stand in that text. " * 9), (1, None), (2, ""), (2, ""), (3, "few")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
