@@ -32,10 +32,9 @@ def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
     The keys are written first, so that Spark knows their size when it chooses how to join.
     """
-    k1, k2 = "_key1", "_key2"
-    marked = docs.withColumn(k1, F.xxhash64("doc_id", "text")).withColumn(k2, F.xxhash64(F.lit(1), "text", "doc_id"))
-    own = written(keys.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct(), "keys")
-    return marked.join(own, [k1, k2], how).select(*docs.columns)
+    key = F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2")
+    own = written(keys.select("k1", "k2").distinct(), "keys")
+    return docs.select(F.struct("*").alias("row"), *key).join(own, ["k1", "k2"], how).select("row.*")
 
 
 def _short_batches(spark: SparkSession) -> None:
