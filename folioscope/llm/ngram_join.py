@@ -231,10 +231,23 @@ def _as_partner(postings: DataFrame, *more: str) -> DataFrame:
     return postings.select("kind", "token", F.col("c").alias("d"), F.col("n").alias("m"), F.col("at").alias("m_at"), *more)
 
 
+def _named(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Classes that pairs may name, by a filter of fixed size before the shuffle; a few others may pass."""
+    ids = pairs.select(F.xxhash64("a").alias("h")).union(pairs.select(F.xxhash64("b").alias("h")))
+    wanted = bitmap(ids, "h")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(wanted, dtype=np.uint8)
+        for batch in batches:
+            yield batch.take(pa.array(marked(bits, batch.column("h").to_numpy())))
+
+    return classes.mapInArrow(take, classes.schema)
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose whole sets reach the similarity. Only sets of pairs whose signatures agree leave their task."""
     met = written(pairs, "met")
-    slim = classes.select("c", "n", "signature")
+    slim = _named(classes.select(F.xxhash64("c").alias("h"), "c", "n", "signature"), met)
     sides = met.join(slim.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a").join(
         slim.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb")), "b")
     n, m = F.col("na"), F.col("nb")
@@ -286,12 +299,14 @@ def linked_groups(
     links = _links(_pairs(postings, _as_partner(leaders), percent), classes, keyed, size, percent)
     groups = connected_components(links)
 
-    labelled = postings.join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    led = leaders.join(groups.withColumnRenamed("node", "c"), "c", "left").select(
-        "kind", "token", F.coalesce("component", "c").alias("leading"), F.col("c").alias("leader"))
-    split = labelled.groupBy("kind", "token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-    members = written(
-        labelled.join(split.select("kind", "token"), ["kind", "token"], "left_semi").join(led, ["kind", "token"]).where("kind = 0"), "members")
+    heavy = postings.where("kind = 0").select("token", "c", "n", "at")
+    labelled = written(heavy.join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")), "labelled")
+    discard(postings)
+    lead = F.min(F.struct("at", "c", "component")).alias("l")
+    split = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), lead).where("x != y").select(
+        "token", F.col("l.c").alias("leader"), F.col("l.component").alias("leading"))
+    members = written(labelled.join(split, "token").withColumn("kind", F.lit(0)), "members")
+    discard(labelled)
     outside = _as_partner(members.where("component != leading"), F.col("component").alias("other"))
     rest = _pairs(members.where("c != leader"), outside, percent, F.col("component") != F.col("other"))
     groups = connected_components(links.unionByName(_links(rest, classes, keyed, size, percent)))

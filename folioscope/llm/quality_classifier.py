@@ -34,6 +34,7 @@ TRAIN_FEATURES = 4_000_000
 #: Features in fewer sampled documents than this get no weight.
 MIN_DOCS = 3
 STEPS, RATE, PENALTY, SCALE = 150, 0.1, 3e-4, 4.0
+CHUNK = 1 << 19
 
 #: Bytes of the word beginnings that count as features beside whole words.
 STEMS = (4, 5, 6)
@@ -103,15 +104,22 @@ def fit(rows: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndar
     state = np.concatenate([np.zeros(len(used)), log_odds[:1], np.log(np.maximum(np.diff(log_odds), 1e-3))])
     mean, square = np.zeros_like(state), np.zeros_like(state)
     k = len(used)
+    del held, wide
+    parts = [slice(a, a + CHUNK) for a in range(0, len(at), CHUNK)]  # so that no step makes an array of all features
     for step in range(1, STEPS + 1):
-        score = np.bincount(rows, weights=state[at] * values, minlength=n)
+        score = np.zeros(n)
+        for c in parts:
+            score += np.bincount(rows[c], weights=state[at[c]] * values[c], minlength=n)
         cuts = np.cumsum(np.concatenate([state[k : k + 1], np.exp(state[k + 1 :])]))
         edges = np.concatenate([[-np.inf], cuts, [np.inf]])
         upper, lower = _sigmoid(edges[grades + 1] - score), _sigmoid(edges[grades] - score)
         p = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
         slope = np.zeros_like(state)
-        slope[:k] = np.bincount(at, weights=((du - dl) / n)[rows] * values, minlength=k) + PENALTY * state[:k]
+        pull = (du - dl) / n
+        for c in parts:
+            slope[:k] += np.bincount(at[c], weights=pull[rows[c]] * values[c], minlength=k)
+        slope[:k] += PENALTY * state[:k]
         by_cut = (np.bincount(grades, weights=-du, minlength=GRADES)[: GRADES - 1] + np.bincount(grades, weights=dl, minlength=GRADES)[1:]) / n
         slope[k:] = np.cumsum(by_cut[::-1])[::-1]
         slope[k + 1 :] *= np.exp(state[k + 1 :])
@@ -165,7 +173,11 @@ def train(
             if within < batch.num_rows:
                 break
         if row:
-            model = fit(np.concatenate(row), np.concatenate(slot), np.concatenate(value), np.concatenate(grades))
+            joined = []
+            for held in (row, slot, value, grades):
+                joined.append(np.concatenate(held))
+                held.clear()
+            model = fit(*joined)
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()]) for x in model], ["weights", "thresholds"])
 
     kind = own.schema["doc_id"].dataType.simpleString()
