@@ -54,7 +54,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     _short_batches(spark)
     groups = written(ngram_join.linked_groups(docs, size=SHINGLE, percent=PERCENT).where("n_shingles > 0"), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")
-    first = groups.groupBy("group").agg(F.min(order).alias("f"))
+    first = written(groups.groupBy("group").agg(F.min(order).alias("f")), "first")  # by itself, so that a hot group's rows can be split in the join
     later = groups.join(first, "group").where((F.col("k1") != F.col("f.k1")) | (F.col("k2") != F.col("f.k2"))).select("k1", "k2")
     repeated = groups.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2")
     once = _joined(docs, repeated.join(later, ["k1", "k2"], "left_anti"), "left_semi").dropDuplicates(["doc_id", "text"])
