@@ -22,7 +22,13 @@ from folioscope.sources.sinks import write_chunks, write_samples
 
 
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.file_inventory(src.read_files(spark, sf_dir)).select("filename", "extension", "size_bytes", "mime_type")
+    """Document texts written as one file per language, in folders whose files differ in kind; every file listed once."""
+    folder = scratch_path(spark, "inventory")
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    for kind, write in (("text", lambda w, p: w.text(p)), ("json", lambda w, p: w.json(p))):
+        write(docs.repartition("lang").write.partitionBy("lang"), f"{folder}/{kind}")
+    listed = src.file_inventory(src.read_files(spark, folder)).where("size_bytes > 0")
+    return listed.select(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), "extension", "size_bytes", "mime_type")
 
 
 def json_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +152,9 @@ QUERIES = {
 CLASS_LIST = "[" + ", ".join(map(_q, CLASS_NAMES)) + "]"
 
 ORACLES = {
+    "file_inventory": """
+SELECT lang, '.txt' AS extension, CAST(sum(strlen(text) + 1) AS BIGINT) AS size_bytes, 'text/plain' AS mime_type FROM documents GROUP BY lang
+UNION ALL SELECT lang, '.json', CAST(sum(strlen(replace(CAST(to_json({'text': text}) AS VARCHAR), '/', '/')) + 1) AS BIGINT), 'application/json' FROM documents GROUP BY lang""",
     "json_corpus": "SELECT page_id, url, length(html) AS n_chars FROM pages",
     "samples_csv": with_sql(REQUESTS_SQL) + "SELECT event_id, scenario, status_code, ok, elapsed_ms FROM requests",
     "rule_dimensions": with_sql(DETECTIONS_SQL) + f"""

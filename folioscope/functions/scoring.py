@@ -22,6 +22,41 @@ def batch_score(df: DataFrame, make_predict_fn: Callable, column: str, width: in
     return df.withColumn(out, score(F.col(column)))
 
 
+def bisected(fn: Callable[[pd.Series], pd.Series], values: pd.Series, default: object) -> tuple[list, list]:
+    """Values and errors of a vectorised function; a failing batch is halved until the failing rows stand alone.
+
+    f failing rows among n cost O(f log n) calls; a batch without one costs a single call.
+    """
+    out: list = [default] * len(values)
+    errors: list = [None] * len(values)
+    waiting = [(0, len(values))] if len(values) else []
+    while waiting:
+        a, b = waiting.pop()
+        try:
+            found = list(fn(values.iloc[a:b]))
+            if len(found) != b - a:
+                raise ValueError(f"{len(found)} values for {b - a} rows")
+            out[a:b] = found
+        except Exception as exc:  # a bad row must not stop the job
+            if b - a == 1:
+                errors[a] = f"{type(exc).__name__}: {exc}"
+            else:
+                middle = (a + b) // 2
+                waiting += [(middle, b), (a, middle)]
+    return out, errors
+
+
+def best_effort_batch(fn: Callable[[pd.Series], pd.Series], column: Column, default: object, value_type: str) -> Column:
+    """struct(value, error) of a vectorised function that may fail on single rows."""
+
+    @F.pandas_udf(f"value {value_type}, error string")
+    def apply(values: pd.Series) -> pd.DataFrame:
+        out, errors = bisected(fn, values, default)
+        return pd.DataFrame({"value": pd.Series(out, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    return apply(column)
+
+
 def best_effort_column(fn: Callable, column: Column, default: object, value_type: str) -> Column:
     """struct(value, error) of a per-value function that may fail on single rows."""
     guarded = best_effort(fn, default)

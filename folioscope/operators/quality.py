@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.functions.jsontext import collect_texts
+from folioscope.operators.records import identity_of_lines
 from folioscope.operators.routing import hitl
+from folioscope.operators.telemetry import server_ms
 from folioscope.rules import AUTO_ACCEPT, REJECT_BELOW
 from folioscope.session import written
 
@@ -244,19 +247,36 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float]) -> DataFrame:
 
 
 def parse_samples(samples: DataFrame, payload: str = "payload", accept: float = AUTO_ACCEPT,
-                  reject: float = REJECT_BELOW) -> DataFrame:
-    """Response fields and the review decision of every sample."""
-    parsed = response_metrics(samples, payload)
-    return parsed.withColumn("hitl_decision", hitl(F.col("confidence_score"), accept, reject))
+                  reject: float = REJECT_BELOW, headers: str | None = None) -> DataFrame:
+    """Response fields, the review decision and what the recognised lines show, of every sample.
+
+    Samples without lines have no identity fields. With ``headers``, a header map, the server's time is read from it.
+    """
+    parsed = response_metrics(samples, payload).withColumn("hitl_decision", hitl(F.col("confidence_score"), accept, reject))
+    if headers:
+        parsed = parsed.withColumn("server_ms", server_ms(F.col(headers)))
+    # Only payloads that name a text cross over to Python.
+    named = F.when(F.contains(F.col(payload), F.lit('"text"')), F.col(payload))
+    lines = parsed.withColumn("_lines", collect_texts(named))
+    return lines.withColumn("_seen", identity_of_lines(F.col("_lines"))).withColumn(
+        "aadhaar_number_found", F.col("_seen.id_found")).withColumn("required_field_count", F.col("_seen.score")).withColumn(
+        "ocr_line_count", F.when(F.size("_lines") > 0, F.size("_lines"))).drop("_lines", "_seen")
 
 
 def summaries(parsed: DataFrame, by: Sequence[str], ts: str = "ts") -> dict[str, DataFrame]:
-    """Every summary of a parsed sample table."""
+    """Every summary of a parsed sample table; those whose column is not there are left out."""
+    numbers = {"latency": "elapsed_ms", "confidence": "confidence_score", "server": "server_ms"}
+    categories = {"decisions": "hitl_decision", "status_codes": "status_code", "errors": "error"}
+    seen = {"aadhaar_number_found", "required_field_count", "ocr_line_count"} <= set(parsed.columns)
+    identity = parsed.groupBy(*by).agg(
+        F.count("ocr_line_count").alias("with_lines"), F.sum("ocr_line_count").alias("ocr_lines"),
+        F.count_if("aadhaar_number_found").alias("identity_found"), F.sum("required_field_count").alias("identity_fields"),
+    ) if seen else None
     return {
         "samples": parsed,
         "success": success_rate(parsed, by),
-        "latency": latency_summary(parsed, by, "elapsed_ms"),
-        "confidence": latency_summary(parsed, by, "confidence_score"),
-        "decisions": category_counts(parsed, "hitl_decision", by),
         "throughput": throughput(parsed, by, ts),
+        **{n: latency_summary(parsed, by, c) for n, c in numbers.items() if c in parsed.columns},
+        **{n: category_counts(parsed, c, by) for n, c in categories.items() if c in parsed.columns},
+        **({"identity": identity} if identity is not None else {}),
     }

@@ -22,11 +22,8 @@ def suffix_of(name: Column) -> Column:
 
 def media_type(name: Column, declared: Column | None = None) -> Column:
     """Declared type if given, else guessed from the suffix, else octet-stream."""
-    guess = F.lit(None).cast("string")
-    suffix = suffix_of(name)
-    for known, kind in SUFFIX_MEDIA_TYPES.items():
-        guess = F.when(suffix == known, kind).otherwise(guess)
-    chosen = F.coalesce(guess, F.lit(DEFAULT_MEDIA_TYPE))
+    known = F.create_map(*(F.lit(x) for pair in SUFFIX_MEDIA_TYPES.items() for x in pair))
+    chosen = F.coalesce(F.try_element_at(known, suffix_of(name)), F.lit(DEFAULT_MEDIA_TYPE))
     if declared is None:
         return chosen
     given = F.lower(F.trim(declared))

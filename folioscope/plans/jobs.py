@@ -11,21 +11,27 @@ from folioscope.functions import jsontext as js
 from folioscope.functions.scores import damage_prediction
 from folioscope.functions.text import text_preview
 from folioscope.operators import claims, detections, lines, quality, records, routing, translate
-from folioscope.operators.chunks import rag_chunks
+from folioscope.operators.chunks import chunks_of, errors_of, parsed_documents, rag_chunks
 from folioscope.rules import CAR_THRESHOLD, DAMAGE_THRESHOLD
-from folioscope.session import cut_lineage
+from folioscope.session import cut_lineage, written
 from folioscope.sources import files as src
 
 
 def pdf_job(docs: DataFrame, key: str = "doc_id", raw: str = "raw") -> dict[str, DataFrame]:
-    """OCR JSON of PDF documents to lines, confidence and chunks."""
+    """OCR JSON of PDF documents to lines, confidence, chunks and errors.
+
+    ``confidence`` has a row for every document, also those without lines; ``errors`` names the documents and pages
+    that could not be read. Sections for chunks and errors are parsed once and written.
+    """
     parsed = lines.parse_ocr(docs.select(key, raw), raw)
+    sections = written(parsed_documents(docs.select(F.col(key).cast("string").alias("source_file"), F.col(raw).alias("raw"))), "sections")
     return {
         "lines": lines.flatten_lines(parsed, key),
         "confidence": lines.mean_confidence(parsed, key).select(
             key, F.col("mean_confidence").alias("confidence_score"), F.lit("PDF OCR and text chunking executed.").alias("note")
         ),
-        "chunks": rag_chunks(docs.select(F.col(key).cast("string").alias("source_file"), raw), "source_file", raw),
+        "chunks": chunks_of(sections),
+        "errors": errors_of(sections),
     }
 
 
@@ -99,11 +105,17 @@ def damage_job(views: DataFrame, boxes: DataFrame, claim_spine: DataFrame, plate
     return {"predictions": predicted, "damages": rows, "report": report}
 
 
-def quality_job(samples: DataFrame, by: Sequence[str], order: Sequence[str], warmup: int = 1) -> dict[str, DataFrame]:
-    """Drop warm-up runs, parse the responses once, then summarise the narrow table."""
+def quality_job(samples: DataFrame, by: Sequence[str], order: Sequence[str], warmup: int = 1,
+                headers: str | None = None) -> dict[str, DataFrame]:
+    """Drop warm-up runs, parse the responses once, then summarise the narrow table.
+
+    ``status_code`` and ``error`` are counted and ``headers`` gives the server's time, where samples have them.
+    """
     measured = quality.drop_warmup(samples, by, order, warmup)
-    parsed = quality.parse_samples(measured).select(
-        *by, *order, "ok", "elapsed_ms", "confidence_score", "classification_label", "is_car", "damage_detected", "hitl_decision"
+    given = [c for c in ("status_code", "error") if c in samples.columns] + (["server_ms"] if headers else [])
+    parsed = quality.parse_samples(measured, headers=headers).select(
+        *by, *order, "ok", "elapsed_ms", "confidence_score", "classification_label", "is_car", "damage_detected", "hitl_decision",
+        "aadhaar_number_found", "required_field_count", "ocr_line_count", *given,
     )
     return quality.summaries(cut_lineage(parsed), by, ts=order[0])
 
@@ -112,11 +124,13 @@ def file_job(files: DataFrame) -> dict[str, DataFrame]:
     """Inspect files: category, details by category, and chunks of the JSON summary.
 
     Telling archives from other binaries takes the end of a file, so this job reads content;
-    the inventory and categories by name alone come from file_inventory and categorize.
+    the inventory and categories by name alone come from file_inventory and categorize. A ``declared_type``
+    column goes before the type guessed from the name.
     """
+    declared = F.col("declared_type") if "declared_type" in files.columns else None
     typed = routing.categorize(
         files.withColumn("filename", routing.base_name(F.col("path"))).withColumn("extension", routing.suffix_of(F.col("filename")))
-        .withColumn("mime_type", routing.media_type(F.col("filename"))).withColumn("_zip", src.is_zip(F.col("content"))), "_zip",
+        .withColumn("mime_type", routing.media_type(F.col("filename"), declared)).withColumn("_zip", src.is_zip(F.col("content"))), "_zip",
     ).drop("_zip")
     text = typed.where(F.col("category") == "text").select("path", text_preview(F.col("content")).alias("p")).select("path", "p.*")
     json = typed.where(F.col("category") == "json").select("path", js.json_profile(F.col("content").cast("string")).alias("p")).select("path", "p.*")
