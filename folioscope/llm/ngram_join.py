@@ -292,7 +292,12 @@ def linked_groups(
     members = sets.where("n > 0").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("k1", "k2", "n", "heavy", "light", "signature")))
     classes = written(members.withColumn("c", F.monotonically_increasing_id()), "classes")
+    # keys stand in the postings and the classes from here on: the wide tables go
+    documents = written(sets.select("k1", "k2", "doc_id", "n", "d1", "d2"), "documents")
+    discard(sets)
     postings = written(_postings(classes, "heavy", 0).unionByName(_postings(classes, "light", 1)), "postings")
+    wide, classes = classes, written(classes.drop("heavy", "light"), "slim-classes")
+    discard(wide)
     # subset keys are led by the smallest set, lists by the member with the fewest rarer shingles
     first = F.struct(F.when(F.col("kind") == 1, F.col("n")).otherwise(F.col("at")).alias("o"), "c", "n", "at")
     leaders = postings.groupBy("kind", "token").agg(F.min(first).alias("l")).select("kind", "token", "l.c", "l.n", "l.at")
@@ -316,7 +321,7 @@ def linked_groups(
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = placed.join(least, "component").select("d1", "d2", "component", "component_id")
     return (
-        sets.select("k1", "k2", "doc_id", "n", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), "d2").join(named, ["d1", "d2"], "left")
+        documents.select("k1", "k2", "doc_id", "n", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), "d2").join(named, ["d1", "d2"], "left")
         .select("k1", "k2", "doc_id", F.col("n").cast("bigint").alias("n_shingles"),
                 F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                 F.col("component").alias("group")))
