@@ -111,7 +111,7 @@ def tabular_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers.repartition("bucket").sortWithinPartitions("bucket", "c_custkey").write.partitionBy("bucket").option(
         "header", True
     ).csv(folder)
-    previews = src.tabular_preview(src.read_files(spark, folder, "*.csv"))
+    previews = src.tabular_preview(src.list_files(spark, folder, "*.csv"))
     rows = previews.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("int").alias("bucket"), F.posexplode("preview_rows").alias("row_no", "cells"))
     return rows.select("bucket", "row_no", F.array_join("cells", "|").alias("cells"))
 

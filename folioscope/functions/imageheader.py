@@ -12,9 +12,10 @@ class TooShort(Exception):
 
 
 def _at(data: bytes, form: str, at: int) -> tuple:
-    if at + struct.calcsize(form) > len(data):
+    part = data[at : at + struct.calcsize(form)]
+    if len(part) < struct.calcsize(form):
         raise TooShort
-    return struct.unpack_from(form, data, at)
+    return struct.unpack(form, part)
 
 
 def _png(data: bytes) -> tuple[int, int, str]:
@@ -80,7 +81,10 @@ _READERS = (
 
 
 def image_header(data: bytes) -> tuple[int, int, str]:
-    """(width, height, mode) of a PNG, BMP, GIF, JPEG or TIFF file; TooShort where the header goes on, ValueError for other bytes."""
+    """(width, height, mode) of a PNG, BMP, GIF, JPEG or TIFF file; TooShort where the header goes on, ValueError for other bytes.
+
+    ``data`` is the bytes, or a view of a file that can be cut like bytes.
+    """
     for magic, read in _READERS:
         if data.startswith(magic):
             try:

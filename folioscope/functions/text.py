@@ -159,10 +159,17 @@ def line_count(c: Column) -> Column:
     return breaks + open_end.cast("int")
 
 
-def text_preview(content: Column, max_chars: int = 4000) -> Column:
-    """First characters of a file, the decoding used, and the number of lines shown."""
+def text_preview(content: Column, max_chars: int = 4000, valid: Column | None = None) -> Column:
+    """First characters of a file, the decoding used, and the number of lines shown.
+
+    With ``valid`` given, ``content`` is the head of a file, 8 bytes for each character wanted and 8 more, so that
+    the last character shown never ends at the cut.
+    """
     raw = content.cast("string")
-    valid = F.is_valid_utf8(raw)
+    if valid is None:
+        valid = F.is_valid_utf8(raw)
+    else:
+        raw = F.make_valid_utf8(raw)
     text = F.regexp_replace(F.when(valid, raw).otherwise(F.make_valid_utf8(raw)), r"\r\n?", "\n")
     preview = F.substring(text, 1, max_chars)
     return F.struct(

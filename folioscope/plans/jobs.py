@@ -15,6 +15,9 @@ from folioscope.operators.chunks import chunks_of, errors_of, parsed_documents,
 from folioscope.rules import CAR_THRESHOLD, DAMAGE_THRESHOLD
 from folioscope.session import cut_lineage, written
 from folioscope.sources import files as src
+from folioscope.sources.ranges import MOST_BYTES, text_head, with_range, zip_at_end
+
+PREVIEW_CHARS = 4000
 
 
 def pdf_job(docs: DataFrame, key: str = "doc_id", raw: str = "raw") -> dict[str, DataFrame]:
@@ -123,17 +126,27 @@ def quality_job(samples: DataFrame, by: Sequence[str], order: Sequence[str], war
 def file_job(files: DataFrame) -> dict[str, DataFrame]:
     """Inspect files: category, details by category, and chunks of the JSON summary.
 
-    Telling archives from other binaries takes the end of a file, so this job reads content;
-    the inventory and categories by name alone come from file_inventory and categorize. A ``declared_type``
-    column goes before the type guessed from the name.
+    Listed files (``path`` and ``length``, of any size) are looked into where needed: the last 64 KiB to tell archives
+    from other binaries, the member table of an archive, the first rows of a table, the head of a text, which is
+    read through in blocks to know its decoding, and JSON files whole (one that no column can hold gets an error).
+    Rows that carry ``content`` are worked on as they are. A ``declared_type`` column goes before the type guessed
+    from the name.
     """
+    listed = "content" not in files.columns
     declared = F.col("declared_type") if "declared_type" in files.columns else None
     typed = routing.categorize(
         files.withColumn("filename", routing.base_name(F.col("path"))).withColumn("extension", routing.suffix_of(F.col("filename")))
-        .withColumn("mime_type", routing.media_type(F.col("filename"), declared)).withColumn("_zip", src.is_zip(F.col("content"))), "_zip",
+        .withColumn("mime_type", routing.media_type(F.col("filename"), declared)).withColumn("_zip", zip_at_end(F.col("path")) if listed else src.is_zip(F.col("content"))), "_zip",
     ).drop("_zip")
-    text = typed.where(F.col("category") == "text").select("path", text_preview(F.col("content")).alias("p")).select("path", "p.*")
-    json = typed.where(F.col("category") == "json").select("path", js.json_profile(F.col("content").cast("string")).alias("p")).select("path", "p.*")
+    texts, objects = (typed.where(F.col("category") == c) for c in ("text", "json"))
+    if listed:
+        texts = texts.withColumn("_t", text_head(F.col("path"), 8 * PREVIEW_CHARS + 8))
+        preview = text_preview(F.col("_t.head"), PREVIEW_CHARS, F.col("_t.valid"))
+        objects = with_range(objects.select("path", "length"), "content", F.lit(0), F.when(F.col("length") <= MOST_BYTES, F.col("length")))
+    else:
+        preview = text_preview(F.col("content"), PREVIEW_CHARS)
+    text = texts.select("path", preview.alias("p")).select("path", "p.*")
+    json = objects.select("path", js.json_profile(F.col("content").cast("string")).alias("p")).select("path", "p.*")
     summary = F.to_json(
         F.struct("filename", "mime_type", "extension", F.col("length").alias("size_bytes"), "category", "suggested_process_type"),
         {"ignoreNullFields": "false"},

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.imageheader import UNKNOWN, TooShort, image_header
 from folioscope.operators.routing import base_name, media_type, suffix_of
+from folioscope.sources.ranges import FileView, open_file
 
 HEAD_BYTES = 256 * 1024
 TAIL_BYTES = 1024 * 1024
-IMAGE_HEAD_BYTES = 64 * 1024
-HEADER = "width int, height int, mode string, error string, complete boolean"
+HEADER = "width int, height int, mode string, error string"
 PREVIEW = "rows array<array<string>>, error string, complete boolean"
 LISTING = "entries array<string>, error string, complete boolean"
 
@@ -75,36 +75,35 @@ def distinct_inputs(*frames: DataFrame, key: str = "path") -> DataFrame:
     return rows.select(key, "_row.*") if columns else rows.select(key)
 
 
-def _header(data: bytes | None, whole: bool) -> dict:
+def list_files(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None) -> DataFrame:
+    """(path, length) of every file below the paths; Spark lists them and opens none."""
+    return read_files(spark, paths, pattern).select("path", "length")
+
+
+def _header(path: str) -> dict:
     try:
-        if data is not None:
-            width, height, mode = image_header(data)
-            return {"width": width, "height": height, "mode": mode, "error": None, "complete": True}
+        with open_file(path) as file:
+            width, height, mode = image_header(FileView(file))
     except TooShort:
-        return {"width": None, "height": None, "mode": None, "error": UNKNOWN, "complete": whole}
+        return {"width": None, "height": None, "mode": None, "error": UNKNOWN}
     except ValueError as exc:
-        return {"width": None, "height": None, "mode": None, "error": str(exc), "complete": True}
-    return {"width": None, "height": None, "mode": None, "error": None, "complete": None}
+        return {"width": None, "height": None, "mode": None, "error": str(exc)}
+    return {"width": width, "height": height, "mode": mode, "error": None}
 
 
 def image_metadata(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Width, height and channel mode of images from their headers; unreadable files keep a row with an error.
 
-    Python sees the head of a file, and all of it only where a header is longer than that. No pixel is decoded. As in every
-    file source of Spark, a file without bytes gives no row.
+    A task opens a file and reads the blocks its header is in, wherever in the file they are; no content is scanned and
+    no pixel decoded. As in every file source of Spark, a file without bytes gives no row.
     """
 
     @F.pandas_udf(HEADER)
-    def read(data: pd.Series, whole: pd.Series) -> pd.DataFrame:
-        out = [_header(d if d is None else bytes(d), bool(w)) for d, w in zip(data, whole)]
-        return pd.DataFrame(out, columns=["width", "height", "mode", "error", "complete"], dtype=object)
+    def read(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_header(p) for p in names], columns=["width", "height", "mode", "error"], dtype=object)
 
-    files = read_files(spark, paths)
-    first = files.withColumn("_head", read(F.substring("content", 1, IMAGE_HEAD_BYTES), F.col("length") <= IMAGE_HEAD_BYTES))
-    again = read(F.when(~F.col("_head.complete"), F.col("content")), F.lit(True))
-    best = F.when(F.col("_head.complete"), F.col("_head")).otherwise(F.col("_again"))
-    return first.withColumn("_again", again).withColumn("_best", best).select(
-        "path", "_best.width", "_best.height", "_best.mode", F.col("_best.error").alias("image_error"))
+    found = list_files(spark, paths).withColumn("_h", read.asNondeterministic()("path"))
+    return found.select("path", "_h.width", "_h.height", "_h.mode", F.col("_h.error").alias("image_error"))
 
 
 def _preview(data: bytes | None, whole: bool, delimiter: str, n: int) -> dict:
@@ -119,20 +118,37 @@ def _preview(data: bytes | None, whole: bool, delimiter: str, n: int) -> dict:
         return {"rows": None, "error": str(exc), "complete": whole}
 
 
+def _first_rows(path: str, delimiter: str, n: int) -> dict:
+    with open_file(path) as file, io.TextIOWrapper(io.BufferedReader(file), encoding="utf-8", errors="replace", newline="") as text:
+        try:
+            rows = [r for _, r in zip(range(n), csv.reader(text, delimiter=delimiter))]
+        except csv.Error as exc:
+            return {"rows": None, "error": str(exc), "complete": True}
+    return {"rows": rows, "error": None, "complete": True}
+
+
 def tabular_preview(files: DataFrame, n: int = 5) -> DataFrame:
     """First ``n`` rows of each CSV / TSV file, quoted line breaks intact.
 
-    Python sees only the head of a file; the few whose first rows are longer than that are
-    parsed again from their whole content.
+    Listed files are read up to the end of the last wanted row. Of rows that carry ``content`` Python sees only the
+    head; the few whose first rows are longer than that are parsed again from their whole content.
     """
+    suffix = suffix_of(base_name(F.col("path")))
+    tables = files.withColumn("_suffix", suffix).where(F.col("_suffix").isin(".csv", ".tsv"))
+    if "content" not in files.columns:
+        @F.pandas_udf(PREVIEW)
+        def beginning(paths: pd.Series, suffixes: pd.Series) -> pd.DataFrame:
+            out = [_first_rows(p, "\t" if s == ".tsv" else ",", n) for p, s in zip(paths, suffixes)]
+            return pd.DataFrame(out, columns=["rows", "error", "complete"])
+
+        read = tables.withColumn("_best", beginning.asNondeterministic()("path", "_suffix"))
+        return read.select("path", F.col("_best.rows").alias("preview_rows"), F.col("_best.error").alias("tabular_error"))
 
     @F.pandas_udf(PREVIEW)
     def parse(data: pd.Series, whole: pd.Series, suffix: pd.Series) -> pd.DataFrame:
         out = [_preview(d, bool(w), "\t" if s == ".tsv" else ",", n) for d, w, s in zip(data, whole, suffix)]
         return pd.DataFrame(out, columns=["rows", "error", "complete"])
 
-    suffix = suffix_of(base_name(F.col("path")))
-    tables = files.withColumn("_suffix", suffix).where(F.col("_suffix").isin(".csv", ".tsv"))
     head = parse(F.substring("content", 1, HEAD_BYTES), F.col("length") <= HEAD_BYTES, F.col("_suffix"))
     first = tables.withColumn("_head", head)
     again = parse(F.when(~F.col("_head.complete"), F.col("content")), F.lit(True), F.col("_suffix"))
@@ -152,12 +168,28 @@ def _listing(data: bytes | None, whole: bool, n: int) -> dict:
         return {"entries": None, "error": str(exc), "complete": whole}
 
 
+def _members(path: str, n: int) -> dict:
+    with open_file(path) as file:
+        try:
+            with zipfile.ZipFile(file) as archive:
+                return {"entries": archive.namelist()[:n], "error": None, "complete": True}
+        except (zipfile.BadZipFile, ValueError) as exc:
+            return {"entries": None, "error": str(exc), "complete": True}
+
+
 def archive_listing(files: DataFrame, n: int = 30) -> DataFrame:
     """First ``n`` member names of zip-based files.
 
-    The member table sits at the end of the file, so Python sees only the tail; archives
-    with a longer table are read again in full.
+    The member table sits at the end of the file, and of listed files only that is read. Of rows that carry
+    ``content`` Python sees the tail; archives with a longer table are read again in full.
     """
+    if "content" not in files.columns:
+        @F.pandas_udf(LISTING)
+        def table(paths: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([_members(p, n) for p in paths], columns=["entries", "error", "complete"])
+
+        read = files.withColumn("_best", table.asNondeterministic()("path"))
+        return read.select("path", F.col("_best.entries").alias("archive_entries"), F.col("_best.error").alias("archive_error"))
 
     @F.pandas_udf(LISTING)
     def members(data: pd.Series, whole: pd.Series) -> pd.DataFrame:
