@@ -84,6 +84,23 @@ def damage_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("plate.source_view", F.lit("-")).alias("source_view"))
 
 
+def damage_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every view of the damage job as its report shows it; a ninth of the claims have a failed batch on every second view."""
+    views = claim_views(spark, sf_dir)
+    failed = (F.col("claim_id") % 9 == 2) & F.col("view").isin("front", "left")
+    views = views.withColumn("view_error", F.when(failed, F.lit("INFERENCE: batch failed")))
+    claims = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"))
+    report = jobs.damage_job(views, _claim_boxes(spark, sf_dir), claims)["report"]
+    head = ["claim_id", "damage_detected", "any_view_error"]
+    seen = report.select(*head, F.explode("per_view").alias("view", "p")).select(
+        *head, "view", F.lit("analysed").alias("state"), F.col("p.damage_detected").alias("view_damaged"), F.round("p.confidence_score", 4).alias("score"),
+        F.size("p.damages").alias("n_damages"), F.coalesce("p.error", F.lit("-")).alias("error"))
+    skipped = report.select(*head, F.explode("skipped_views").alias("view", "s")).select(
+        *head, "view", F.col("s.reason").alias("state"), F.lit(False).alias("view_damaged"), F.col("s.car_confidence").alias("score"),
+        F.lit(0).alias("n_damages"), F.lit("-").alias("error"))
+    return seen.union(skipped)
+
+
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark samples per scenario: rates, latency, server time, decisions, status codes, errors and identity lines."""
     e = F.col("event_id")
@@ -151,6 +168,7 @@ QUERIES = {
     "record_job": record_job,
     "damage_job": damage_job,
     "damage_reports": damage_reports,
+    "damage_views": damage_views,
     "quality_report": quality_report,
     "file_job": file_job,
 }
@@ -192,6 +210,20 @@ SELECT o_orderkey AS claim_id, coalesce(bool_or(prob_damaged >= 0.5) FILTER (WHE
        CASE WHEN count(*) FILTER (WHERE car_prob >= 0.65) > 0 THEN 'P' || o_orderkey ELSE '' END AS plate_text,
        coalesce(arg_min(view, list_position(['front', 'back', 'left', 'right'], view)) FILTER (WHERE car_prob >= 0.65), '-') AS source_view
 FROM orders LEFT JOIN claim_views ON o_orderkey = claim_id GROUP BY 1""",
+    "damage_views": "WITH RECURSIVE " + CLAIM_VIEWS_SQL + ", " + DETECTIONS_SQL + f""",
+marked AS (SELECT *, CASE WHEN claim_id % 9 = 2 AND view IN ('front', 'left') THEN 'INFERENCE: batch failed' END AS view_error FROM claim_views),
+good AS (SELECT * FROM marked WHERE car_prob >= 0.65 AND prob_damaged >= 0.5 AND view_error IS NULL),
+boxes AS (SELECT (d.image_id, g.view) AS image_id, det_id, cx, cy, w, h, class_id, score FROM detections d JOIN good g
+          ON g.claim_id = d.image_id AND g.view = ['front', 'back', 'left', 'right'][CAST(split_part(det_id, '-', 1) AS INT) % 4 + 1] WHERE score >= 0.5),
+""" + nms_sql() + """,
+found AS (SELECT image_id, len(kept) AS n FROM final)
+SELECT m.claim_id, coalesce(bool_or(car_prob >= 0.65 AND prob_damaged >= 0.5 AND view_error IS NULL) OVER (PARTITION BY m.claim_id), false) AS damage_detected,
+       bool_or(car_prob >= 0.65 AND view_error IS NOT NULL) OVER (PARTITION BY m.claim_id) AS any_view_error, m.view,
+       CASE WHEN car_prob >= 0.65 THEN 'analysed' ELSE 'not_a_car' END AS state, car_prob >= 0.65 AND prob_damaged >= 0.5 AND view_error IS NULL AS view_damaged,
+       CASE WHEN car_prob < 0.65 THEN round(1.0 - car_prob, 4) ELSE round(greatest(prob_damaged, 1.0 - prob_damaged), 4) END AS score,
+       CASE WHEN car_prob >= 0.65 AND prob_damaged >= 0.5 AND view_error IS NULL THEN coalesce(n, 1) ELSE 0 END AS n_damages,
+       CASE WHEN car_prob >= 0.65 THEN coalesce(view_error, '-') ELSE '-' END AS error
+FROM marked m LEFT JOIN found f ON f.image_id = (m.claim_id, m.view)""",
     "quality_report": with_sql(REQUESTS_SQL) + f"""
 SELECT scenario, count(*) AS runs, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS failed, round(avg(CAST(ok AS INT)), 4) AS success_rate,
        {_P}, round(max(ms), 2) AS max, round(quantile_cont(server, 0.5), 2) AS server_p50, round(max(server), 2) AS server_max, count(server) AS n_server,
