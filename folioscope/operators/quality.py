@@ -65,28 +65,46 @@ def _same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     return reduce(lambda a, k: a & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")), keys, F.lit(True))
 
 
-def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated percentiles, rank (n-1)*p, of groups of any size.
-
-    Values are first counted (combined before the shuffle and spread by value, so a group
-    holding a third of all rows is shared out). Counts per order-keeping bucket locate the
-    bucket of every wanted rank, and only those buckets are ranked value by value.
-    """
-    by = list(by)
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-        # asinh keeps the order and gives buckets of equal relative width.
-        .withColumn("_b", F.floor(F.asinh(F.col("_v") * 1e6) * 256).cast("bigint"))
+#: Distinct values a bucket may have to be ranked one by one; fuller ones are cut again.
+RANKED = 4096
+#: Parts that a full bucket is cut into.
+PARTS = 1024
+
+
+def _by_value(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(_key, _v, _c, _s): how often each group has each value, and their exact sum. A null value counts nothing."""
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    v = F.col(value)
+    # Combined before the shuffle and spread by value, so a group holding most rows is shared out.
+    return df.groupBy(key.alias("_key"), v.cast("double").alias("_v")).agg(
+        F.count(v).alias("_c"), F.sum(v.cast("decimal(28,8)")).alias("_s")
     )
-    steps = W.partitionBy(*by).orderBy("_b")
-    upto = steps.rowsBetween(W.unboundedPreceding, W.currentRow)
-    buckets = (
-        counted.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
-        .withColumn("_end", F.sum("_bc").over(upto))
-        .withColumn("_n", F.sum("_bc").over(W.partitionBy(*by)))
+
+
+def _buckets(level: DataFrame, *within: str) -> DataFrame:
+    """Bounds, distinct values and first rank of every bucket of a level, counted from the start of its ``within``."""
+    steps = W.partitionBy(*within).orderBy("_b")
+    return (
+        level.groupBy(*within, "_b").agg(
+            F.sum("_c").alias("_bc"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .withColumn("_end", F.sum("_bc").over(steps.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .withColumn("_n", F.sum("_bc").over(W.partitionBy(*within)))
         .withColumn("_start", F.col("_end") - F.col("_bc"))
-    )
+    )
+
+
+def _holding(ranks: Column) -> Column:
+    return F.filter(ranks, lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_end")))
+
+
+def exact_percentiles(counted: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """Exact interpolated percentiles, rank (n-1)*p, of the groups of a value count (``_by_value``) of any size.
+
+    All wanted ranks narrow down together. Counts per order-keeping bucket say which bucket holds a rank; a bucket with
+    more than ``RANKED`` distinct values is cut into ``PARTS`` even parts between its bounds, and so on, so no
+    bucket is ever ranked whole however narrow the band is that most values lie in. Each level reads only the
+    values of the full buckets before it; as the first buckets have equal relative width, a few levels reach single values.
+    """
     spots = F.array(*[
         F.struct(
             F.lit(name).alias("name"), F.floor((F.col("_n") - 1) * p).alias("low"),
@@ -98,44 +116,56 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[
         F.struct(s["name"].alias("name"), s["low"].alias("rank"), (1.0 - s["part"]).alias("weight")),
         F.struct(s["name"].alias("name"), F.least(s["low"] + 1, F.col("_n") - 1).alias("rank"), s["part"].alias("weight")),
     )))
-    wanted = (
-        buckets.withColumn("_want", F.filter(ranks, lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_end"))))
-        .where(F.size("_want") > 0).select(*by, "_b", "_start", "_want")
-    )
-    within = W.partitionBy(*by, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    a, b = counted.alias("a"), wanted.alias("b")
-    picked = (
-        a.join(b, _same_keys("a", "b", [*by, "_b"]))
-        .select(*[F.col(f"a.{k}").alias(k) for k in [*by, "_b", "_v", "_c"]], "_start", "_want")
-        .withColumn("_hi", F.col("_start") + F.sum("_c").over(within))
-        .withColumn("_hit", F.explode(F.filter("_want", lambda r: (r["rank"] >= F.col("_hi") - F.col("_c")) & (r["rank"] < F.col("_hi")))))
-    )
-    return picked.groupBy(*by).agg(*[
+    kept = ["_key", "_b", "_d", "_lo", "_hi", "_start", "_want"]
+    # asinh keeps the order and gives buckets of equal relative width.
+    first = F.floor(F.asinh(F.col("_v") * 1e6) * 256).cast("bigint")
+    level = counted.where("_c > 0").select("_key", F.array(first).alias("_b"), "_v", "_c")
+    wanted = written(_buckets(level, "_key").withColumn("_want", _holding(ranks)).where(F.size("_want") > 0).select(*kept), "ranks")
+    within = W.partitionBy("_key", "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hits = []
+    while True:
+        hits.append(
+            level.join(wanted.where(F.col("_d") <= RANKED), ["_key", "_b"])
+            .withColumn("_hi", F.col("_start") + F.sum("_c").over(within))
+            .withColumn("_hit", F.explode(F.filter("_want", lambda r: (r["rank"] >= F.col("_hi") - F.col("_c")) & (r["rank"] < F.col("_hi")))))
+            .select("_key", "_v", "_hit")
+        )
+        full = wanted.where(F.col("_d") > RANKED)
+        if full.isEmpty():
+            break
+        # Halves, so that the distance of the bounds is finite.
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        part = F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).cast("bigint")
+        cut = level.join(full, ["_key", "_b"])
+        level = written(cut.select("_key", F.col("_b").alias("_up"), F.concat("_b", F.array(part)).alias("_b"), "_v", "_c"), "level")
+        above = full.select("_key", F.col("_b").alias("_up"), F.col("_start").alias("_from"), F.col("_want").alias("_asked"))
+        parts = _buckets(level, "_key", "_up").join(above, ["_key", "_up"])
+        parts = parts.withColumn("_start", F.col("_start") + F.col("_from")).withColumn("_end", F.col("_end") + F.col("_from"))
+        wanted = written(parts.withColumn("_want", _holding(F.col("_asked"))).where(F.size("_want") > 0).select(*kept), "ranks")
+        level = level.drop("_up")
+    return reduce(DataFrame.union, hits).groupBy("_key").agg(*[
         F.sum(F.when(F.col("_hit.name") == name, F.col("_v") * F.col("_hit.weight"))).alias(name) for name in probs
     ])
 
 
-def _exact_mean(value: str) -> Column:
-    """Mean over exact decimal sums: the same whatever the partitioning."""
-    return F.avg(F.col(value).cast("decimal(28,8)")).cast("decimal(28,8)")
-
-
 def latency_summary(df: DataFrame, by: Sequence[str], value: str = "elapsed_ms",
                     percentiles: dict[str, float] | None = None, empty: float | None = None) -> DataFrame:
-    """min / mean / percentiles / max per group, two decimals; ``empty`` fills groups without values."""
+    """min / mean / percentiles / max per group, two decimals; ``empty`` fills groups without values.
+
+    The samples are read once: every figure comes from one written table of values and their counts per group. The mean
+    is over exact decimal sums, the same whatever the partitioning.
+    """
     probs = percentiles or PERCENTILES
-    by = list(by)
-    base = df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.min(value).alias("min"), _exact_mean(value).alias("mean"), F.max(value).alias("max")
+    counted = written(_by_value(df, by, value), "values")
+    base = counted.groupBy("_key").agg(
+        F.sum("_c").alias("n"), F.min("_v").alias("min"), F.try_divide(F.sum("_s"), F.sum("_c")).cast("decimal(28,8)").alias("mean"), F.max("_v").alias("max")
     )
-    exact = exact_percentiles(df, by, value, probs)
-    left, right = base.alias("l"), exact.alias("r")
-    joined = left.join(right, _same_keys("l", "r", by), "left")
+    joined = base.join(exact_percentiles(counted, probs), "_key", "left")
     stats = ["min", "mean", *probs, "max"]
-    rounded = [F.round(F.col(f"r.{s}" if s in probs else f"l.{s}"), 2).cast("double").alias(s) for s in stats]
+    rounded = [F.round(s, 2).cast("double").alias(s) for s in stats]
     if empty is not None:
         rounded = [F.coalesce(c, F.lit(empty)).alias(s) for c, s in zip(rounded, stats)]
-    return joined.select(*[F.col(f"l.{k}").alias(k) for k in by], "l.n", *rounded)
+    return joined.select(*[F.col("_key")[k].alias(k) for k in by], "n", *rounded)
 
 
 def success_rate(df: DataFrame, by: Sequence[str], percent: bool = False) -> DataFrame:

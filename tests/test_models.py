@@ -209,6 +209,29 @@ def test_percentiles_of_skewed_groups(spark):
     assert got["empty"].n == 0 and got["empty"].p50 is None and got["empty"]["min"] is None
 
 
+def test_percentiles_in_a_narrow_band(spark, monkeypatch):
+    """Nine tenths of all rows in one group and between two close values, the rest far off; repeats, null keys, huge values."""
+    monkeypatch.setattr(q, "RANKED", 8)
+    monkeypatch.setattr(q, "PARTS", 4)
+    rng = random.Random(4)
+    rows = [("hot", "x", 100.0 + rng.random() ** 9 / 1000) for _ in range(9000)]
+    rows += [("hot", "x", v) for v in (1e-300, -1e300, 1e300)] + [("hot", None, rng.choice([5.0, 6.0])) for _ in range(500)]
+    rows += [(None, None, float(i)) for i in range(400)] + [("near", "y", 1.0 + i * 2.0**-52) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, h string, v double")
+    counted = q._by_value(df, ["g", "h"], "v")
+    got = {(r._key.g, r._key.h): r for r in q.exact_percentiles(counted, q.PERCENTILES).collect()}
+    assert len(got) == 4
+    for key, r in got.items():
+        values = sorted(v for g, h, v in rows if (g, h) == key)
+        for name, p in q.PERCENTILES.items():
+            at = (len(values) - 1) * p
+            low = int(at)
+            want = values[low] * (1 - (at - low)) + values[min(low + 1, len(values) - 1)] * (at - low)
+            assert r[name] == pytest.approx(want, rel=1e-15), (key, name)
+    none = q.latency_summary(df.limit(0), ["g"], "v")
+    assert none.columns == ["g", "n", "min", "mean", "p50", "p90", "p95", "p99", "max"] and none.count() == 0
+
+
 def test_warmup_drops_short_groups(spark):
     rows = [("a", i) for i in range(5)] + [("b", 1), ("b", 2), (None, 1), (None, 2), (None, 3)]
     left = q.drop_warmup(spark.createDataFrame(rows, "g string, i int"), ["g"], ["i"], 2).collect()
