@@ -169,7 +169,30 @@ def pack_sql(max_chars: int, overlap: int) -> str:
     return PACK_SQL.format(max_chars=max_chars, overlap=overlap)
 
 
+# Reading order as a recursion over the boxes of a page by falling centre: mean centre, size and number of every row that is there.
+READING_SQL = """boxes AS (
+  SELECT doc_id, line_index, ((i * 37 + doc_id) % 5 * 100)::DOUBLE AS x0, (i // 3 * 18 + (i * 7 + doc_id) % 6)::DOUBLE AS y0, i % 4 AS wide, 9 + (i * 3) % 7 AS high
+  FROM (SELECT doc_id, line_index, line_index - 1 AS i FROM lines)),
+reach AS (SELECT doc_id, greatest(8.0e0, 0.6e0 * list_sort(list(high))[count(*) // 2 + 1]) AS tol FROM boxes GROUP BY doc_id),
+falling AS (
+  SELECT b.*, tol, y0 + high / 2.0e0 AS yc, row_number() OVER (PARTITION BY doc_id ORDER BY y0 + high / 2.0e0, line_index) AS pos
+  FROM boxes b JOIN reach USING (doc_id)),
+walk AS (
+  SELECT doc_id, 0::BIGINT AS pos, CAST([] AS STRUCT(yc DOUBLE, n DOUBLE)[]) AS rws, 0::BIGINT AS hit FROM reach
+  UNION ALL
+  SELECT doc_id, pos, CASE WHEN hit > len(rws) THEN list_append(rws, {'yc': yc, 'n': 1.0e0})
+           ELSE list_transform(rws, lambda r, k: CASE WHEN k = hit THEN {'yc': (r.yc * r.n + yc) / (r.n + 1), 'n': r.n + 1} ELSE r END) END, hit
+  FROM (SELECT f.doc_id, f.pos, f.yc, w.rws,
+               coalesce(nullif(list_position(list_transform(w.rws, lambda r: abs(f.yc - r.yc) <= f.tol), true), 0), len(w.rws) + 1)::BIGINT AS hit
+        FROM walk w JOIN falling f ON f.doc_id = w.doc_id AND f.pos = w.pos + 1)),
+last_rows AS (SELECT doc_id, arg_max(rws, pos) AS rws FROM walk GROUP BY doc_id),
+placed AS (
+  SELECT f.*, w.hit, l.rws[w.hit].yc AS centre FROM falling f JOIN walk w ON w.doc_id = f.doc_id AND w.pos = f.pos JOIN last_rows l ON l.doc_id = f.doc_id)"""
+
 ORACLES = {
+    "reading_order": "WITH RECURSIVE " + LINES_SQL + ", " + READING_SQL + """
+SELECT doc_id, string_agg(line_index, ',' ORDER BY centre, hit, x0, pos) AS ltr, string_agg(line_index, ',' ORDER BY centre, hit, -(x0 + 60 + wide), pos) AS rtl
+FROM placed GROUP BY doc_id""",
     "flatten_lines": with_sql(PAGE_LINES_SQL) + "SELECT doc_id, page, line_index, text, confidence FROM page_lines",
     "chunk_lines": "WITH RECURSIVE " + LINES_SQL + """, sized AS (
   SELECT doc_id AS key, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS i, text FROM lines WHERE text <> ''),

@@ -18,6 +18,7 @@ from folioscope.rules import GENERAL_DAMAGE_ACTION, HISTOGRAM_BUCKETS
 from folioscope.session import scratch_path
 from folioscope.streaming import breaker as br
 from folioscope.streaming import metrics as mt
+from folioscope.streaming.ingest import committed
 from folioscope.streaming.ingest import stream_ingest as ingest
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -77,7 +78,7 @@ def breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, bad, checkpoint = (scratch_path(spark, n) for n in ("ingest", "quarantine", "ingest-checkpoint"))
+    out, bad, manifest, checkpoint = (scratch_path(spark, n) for n in ("ingest", "quarantine", "ingest-manifest", "ingest-checkpoint"))
     d = F.col("doc_id")
     raw = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("page"), F.split("text", "\n").alias("lines"))).alias("pages")))
     uploads = _event_stream(spark, sf_dir, "documents").select(
@@ -85,9 +86,9 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 6 == 5, "video").otherwise("file").alias("process_type"), F.col("n_chars").alias("size_bytes"),
         F.when(d % 7 == 3, "{oops").when(d % 7 == 4, F.concat(F.substring(raw, 1, F.length(raw) - 2), F.lit(', {"lines": 7}]}'))).otherwise(raw).alias("raw"),
     )
-    ingest(uploads, out, bad, checkpoint).awaitTermination()
-    good = spark.read.parquet(out).groupBy("source_file").agg(F.count("*").alias("n"), F.lit("OK").alias("outcome"))
-    aside = spark.read.parquet(bad).groupBy(F.coalesce("filename", F.lit("-")).alias("source_file")).agg(
+    ingest(uploads, out, bad, manifest, checkpoint).awaitTermination()
+    good = committed(spark, out, manifest, "source_file string").groupBy("source_file").agg(F.count("*").alias("n"), F.lit("OK").alias("outcome"))
+    aside = committed(spark, bad, manifest, "filename string, error_code string").groupBy(F.coalesce("filename", F.lit("-")).alias("source_file")).agg(
         F.count("*").alias("n"), F.max("error_code").alias("outcome"))
     return good.unionByName(aside)
 

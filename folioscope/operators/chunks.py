@@ -87,16 +87,19 @@ def parsed_documents(docs: DataFrame, source: str = "source_file", raw: str = "r
     return docs.select(F.col(source).alias("source_file"), json_sections(F.col(raw)).alias("parsed"))
 
 
-def chunks_of(parsed: DataFrame, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks of parsed documents; bad pages leave the good pages of their document alone."""
-    sections = parsed.select("source_file", F.col("parsed.document_type").alias("document_type"), F.explode_outer("parsed.sections").alias("_p"))
+def chunks_of(parsed: DataFrame, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of parsed documents; bad pages leave the good pages of their document alone.
+
+    ``carried`` names columns of the documents that every chunk keeps.
+    """
+    sections = parsed.select("source_file", *carried, F.col("parsed.document_type").alias("document_type"), F.explode_outer("parsed.sections").alias("_p"))
     paged = F.col("document_type") == "ocr_pages"
     packed = F.when(paged, chunk_lines(F.col("_p.lines"), max_chars, overlap)).otherwise(
         chunk_lines(F.col("_p.lines"), max_chars, 0)
     )
     page = F.coalesce(F.col("_p.page"), F.lit("None"))
     return (
-        sections.select("source_file", "document_type", "_p", F.posexplode_outer(packed).alias("_i", "text"))
+        sections.select("source_file", *carried, "document_type", "_p", F.posexplode_outer(packed).alias("_i", "text"))
         .where(F.col("text").isNotNull())
         .withColumn("_i", F.col("_i") + 1)
         .select(
@@ -104,17 +107,22 @@ def chunks_of(parsed: DataFrame, max_chars: int = CHUNK_CHARS, overlap: int = CH
             F.when(paged, F.format_string("page-%s-chunk-%d", page, "_i"))
             .otherwise(F.format_string("chunk-%d", "_i")).alias("chunk_id"),
             "text",
-            _metadata(F.col("_p.page").try_cast("int"), F.col("_i"), F.col("document_type")).alias("metadata"),
+            _metadata(F.col("_p.page").try_cast("int"), F.col("_i"), F.col("document_type")).alias("metadata"), *carried,
         )
     )
 
 
+def found_errors(parsed: Column) -> Column:
+    """Array of struct(position, error) of one parsed document; the document's own error has no position."""
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("position"), parsed["error"].alias("error")))
+    pages = F.transform(parsed["sections"], lambda s, i: F.struct((i + 1).alias("position"), s["error"].alias("error")))
+    return F.filter(F.concat(whole, F.coalesce(pages, F.slice(whole, 1, 0))), lambda e: e["error"].isNotNull())
+
+
 def errors_of(parsed: DataFrame) -> DataFrame:
     """(source_file, position, error): documents that are no JSON, and pages without usable lines."""
-    whole = F.array(F.struct(F.lit(None).cast("int").alias("position"), F.col("parsed.error").alias("error")))
-    pages = F.transform("parsed.sections", lambda s, i: F.struct((i + 1).alias("position"), s["error"].alias("error")))
-    found = F.filter(F.concat(whole, F.coalesce(pages, F.slice(whole, 1, 0))), lambda e: e["error"].isNotNull())
-    return parsed.select("source_file", F.explode_outer(found).alias("e")).where(F.col("e").isNotNull()).select("source_file", "e.*")
+    found = F.explode_outer(found_errors(F.col("parsed"))).alias("e")
+    return parsed.select("source_file", found).where(F.col("e").isNotNull()).select("source_file", "e.*")
 
 
 def rag_chunks(docs: DataFrame, source: str = "source_file", raw: str = "raw",

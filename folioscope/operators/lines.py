@@ -137,54 +137,46 @@ def page_stats(pages: DataFrame, keys: Sequence[str] = ("doc_id", "page"), text_
 def reading_order(boxes: Column, rtl: bool = False) -> Column:
     """Order the line boxes of one page: rows top-down, then along the row.
 
-    ``boxes`` is an array of structs with x0, y0, x1, y1. Boxes enter by y-centre and join
-    the first row whose running mean centre is within the tolerance.
+    ``boxes`` is an array of structs with x0, y0, x1, y1. Boxes enter by falling centre and join
+    the row whose running mean centre is within the tolerance. A row that one box lies too far
+    below is out of reach of all that follow, so the fold carries a single open row and the
+    positions where rows begin; each row is then sorted by itself. Boxes without a centre come
+    first, each a row of its own.
     """
-    def height(b: Column) -> Column:
-        return F.greatest(F.lit(1.0), b["y1"] - b["y0"])
-
-    heights = F.array_sort(F.transform(boxes, height))
+    heights = F.array_sort(F.transform(boxes, lambda b: F.greatest(F.lit(1.0), b["y1"] - b["y0"])))
     median = let(heights, lambda h: F.get(h, F.floor(F.size(h) / 2).cast("int")))
     tolerance = F.greatest(F.lit(8.0), 0.6 * median)
     by_centre = F.array_sort(
         F.transform(boxes, lambda b, i: F.struct(((b["y0"] + b["y1"]) / 2.0).alias("yc"), i.alias("i")))
     )
     start = F.struct(
-        F.array().cast("array<struct<yc:double,n:double>>").alias("rows"),
-        F.array().cast("array<struct<row:int,i:int>>").alias("placed"),
+        F.lit(None).cast("double").alias("yc"), F.lit(0.0).alias("n"), F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"),
     )
 
     def placer(tol: Column):
         def place(acc: Column, b: Column) -> Column:
-            near = F.transform(acc["rows"], lambda r: F.abs(b["yc"] - r["yc"]) <= tol)
-            return let(F.array_position(near, True).cast("int") - 1, lambda hit: F.struct(
-                F.when(hit >= 0, F.transform(acc["rows"], lambda r, i: F.when(
-                    i == hit,
-                    F.struct(((r["yc"] * r["n"] + b["yc"]) / (r["n"] + 1.0)).alias("yc"), (r["n"] + 1.0).alias("n")),
-                ).otherwise(r))).otherwise(
-                    F.concat(acc["rows"], F.array(F.struct(b["yc"].alias("yc"), F.lit(1.0).alias("n"))))
-                ).alias("rows"),
-                F.concat(acc["placed"], F.array(F.struct(
-                    F.when(hit >= 0, hit).otherwise(F.size(acc["rows"])).alias("row"), b["i"].alias("i"),
-                ))).alias("placed"),
+            return let(F.coalesce(F.abs(b["yc"] - acc["yc"]) <= tol, F.lit(False)), lambda near: F.struct(
+                F.when(near, (acc["yc"] * acc["n"] + b["yc"]) / (acc["n"] + 1.0)).otherwise(b["yc"]).alias("yc"),
+                F.when(near, acc["n"] + 1.0).otherwise(1.0).alias("n"), (acc["at"] + 1).alias("at"),
+                F.when(near, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"]))).alias("starts"),
             ))
 
         return place
 
-    def finish(acc: Column) -> Column:
-        # Rows sort by their final centre, rows opened earlier first on ties.
-        def sort_key(p: Column, at: Column) -> Column:
-            box = F.get(boxes, p["i"])
-            along = -box["x1"] if rtl else box["x0"]
-            return F.struct(
-                F.get(acc["rows"], p["row"])["yc"].alias("yc"), p["row"].alias("row"), along.alias("x"),
-                at.alias("at"), p["i"].alias("i"),
-            )
+    def along(p: Column, at: Column) -> Column:
+        box = F.get(boxes, p["i"])
+        return F.struct((-box["x1"] if rtl else box["x0"]).alias("x"), at.alias("at"), box.alias("box"))
+
+    def rows(sorted_boxes: Column, starts: Column) -> Column:
+        def row(s: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(sorted_boxes) + 1)
+            return F.array_sort(F.transform(F.slice(sorted_boxes, s, end - s), along))["box"]
 
-        return F.array_sort(F.transform(acc["placed"], sort_key))
+        return F.flatten(F.transform(starts, row))
 
-    order = let(tolerance, lambda tol: F.aggregate(by_centre, start, placer(tol), finish))
-    return F.transform(order, lambda o: F.get(boxes, o["i"]))
+    return let(by_centre, lambda c: let(
+        let(tolerance, lambda tol: F.aggregate(c, start, placer(tol), lambda acc: acc["starts"])), lambda starts: rows(c, starts)
+    ))
 
 
 def first_index(lines: Column, test) -> Column:

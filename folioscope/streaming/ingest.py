@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from folioscope.functions.jsontext import json_sections
-from folioscope.operators.chunks import chunks_of, errors_of
+from folioscope.operators.chunks import chunks_of, found_errors
 from folioscope.operators.routing import categorize, check_requests, media_type, suffix_of
 from folioscope.rules import CHUNK_CHARS, CHUNK_OVERLAP
 
@@ -23,26 +24,47 @@ def prepare(uploads: DataFrame) -> DataFrame:
     return categorize(typed)
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, out: str, quarantine: str,
+def upload_key(*columns: str) -> Column:
+    """Digest of an upload's name, kind, size and content: a repeated name keeps an outcome of its own for each content."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, out: str, quarantine: str, manifest: str,
                  max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> None:
-    """Write one micro-batch. Each batch owns its folder, so a repeated batch overwrites itself."""
+    """Write one micro-batch: chunks, uploads set aside, and last its row in the manifest.
+
+    Each batch owns its folders, so a repeated batch overwrites itself. An upload and its errors are one row, so
+    nothing is joined; an upload with one bad page is set aside and its good pages are chunked.
+    """
     good = F.col("error_code").isNull()
-    content = F.when(good, F.col("raw"))
-    own = prepare(batch).withColumn("parsed", F.when(good, json_sections(content))).persist()  # parsed once for both sinks
+    keyed = prepare(batch.withColumn("upload_key", upload_key("filename", "process_type", "size_bytes", "raw")))
+    own = keyed.withColumn("parsed", F.when(good, json_sections(F.when(good, F.col("raw"))))).persist()  # parsed once for both sinks
     try:
-        parsed = own.where(good).select(F.col("filename").alias("source_file"), "parsed")
-        chunks_of(parsed, max_chars, overlap).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        bad = errors_of(parsed).groupBy("source_file").agg(F.min(F.struct("position", "error"))["error"].alias("error_detail"))
-        unread = own.where(good).join(bad, own["filename"] == bad["source_file"]).drop("source_file").withColumn("error_code", F.lit(UNREADABLE))
-        refused = own.where(~good).withColumn("error_detail", F.lit(None).cast("string"))
-        refused.unionByName(unread).drop("raw", "parsed").write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        parsed = own.where(good).withColumnRenamed("filename", "source_file")
+        chunks_of(parsed, max_chars, overlap, ("upload_key",)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        detail = F.when(good, F.array_min(found_errors(F.col("parsed")))["error"])
+        aside = own.withColumn("error_detail", detail).where(~good | F.col("error_detail").isNotNull())
+        aside.withColumn("error_code", F.coalesce("error_code", F.lit(UNREADABLE))).drop("raw", "parsed").write.mode("overwrite").parquet(
+            f"{quarantine}/batch={batch_id}")
+        own.agg(F.count("*").alias("uploads"), F.count_if(~good).alias("refused")).write.mode("overwrite").parquet(f"{manifest}/batch={batch_id}")
     finally:
         own.unpersist()
 
 
-def stream_ingest(uploads: DataFrame, out: str, quarantine: str, checkpoint: str,
+def committed(spark: SparkSession, folder: str, manifest: str, schema: StructType | str) -> DataFrame:
+    """Rows of a sink (of the given columns, with their ``batch``) whose batch stands in the manifest; a batch that
+    ended between its sinks is not seen."""
+    def batches(path: str, columns: StructType) -> DataFrame:
+        return spark.read.schema(columns).parquet(path)
+
+    columns = StructType.fromDDL(schema) if isinstance(schema, str) else StructType(list(schema.fields))
+    whole = batches(manifest, StructType().add("uploads", "long").add("batch", "long")).select("batch").distinct()
+    return batches(folder, columns.add("batch", "long")).join(whole, "batch", "left_semi")
+
+
+def stream_ingest(uploads: DataFrame, out: str, quarantine: str, manifest: str, checkpoint: str,
                   max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> StreamingQuery:
     return (
-        uploads.writeStream.foreachBatch(lambda b, n: ingest_batch(b, n, out, quarantine, max_chars, overlap))
+        uploads.writeStream.foreachBatch(lambda b, n: ingest_batch(b, n, out, quarantine, manifest, max_chars, overlap))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
