@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import (
@@ -34,17 +34,21 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica with flipped characters, cut payloads and lost records, all fixed by the page id."""
-    kept = records.where(~F.coalesce(F.col("page_id") % 193 == 5, F.lit(False)))
-    flipped = F.concat(F.lit("w"), F.substring("record", 2, 1 << 30))
-    cut = F.substring("record", 1, 60)
-    return kept.withColumn("record", F.when(F.col("page_id") % 97 == 3, flipped).when(F.col("page_id") % 389 == 7, cut).otherwise(F.col("record")))
+def damaged(page_id: Column, record: Column) -> Column:
+    """A record as the replica has it, with flipped characters or cut, null where it is lost; all fixed by the page id."""
+    flipped = F.concat(F.lit("w"), F.substring(record, 2, 1 << 30))
+    kept = F.when(page_id % 97 == 3, flipped).when(page_id % 389 == 7, F.substring(record, 1, 60)).otherwise(record)
+    return F.when(~F.coalesce(page_id % 193 == 5, F.lit(False)), kept)
 
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc_fixity.warc_records(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return warc_fixity.audit(warc_fixity.digests(records), warc_fixity.digests(damaged(records)))
+    records = warc_fixity.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    record = F.col("record")
+    hashed = records.select(
+        "file", "page_id", warc_fixity.record_size(record).alias("size"), F.sha2(record, 256).alias("digest"),
+        F.sha2(damaged(F.col("page_id"), record), 256).alias("replica_digest"))
+    both = warc_fixity.placed(hashed, "replica_digest")
+    return warc_fixity.audit(both, both.select("file", "offset", F.col("replica_digest").alias("digest")))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
