@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,12 +39,37 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 _nfkc = _nfkc.asNondeterministic()
 
 
+#: Runs of settled characters that the class names: shorter ones below this code point, long ones beyond.
+SETTLED_BELOW, SHORT_RUN, LONG_RUN = 0x800, 10, 256
+
+
+@cache
+def settled_runs() -> list[tuple[int, int]]:
+    """Runs of code points that NFKC leaves alone in any text made of them alone: each is its own NFKC form, is no
+    combining mark, and is never the later part of a composition."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1))
+    later = {int(p[1], 16) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+    later |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # vowels and finals of Hangul compose by rule
+    runs: list[tuple[int, int]] = []
+    for c in range(0x10000):
+        char = chr(c)
+        if unicodedata.category(char) in ("Cn", "Cs") or unicodedata.combining(char) or c in later or unicodedata.normalize("NFKC", char) != char:
+            continue
+        if runs and runs[-1][1] == c - 1:
+            runs[-1] = (runs[-1][0], c)
+        else:
+            runs.append((c, c))
+    return [(a, b) for a, b in runs if b - a + 1 >= (SHORT_RUN if a < SETTLED_BELOW else LONG_RUN)]
+
+
 def normalize_text(c: Column) -> Column:
     """NFKC, no tatweel, no bidi marks, collapsed whitespace.
 
-    Only text outside ASCII crosses to Python; ASCII is already in NFKC form.
+    Only text with a character that NFKC may change crosses to Python: plain Latin, Greek, Cyrillic, Hebrew, Arabic
+    and East Asian text stays in the JVM; combining marks, ligatures and width forms cross.
     """
-    foreign = c.rlike(r"[^\x00-\x7f]")
+    settled = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in settled_runs())
+    foreign = c.rlike(f"[^{settled}]")
     composed = F.when(foreign, _nfkc(F.when(foreign, c))).otherwise(c)
     return collapse_ws(F.regexp_replace(composed, r"[\x{0640}\x{200e}\x{200f}\x{202a}-\x{202e}]", ""))
 

@@ -1,7 +1,10 @@
 """Literal cases: boundaries the given tables do not contain."""
 
 import csv
+import random
 import struct
+import sys
+import unicodedata
 import zipfile
 import zlib
 
@@ -213,3 +216,26 @@ def test_sinks_round_trip(spark, tmp_path):
     write_samples(samples, str(tmp_path / "s"))
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(samples.schema).csv(str(tmp_path / "s"))
     assert back.collect() == samples.collect()
+
+
+def test_settled_characters_are_left_alone_by_nfkc():
+    rng, runs = random.Random(3), tx.settled_runs()
+    settled = [chr(c) for a, b in runs for c in range(a, b + 1)]
+    held = set(settled)
+    assert len(runs) < 100 and held >= set("abcé\u0634\u0631\u0627\u0660\u06f5\u05d0\u4e00\uac00\ue000 \t\n")
+    assert not held & set("\ufb01\u0301\u064b\uff21\u00a0\u1161\u00b2\u0675")
+    for _ in range(20_000):
+        text = "".join(rng.choices(settled, k=8))
+        assert unicodedata.is_normalized("NFKC", text), ascii(text)
+    for c in range(sys.maxunicode + 1):
+        parts = unicodedata.normalize("NFD", chr(c))
+        if len(parts) > 1 and set(parts) <= held:
+            assert unicodedata.is_normalized("NFKC", parts), ascii(parts)
+
+
+def test_normalize_text_equals_nfkc_on_mixed_texts(spark):
+    rng = random.Random(5)
+    alphabet = "ab é\u0634\u0631\u064b\u0640\u0301\u1100\u1161\u11a8\uac00\ufb01\uff21\u212b\U0001d400\u4e00\u0622\u0627\u0653\u00a0"
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(8))) for _ in range(500)]
+    want = [" ".join(unicodedata.normalize("NFKC", t).replace("\u0640", "").split()) for t in texts]
+    assert apply(spark, tx.normalize_text, texts) == want
