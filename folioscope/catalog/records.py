@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from folioscope.catalog.views import CARD_FIELDS_SQL, CARDS_SQL, cards, documents, ocr_documents, table, with_sql
 from folioscope.operators import records as ops
 from folioscope.operators.translate import translate, translate_record as translate_fields
-from folioscope.rules import ARABIC_ENGLISH, AUXILIARY_NOTE, EXTRACT_NOTE, FIELD_LABELS_EN, RECORD_FIELDS
+from folioscope.rules import (
+    ARABIC_ENGLISH, AUXILIARY_NOTE, EXTRACT_NOTE, FIELD_LABELS_EN, RECORD_FIELDS, SPACE_CLASS, VIN_ARTIFACTS, VIN_COMPOUND_ARTIFACTS,
+)
 
 TEXT_FIELDS = ("plate_number", "plate_text", "vehicle_type", "make", "model", "color", "vin_or_chassis", "engine_number", "issue_date", "expiry_date")
 NUMBER_FIELDS = ("year", "model_year", "engine_cc", "empty_weight_kg", "max_load_kg", "seats")
@@ -119,7 +121,19 @@ def _field_rows() -> str:
     return " UNION ALL ".join(parts)
 
 
+# Candidates of a text: word runs without their gaps, then unbroken runs; the least (tier, shortness, place) speaks.
+_HEADER = "|".join(VIN_ARTIFACTS)
+_VIN_SQL = f"""
+SELECT doc_id, list_sort(list_transform(list_filter(candidates, lambda c: length(c) BETWEEN 11 AND 20 AND NOT regexp_matches(c, '\\A(?:{_HEADER})|(?:{_HEADER})\\z')
+         AND c NOT IN ({", ".join(f"'{c}'" for c in VIN_COMPOUND_ARTIFACTS)})), lambda c, i: {{
+         'tier': CASE WHEN length(c) = 17 AND regexp_matches(c, '[A-Z]') AND regexp_matches(c, '[0-9]') THEN 0 WHEN regexp_matches(c, '^[A-Z]') THEN 1 ELSE 2 END,
+         'short': -length(c), 'i': i, 'vin': c}}))[1].vin AS vin
+FROM (SELECT doc_id, list_concat(
+        list_transform(regexp_extract_all(text, '(?:[A-Za-z0-9]{{2,}}[{SPACE_CLASS}\\-]*)+'), lambda r: upper(regexp_replace(r, '[{SPACE_CLASS}\\-]', '', 'g'))),
+        list_transform(regexp_extract_all(text, '[A-Za-z0-9]{{11,20}}'), lambda r: upper(r))) AS candidates FROM documents)"""
+
 ORACLES = {
+    "extract_vin": _VIN_SQL,
     "extract_record": with_sql(CARDS_SQL, CARD_FIELDS_SQL) + f"SELECT doc_id, {_fields_sql()} FROM card_fields",
     "extract_plate": with_sql(CARDS_SQL, CARD_FIELDS_SQL) + f"SELECT doc_id, {_fields_sql(('plate_number', 'plate_text'), ())} FROM card_fields",
     "extract_years": with_sql(CARDS_SQL, CARD_FIELDS_SQL) + f"SELECT doc_id, {_fields_sql((), ('year', 'model_year'))} FROM card_fields",
