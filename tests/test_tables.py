@@ -1,8 +1,12 @@
 """Queries on tables of several files, and work that must not be done twice."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from folioscope.catalog.views import cards
+from folioscope.operators.records import extract_record
 from folioscope.streaming import ingest
 
 
@@ -19,3 +23,25 @@ def test_streams_take_a_folder_of_files(spark, tmp_path):
 
 def test_a_stream_without_rows_has_no_outcomes(spark, tmp_path):
     assert ingest.committed(spark, str(tmp_path / "out"), str(tmp_path / "manifest"), "source_file string").collect() == []
+
+
+def test_cards_of_one_row_group_are_dealt_over_the_cores(spark, tmp_path):
+    """One small file with one row group is one task, in sessions without the test option."""
+    spark.range(200).select(F.col("id").alias("p_partkey")).toPandas().to_parquet(tmp_path / "part.parquet")
+    spread = spark.conf.get("spark.folioscope.spread")
+    spark.conf.unset("spark.folioscope.spread")
+    try:
+        rows = cards(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert rows.count() == 200
+    finally:
+        spark.conf.set("spark.folioscope.spread", spread)
+
+
+def test_the_own_number_is_found_once_a_card_not_once_a_number(spark):
+    """A column used once is written into the place of its use, which must not be the body of a lambda over the numbers."""
+    frame = spark.range(3).select("id", F.array(*map(F.lit, ("رقم اللوحة", "12345 ب", "سنة الصنع", "19", "1600 5 700"))).alias("lines"))
+    found = extract_record(frame).select("record.year", "record.model_year")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"filter\(_nums#\d+, lambdafunction\(NOT \(lambda \S+ <=> (?!lambda)", plan)
+    assert [tuple(r) for r in found.collect()] == [(2019, None)] * 3
