@@ -3,10 +3,11 @@
 import re
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from folioscope.catalog.views import cards
+from folioscope.catalog.views import cards, documents
 from folioscope.operators.records import extract_record
 from folioscope.streaming import ingest
 
@@ -61,3 +62,17 @@ def test_no_task_holds_a_language(spark, tmp_path):
             ("en", ".json", sum(len(f'{{"text":"text {i}"}}\n') for i in range(60))), ("en", ".txt", sum(len(f"text {i}\n") for i in range(60)))]
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", size)
+
+
+def test_documents_reach_python_a_thousand_at_a_time(spark, tmp_path):
+    setting, given = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'a text' AS text", "'en' AS lang", "'web' AS source", "6L AS n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    try:
+        for before, most in (("10000", 1000), ("500", 500)):  # the default gives way, a chosen number stays
+            spark.conf.set(setting, before)
+            rows = documents(spark, str(tmp_path)).coalesce(1).select("text")
+            sizes = [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+            assert sum(sizes) == 5000 and max(sizes) == most
+    finally:
+        spark.conf.set(setting, given)
