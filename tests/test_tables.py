@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from folioscope.catalog.views import cards, documents
-from folioscope.operators.records import extract_record
+from folioscope.operators.records import annotate_lines, extract_record
+from folioscope.rules import FIELD_LABELS_AR
 from folioscope.streaming import ingest
 
 
@@ -76,3 +77,18 @@ def test_documents_reach_python_a_thousand_at_a_time(spark, tmp_path):
             assert sum(sizes) == 5000 and max(sizes) == most
     finally:
         spark.conf.set(setting, given)
+
+
+def test_lines_are_looked_up_before_they_are_compared(spark):
+    """Equal keys and digits are found by position: only other lines are compared with all values, and those are plain texts."""
+    record = F.struct(*[F.lit(v).alias(n) for n, v in {
+        **dict.fromkeys(FIELD_LABELS_AR), "plate_number": "123", "make": "AB", "model": "ABC", "color": "XYZ", "year": "2019", "seats": "123"}.items()])
+    texts = ["a b", "12 3", "no. 123.", "xABCx", "B", "", None, "2019 XYZ", "q", "x y"]
+    frame = spark.range(2).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.array(*map(F.lit, texts))).alias("lines"), record.alias("record"))
+    found = annotate_lines(frame)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"lambdafunction\([^\n]*filter\(_values#", plan)
+    # Equal digits speak for a numeric field, the first in order; contained texts go by length, then by order.
+    assert sorted((r.line_index, r.text, r.field) for r in found.collect()) == [
+        (1, "a b", "make"), (2, "12 3", "plate_number"), (3, "no. 123.", "plate_number"), (4, "xABCx", "model"), (5, "B", "model"),
+        (8, "2019 XYZ", "year"), (10, "x y", "color")]
