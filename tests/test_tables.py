@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from folioscope.catalog.views import cards, documents
+from folioscope.functions.text import SPACES, settled_runs, squeeze_key, unsettled
 from folioscope.operators.records import annotate_lines, extract_record
-from folioscope.rules import FIELD_LABELS_AR
+from folioscope.rules import FIELD_LABELS_AR, SPACE_CLASS
 from folioscope.streaming import ingest
 
 
@@ -92,3 +93,26 @@ def test_lines_are_looked_up_before_they_are_compared(spark):
     assert sorted((r.line_index, r.text, r.field) for r in found.collect()) == [
         (1, "a b", "make"), (2, "12 3", "plate_number"), (3, "no. 123.", "plate_number"), (4, "xABCx", "model"), (5, "B", "model"),
         (8, "2019 XYZ", "year"), (10, "x y", "color")]
+
+
+def test_plates_are_the_only_key(spark, tmp_path):
+    """Digits and letters follow from the plate, so they are neither cleaned for every word nor moved."""
+    docs = [(0, "a-1 A1\nb", "en", "web", 7), (1, "a.17 1io", "en", "web", 8)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries()["clean_plate"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [("1IO8", "18", "", 1), ("A17", "17", "A", 2), ("A178", "178", "A", 1), ("B7", "7", "B", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Aggregate \[plate#\d+\]|Aggregate \[_groupingexpression#\d+\]", plan)) == 1
+
+
+def test_text_classes_leave_early(spark):
+    """The class of characters that may change under NFKC asks common letters first, and says what the plain class says."""
+    assert unsettled().startswith(r"[[^\x{0}-\x{9f}]&&[[^\x{bf}-\x{131}]&&[[^\x{61b}-\x{64a}]&&")
+    plain = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in settled_runs())
+    spaces = r"(?:[\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\x20(?=[" + SPACE_CLASS + "]))[" + SPACE_CLASS + "]*"
+    chars = [c for c in range(1, 0x11000) if not 0xD800 <= c <= 0xDFFF]
+    rows = spark.createDataFrame([(f"a {chr(c)}  B",) for c in chars], "t string")
+    other = rows.where(
+        (F.col("t").rlike(f"[^{plain}]") != F.col("t").rlike(unsettled())) | (F.regexp_replace("t", spaces, "_") != F.regexp_replace("t", SPACES, "_"))
+        | (F.lower(F.regexp_replace("t", r"[^\p{L}\p{N}_\x{0600}-\x{06FF}]", "")) != squeeze_key(F.col("t"))))
+    assert other.count() == 0
