@@ -47,9 +47,9 @@ def field_key_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_plate(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = F.explode(F.split("text", "[ \n]")).alias("token")
     words = documents(spark, sf_dir).select("doc_id", "n_chars", token).withColumn("token", F.concat("token", F.col("n_chars").cast("string")))
-    t = F.col("token")
-    cleaned = words.select(tx.clean_plate(t).alias("plate"), tx.clean_plate(t, DIGIT_ALLOWLIST).alias("digits"), tx.clean_plate(t, LETTER_ALLOWLIST).alias("letters"))
-    return cleaned.groupBy("plate", "digits", "letters").agg(F.count("*").alias("n"))
+    # Digits and letters are parts of the plate: they are taken once a plate, not once a word, and are no keys.
+    plates = words.groupBy(tx.clean_plate(F.col("token")).alias("plate")).agg(F.count("*").alias("n"))
+    return plates.select("plate", *(tx.clean_plate(F.col("plate"), kept).alias(c) for c, kept in (("digits", DIGIT_ALLOWLIST), ("letters", LETTER_ALLOWLIST))), "n")
 
 
 def numeric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
