@@ -32,15 +32,21 @@ def _system(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{authority}/")
 
 
-def open_file(path: str) -> pa.NativeFile:
-    """A file of a path as Spark lists it, for reading at any place."""
+def place_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark lists it, and its name there."""
     scheme, colon, rest = path.partition(":")
     if not colon or "/" in scheme or scheme == "file":
         local = rest if scheme == "file" and colon else path
-        return fs.LocalFileSystem().open_input_file("/" + local.lstrip("/"))
+        return fs.LocalFileSystem(), "/" + local.lstrip("/")
     authority, _, name = rest.lstrip("/").partition("/")
     system, base = _system(scheme, authority)
-    return system.open_input_file(f"{base.rstrip('/')}/{name}")
+    return system, f"{base.rstrip('/')}/{name}"
+
+
+def open_file(path: str) -> pa.NativeFile:
+    """A file of a path as Spark lists it, for reading at any place."""
+    system, name = place_of(path)
+    return system.open_input_file(name)
 
 
 def range_of(path: str, start: int, size: int) -> bytes:

@@ -11,6 +11,7 @@ from folioscope.catalog.views import cards, documents
 from folioscope.functions.text import SPACES, settled_runs, squeeze_key, unsettled
 from folioscope.operators.records import annotate_lines, extract_record
 from folioscope.rules import FIELD_LABELS_AR, SPACE_CLASS
+from folioscope.sources.sinks import write_each
 from folioscope.streaming import ingest
 
 
@@ -116,3 +117,20 @@ def test_text_classes_leave_early(spark):
         (F.col("t").rlike(f"[^{plain}]") != F.col("t").rlike(unsettled())) | (F.regexp_replace("t", spaces, "_") != F.regexp_replace("t", SPACES, "_"))
         | (F.lower(F.regexp_replace("t", r"[^\p{L}\p{N}_\x{0600}-\x{06FF}]", "")) != squeeze_key(F.col("t"))))
     assert other.count() == 0
+
+
+def test_every_row_is_a_file_written_by_its_task(spark, tmp_path):
+    """Spark's writers start a process for the mode of every local file; equal rows are files too."""
+    rows = spark.range(0, 300, 1, 6).select(F.format_string("text é %d", F.col("id") % 100).alias("t"))
+    folder = tmp_path / "some files"
+    for _ in range(2):  # a repeated task writes the same files
+        write_each(rows, F.col("t"), str(folder), ".txt")
+        files = [p for p in folder.rglob("*") if p.is_file()]
+        assert len(files) == 300 and len({p.parent for p in files}) == 6 and {p.suffix for p in files} == {".txt"}
+        assert sorted(p.read_text() for p in files) == sorted(f"text é {i % 100}" for i in range(300))
+    spark.createDataFrame([(i, "u", "<p>" if i else None) for i in range(70)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    frame = queries()["json_corpus"](spark, str(tmp_path))
+    names = frame.inputFiles()
+    assert len(names) == 70 and not any(p.name.endswith(".crc") for p in Path(names[0].removeprefix("file:")).parent.iterdir())
+    assert sorted(frame.collect())[1:] == [(i, "u", 3) for i in range(1, 70)]
+    assert frame.rdd.getNumPartitions() <= 10
