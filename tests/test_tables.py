@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from folioscope.catalog.views import cards, documents
 from folioscope.functions.text import SPACES, settled_runs, squeeze_key, unsettled
+from folioscope.operators.detections import suppression_pairs
 from folioscope.operators.records import annotate_lines, extract_record
 from folioscope.rules import FIELD_LABELS_AR, SPACE_CLASS
 from folioscope.sources.sinks import write_each
@@ -134,3 +135,18 @@ def test_every_row_is_a_file_written_by_its_task(spark, tmp_path):
     assert len(names) == 70 and not any(p.name.endswith(".crc") for p in Path(names[0].removeprefix("file:")).parent.iterdir())
     assert sorted(frame.collect())[1:] == [(i, "u", 3) for i in range(1, 70)]
     assert frame.rdd.getNumPartitions() <= 10
+
+
+def test_places_of_boxes_are_compared_not_boxes(spark):
+    """Equal rows: the first hides the others; comparing whole structs for each pair was most of the time."""
+    rows = [(1, "a", 0.9, 10.0, 10.0, 8.0, 8.0), (1, "a", 0.9, 10.0, 10.0, 8.0, 8.0), (1, "b", 0.5, 10.5, 10.0, 8.0, 8.0), (1, "c", 0.4, 90.0, 90.0, 8.0, 8.0), (2, "d", 0.1, 1.0, 1.0, 2.0, 2.0)]
+    found = suppression_pairs(spark.createDataFrame(rows, "image_id long, det_id string, score double, cx double, cy double, w double, h double"))
+    assert sorted((r.image_id, r.det_id, r.kept_id) for r in found.collect()) == [(1, "a", "a"), (1, "b", "a")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains(at#" in plan and "array_contains(kept#" not in plan and "size(at#" in plan
+
+
+def test_the_report_of_damage_views_is_read_once(spark):
+    plan = queries()["damage_views"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1  # of the boxes with and without an area
+    assert plan.count("Generate explode(concat(transform(map_entries(") == 1
