@@ -91,14 +91,15 @@ def damage_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = views.withColumn("view_error", F.when(failed, F.lit("INFERENCE: batch failed")))
     claims = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"))
     report = jobs.damage_job(views, _claim_boxes(spark, sf_dir), claims)["report"]
-    head = ["claim_id", "damage_detected", "any_view_error"]
-    seen = report.select(*head, F.explode("per_view").alias("view", "p")).select(
-        *head, "view", F.lit("analysed").alias("state"), F.col("p.damage_detected").alias("view_damaged"), F.round("p.confidence_score", 4).alias("score"),
-        F.size("p.damages").alias("n_damages"), F.coalesce("p.error", F.lit("-")).alias("error"))
-    skipped = report.select(*head, F.explode("skipped_views").alias("view", "s")).select(
-        *head, "view", F.col("s.reason").alias("state"), F.lit(False).alias("view_damaged"), F.col("s.car_confidence").alias("score"),
-        F.lit(0).alias("n_damages"), F.lit("-").alias("error"))
-    return seen.union(skipped)
+    # Both kinds of views leave the report in one list: two reads of the report would run the job twice.
+    shown = lambda e, state, damaged, score, n, error: F.struct(
+        e["key"].alias("view"), F.lit(state).alias("state"), damaged.alias("view_damaged"), score.alias("score"), n.alias("n_damages"), error.alias("error"))
+    seen = F.transform(F.map_entries("per_view"), lambda e: shown(
+        e, "analysed", e["value"]["damage_detected"], F.round(e["value"]["confidence_score"], 4), F.size(e["value"]["damages"]), F.coalesce(e["value"]["error"], F.lit("-"))))
+    skipped = F.transform(F.map_entries("skipped_views"), lambda e: shown(
+        e, "not_a_car", F.lit(False), e["value"]["car_confidence"], F.lit(0), F.lit("-")).withField("state", e["value"]["reason"]))
+    views = report.select("claim_id", "damage_detected", "any_view_error", F.explode_outer(F.concat(seen, skipped)).alias("v"))
+    return views.where(F.col("v").isNotNull()).select("claim_id", "damage_detected", "any_view_error", "v.*")
 
 
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def claim_rollup(views: DataFrame, claims: DataFrame, claim: str = "claim_id") -
     skipped = F.struct(F.lit("not_a_car").alias("reason"), "car_confidence")
 
     def by_view(wanted: Column, value: Column) -> Column:
-        return F.map_from_entries(F.array_sort(F.collect_list(F.when(wanted, F.struct("view", value.alias("value"))))))
+        return F.map_from_entries(F.sort_array(F.collect_list(F.when(wanted, F.struct("view", value.alias("value"))))))
 
     sums = each.groupBy(claim).agg(
         F.bool_or(damaged).alias("_damaged"), F.max(F.when(damaged, F.col("p.confidence_score"))).alias("_best"),

@@ -91,7 +91,7 @@ def damage_job(views: DataFrame, boxes: DataFrame, claim_spine: DataFrame, plate
     entries = detections.damage_entries(on_damaged.withColumn("image_id", image).drop("claim_id"), "image_id", "view")
     entry = [F.col(c) for c in ENTRY]
     found = entries.groupBy("image_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "det_id", F.struct(*entry).alias("e")))),
+        F.transform(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "det_id", F.struct(*entry).alias("e")))),
                     lambda d: d["e"]).alias("damages")
     ).select("image_id.claim_id", "image_id.view", "damages")
     general = claims.fallback_damage(damaged.join(found, ["claim_id", "view"], "left"))
