@@ -10,7 +10,7 @@ from __spark_entry__ import queries
 from folioscope.catalog.views import cards, documents
 from folioscope.functions.text import SPACES, settled_runs, squeeze_key, unsettled
 from folioscope.operators.detections import suppression_pairs
-from folioscope.operators.records import annotate_lines, extract_record
+from folioscope.operators.records import _SHORT_RUNS, annotate_lines, extract_record
 from folioscope.rules import FIELD_LABELS_AR, SPACE_CLASS
 from folioscope.sources.sinks import write_each
 from folioscope.streaming import ingest
@@ -150,3 +150,16 @@ def test_the_report_of_damage_views_is_read_once(spark):
     plan = queries()["damage_views"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Union") == 1  # of the boxes with and without an area
     assert plan.count("Generate explode(concat(transform(map_entries(") == 1
+
+
+def test_prose_leaves_the_card_rules_early(spark):
+    runs = ["one two three four five six seven", "ab-cd 1 efghijklmno pqr", "ABCDEFGHIJK 1 LMNOPQRSTUVWXYZABCDEFGH", "ABCD EFGHIJKLM NO PQ RSTU V", "ABCD EFGHIJKLM NO PQ RS"]
+    df = spark.createDataFrame([(r,) for r in runs], "t string")
+    found = df.select("t", F.regexp_extract_all("t", F.lit(_SHORT_RUNS), F.lit(1)).alias("r")).collect()
+    assert [[x for x in row.r if x] for row in found] == [[], ["ab-cd ", "efghijklmno pqr"], ["ABCDEFGHIJK "], [], ["ABCD EFGHIJKLM NO PQ RS"]]
+    texts = [["n\u0131l and \u00e9nil"], ["a \u00e9 NIL."], ["\U0001d7d7\U0001d7d8\U0001d7d9 x"], [], ["Vin", "no", "JTDBR32E520012345"], ["\u0627\u0644\u0645\u062d\u0631\u0643", "\u0661\u0662\u0660\u0660"]]
+    read = extract_record(spark.createDataFrame(list(enumerate(texts)), "n int, lines array<string>"))
+    got = {r.n: (r.engine_number, r.plate_number, r.vin_or_chassis, r.engine_cc, r.make) for r in read.select("n", "record.*").collect()}
+    assert got == {0: ("NIL", None, None, None, None), 1: ("NIL", None, None, None, None), 2: (None, None, None, None, None), 3: (None,) * 5,
+                   4: (None, None, "JTDBR32E520012345", None, None), 5: (None, "1200", None, 1200, None)}
+    assert "_wide" in read._jdf.queryExecution().optimizedPlan().toString()
