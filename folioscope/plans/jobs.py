@@ -11,7 +11,7 @@ from folioscope.functions import jsontext as js
 from folioscope.functions.scores import damage_prediction
 from folioscope.functions.text import text_preview
 from folioscope.operators import claims, detections, lines, quality, records, routing, translate
-from folioscope.operators.chunks import chunks_of, errors_of, parsed_documents, rag_chunks
+from folioscope.operators.chunks import chunks_of, errors_of, parsed_documents, rag_chunks, struct_chunks
 from folioscope.rules import CAR_THRESHOLD, DAMAGE_THRESHOLD
 from folioscope.session import cut_lineage, written
 from folioscope.sources import files as src
@@ -52,12 +52,9 @@ def record_job(docs: DataFrame, key: str = "doc_id", lang: str = "lang") -> dict
     extracted = records.with_fallback(docs, "lines", "aux_lines", lang)
     # Three outputs read the records: materialise them once instead of extracting three times.
     noted = cut_lineage(extracted.withColumn("validation_notes", records.validation_notes(F.col("record"))))
-    payload = F.to_json(
-        F.struct("record.*", "validation_notes", F.struct(F.col(lang), "auxiliary_ocr_lang").alias("source")),
-        {"ignoreNullFields": "false"},
-    )
+    payload = F.struct("record.*", "validation_notes", F.struct(F.col(lang), "auxiliary_ocr_lang").alias("source"))
     fields = noted.select(key, F.explode(translate.translate_record(F.col("record"))).alias("f")).select(key, "f.*")
-    chunks = rag_chunks(noted.select(F.col(key).cast("string").alias("source_file"), payload.alias("raw")))
+    chunks = struct_chunks(noted.select(key, payload.alias("payload")), F.col(key).cast("string"), "payload")
     return {"records": noted, "fields": fields, "chunks": chunks}
 
 

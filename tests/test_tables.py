@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from folioscope.catalog.views import cards, documents
 from folioscope.functions.text import SPACES, settled_runs, squeeze_key, unsettled
+from folioscope.operators.chunks import rag_chunks, struct_chunks
 from folioscope.operators.detections import suppression_pairs
 from folioscope.operators.records import _SHORT_RUNS, annotate_lines, extract_record
 from folioscope.rules import FIELD_LABELS_AR, SPACE_CLASS
@@ -163,3 +164,16 @@ def test_prose_leaves_the_card_rules_early(spark):
     assert got == {0: ("NIL", None, None, None, None), 1: ("NIL", None, None, None, None), 2: (None, None, None, None, None), 3: (None,) * 5,
                    4: (None, None, "JTDBR32E520012345", None, None), 5: (None, "1200", None, 1200, None)}
     assert "_wide" in read._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_are_chunked_without_their_json(spark):
+    kind = "a string, n int, notes array<string>, source struct<lang:string,pairs:array<struct<k:string,v:bigint>>>"
+    rows = [(0, (" x  y\u00a0", 7, None, ("ar", []))), (1, (None, None, [], None)), (2, ('q"\\\n\x1cz', -1, ["one", None, " "], ("", [("k", 5), None, (None, None)]))),
+            (3, ("w" * 700, 1, ["v" * 499, "u" * 500, "\u0645" * 1300], None)), (4, ("w" * 1100, 1, ["v" * 31], None))]
+    frame = spark.createDataFrame(rows, f"id int, value struct<{kind.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>")
+    source = F.col("id").cast("string")
+    direct = struct_chunks(frame, source, "value")
+    parsed = rag_chunks(frame.select(source.alias("source_file"), F.to_json("value", {"ignoreNullFields": "false"}).alias("raw")))
+    key = lambda r: (r.source_file, r.chunk_id)
+    assert sorted(direct.collect(), key=key) == sorted(parsed.collect(), key=key) and direct.schema.simpleString() == parsed.schema.simpleString()
+    assert "Python" not in direct._jdf.queryExecution().executedPlan().toString()
