@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby, islice
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,75 +173,120 @@ def _through(state: tuple, closed, resume_from, resumed, rules: BreakerRules) ->
     return state
 
 
+#: A waiting call; circuit is its place in the names kept beside the calls.
+_CALL = np.dtype([("circuit", "<i4"), ("us", "<i8"), ("call_id", "<i8"), ("ok", "?"), ("ignored", "?")])
+
+
 class BreakerProcessor(StatefulProcessor):
-    """Streaming form: calls wait until the watermark passes them, then run in order."""
+    """Streaming form: calls wait until the watermark passes them, then run in order.
+
+    A key is a slot, the circuits of one hash value. Waiting calls are kept as one block per data frame of input, and only
+    circuits that differ from the start have a state, so reads, writes and timers go by slot, not by call or circuit.
+    """
 
     def __init__(self, rules: BreakerRules):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "name string, failures int, opened long")
-        self.waiting = handle.getListState("waiting", "us long, call_id long, ok boolean, ignored boolean")
+        self.states = handle.getValueState("states", "circuit array<string>, name array<string>, failures array<int>, opened array<long>")
+        self.waiting = handle.getListState("waiting", "names array<string>, calls binary")
         self.timer = handle.getValueState("timer", "ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        calls = [
-            (int(r.us), int(r.call_id), bool(r.ok), bool(r.ignored)) for pdf in rows for r in pdf.itertuples(index=False)
-        ]
-        self.waiting.appendList(calls)
-        self._wake_at(min(calls)[0] // 1000 + 1)
-        yield self._frame(key, [])
+        first = []
+        for pdf in rows:
+            calls = np.empty(len(pdf), _CALL)
+            calls["circuit"], names = _numbered(pdf["circuit"])
+            for column in ("us", "call_id"):
+                calls[column] = pdf[column].astype("int64")
+            for column in ("ok", "ignored"):
+                calls[column] = pdf[column].astype("bool")
+            self.waiting.appendValue((names, calls.tobytes()))
+            first.append(int(calls["us"].min()))
+        self._wake_at(min(first) // 1000 + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(c) for c in self.waiting.get())
-        due, later = [c for c in waiting if c[0] < limit], [c for c in waiting if c[0] >= limit]
-        state, out = tuple(self.state.get()) if self.state.exists() else START, []
-        for us, call_id, ok, ignored in due:
-            state, ran = advance(state, us, ok, ignored, self.rules)
-            out.append((us, call_id, ran, state[0]))
-        if due:
-            self.state.update(state)
-        if later:
-            self.waiting.put(later)
-            self._wake_at(later[0][0] // 1000 + 1)
+        calls, names = self._waiting()
+        due, later = calls[calls["us"] < limit], calls[calls["us"] >= limit]
+        if len(later):
+            places, used = np.unique(later["circuit"], return_inverse=True)
+            later["circuit"] = used
+            self.waiting.put([([names[i] for i in places.tolist()], later.tobytes())])
+            self._wake_at(int(later["us"].min()) // 1000 + 1)
         else:
             self.waiting.clear()
-        yield self._frame(key, out)
+        if len(due):
+            yield from self._run(due, names)
+
+    def _waiting(self) -> tuple[np.ndarray, list]:
+        """All waiting calls of the slot, and the names of their circuits."""
+        places, blocks = {}, []
+        for names, packed in self.waiting.get():
+            block = np.frombuffer(packed, _CALL).copy()
+            block["circuit"] = np.array([places.setdefault(n, len(places)) for n in names], "int32")[block["circuit"]]
+            blocks.append(block)
+        return np.concatenate(blocks), list(places)
+
+    def _run(self, due: np.ndarray, names: list, size: int = 50_000) -> Iterator[pd.DataFrame]:
+        """Run calls in the order of their circuits, some at a time; states that differ from the start are kept."""
+        due = due[np.lexsort([due[c] for c in ("ignored", "ok", "call_id", "us", "circuit")])]
+        kept = self.states.get()
+        states = {circuit: state for circuit, *state in zip(*kept)} if kept else {}
+        for part in (due[at:at + size] for at in range(0, len(due), size)):
+            admitted, after = [], []
+            for place, group in groupby(zip(*(part[c].tolist() for c in ("circuit", "us", "ok", "ignored"))), key=itemgetter(0)):
+                state = tuple(states.pop(names[place], START))
+                for _, us, ok, ignored in group:
+                    state, ran = advance(state, us, ok, ignored, self.rules)
+                    admitted.append(ran)
+                    after.append(state[0])
+                if state != START:
+                    states[names[place]] = state
+            yield pd.DataFrame({
+                "circuit": np.array(names, dtype="object")[part["circuit"]], "ts": pd.to_datetime(part["us"], unit="us", utc=True),
+                "call_id": part["call_id"], "admitted": np.array(admitted, dtype="bool"), "state": np.array(after, dtype="object"),
+            })
+        if states:
+            self.states.update(([*states], *map(list, zip(*states.values()))))
+        elif kept:
+            self.states.clear()
 
     def _wake_at(self, ms: int) -> None:
-        """One timer per circuit, at its earliest waiting call."""
-        if self.timer.exists():
-            (current,) = self.timer.get()
-            if current <= ms:
+        """One timer per slot, at its earliest waiting call."""
+        if current := self.timer.get():
+            if current[0] <= ms:
                 return
-            self.handle.deleteTimer(current)
+            self.handle.deleteTimer(current[0])
         self.handle.registerTimer(ms)
         self.timer.update((ms,))
 
-    def _frame(self, key, rows: list) -> pd.DataFrame:
-        pdf = pd.DataFrame(rows, columns=["us", "call_id", "admitted", "state"])
-        return pd.DataFrame({
-            "circuit": pd.Series([key[0]] * len(pdf), dtype="object"),
-            "ts": pd.to_datetime(pdf["us"].astype("int64"), unit="us"),
-            "call_id": pdf["call_id"].astype("int64"), "admitted": pdf["admitted"].astype("bool"),
-            "state": pdf["state"].astype("object"),
-        })
-
     def close(self) -> None:
         pass
 
 
+def _numbered(circuits: pd.Series) -> tuple[np.ndarray, list]:
+    """Place of every circuit in the list of names that follows; null is a name too."""
+    places, names = pd.factorize(circuits, use_na_sentinel=False)
+    return places, [None if pd.isna(n) else n for n in names]
+
+
 def breaker_stream(calls: DataFrame, failures: int = 5, recovery_seconds: float = 30.0, probes: int = 1,
-                   watermark: str = "10 minutes") -> DataFrame:
-    """Streaming states. Needs the RocksDB state store provider."""
+                   watermark: str = "10 minutes", slots: int = 4096) -> DataFrame:
+    """Streaming states. Needs the RocksDB state store provider.
+
+    Circuits share ``slots`` keys by their hash, since every key costs calls between the JVM and Python; a checkpoint goes
+    with its number of slots. A slot's calls that wait are sorted in one task.
+    """
     log = calls.withWatermark("ts", watermark).select(
         F.col("circuit").cast("string").alias("circuit"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-        F.col("call_id").cast("long").alias("call_id"), "ok", F.coalesce("ignored", F.lit(False)).alias("ignored"),
-    )
-    return log.groupBy("circuit").transformWithStateInPandas(
+        F.col("call_id").cast("long").alias("call_id"), F.coalesce("ok", F.lit(False)).alias("ok"),
+        F.coalesce("ignored", F.lit(False)).alias("ignored"),
+    ).withColumn("slot", F.pmod(F.xxhash64("circuit"), F.lit(slots)))
+    return log.groupBy("slot").transformWithStateInPandas(
         BreakerProcessor(BreakerRules(failures, recovery_seconds, probes)),
         T._parse_datatype_string(STATES), "append", "EventTime",
     )
