@@ -1,9 +1,11 @@
 """Order-dependent operators against plain-Python models, including the paths for large groups."""
 
 import json
+import math
 import random
 import re
 import time
+from collections import Counter
 from statistics import quantiles
 
 import pytest
@@ -224,6 +226,40 @@ def test_suppression_pairs_match_model(spark, skewed_boxes):
     assert got == want
 
 
+def model_pairs(rows, threshold):
+    """Every two boxes of an image that overlap by the threshold; of equal ranks either may come first, the names are the same."""
+    ordered = sorted(rows, key=lambda r: (-r["score"] if r["score"] is not None else math.inf, r["det_id"]))
+    return Counter((b["image_id"], b["det_id"], k["det_id"], round(model_iou(k, b), 9)) for i, k in enumerate(ordered)
+                   for b in ordered[i + 1:] if k["image_id"] == b["image_id"] and model_iou(k, b) >= threshold)
+
+
+@pytest.mark.parametrize("per_image,per_block", [(64, 1024), (2, 1024), (2, 3), (10_000, 3)])
+def test_overlap_pairs_match_model(spark, skewed_boxes, monkeypatch, per_image, per_block):
+    """Whatever the sizes of lists and blocks: every pair, also of two suppressed boxes and of repeated rows."""
+    monkeypatch.setattr(det, "PER_IMAGE", per_image)
+    monkeypatch.setattr(det, "PER_BLOCK", per_block)
+    df, rows = skewed_boxes
+    df, rows = df.unionByName(df.where("det_id < 'd0040'")), rows + [r for r in rows if r["det_id"] < "d0040"]
+    for threshold in (0.3, 1.0):
+        got = Counter((r.image_id, r.det_id, r.better_id, round(r.iou, 9)) for r in det.overlap_pairs(df, threshold=threshold).collect())
+        assert got == model_pairs(rows, threshold) and got
+    hidden = {(r.image_id, r.det_id, r.kept_id) for r in det.suppression_pairs(df, threshold=0.3).collect()}
+    every = {(r.image_id, r.det_id, r.better_id) for r in det.overlap_pairs(df, threshold=0.3).collect()}
+    assert hidden < every
+
+
+def test_overlap_pairs_of_odd_boxes(spark):
+    nan = float("nan")
+    rows = [(1, "a", 0.9, 10.0, 10.0, 8.0, 8.0)] * 100 + [(None, "n", 0.5, 10.0, 10.0, 8.0, 8.0), (None, "m", 0.6, 10.0, 10.0, 8.0, 8.0)]
+    rows += [(1, "nul", 0.9, None, 10.0, 8.0, 8.0), (1, "nan", 0.9, nan, 10.0, 8.0, 8.0), (1, "flat", 0.9, 10.0, 10.0, 0.0, 8.0), (1, "back", 0.9, 10.0, 10.0, -8.0, 8.0)] * 2
+    rows += [(1, "unscored", None, 10.5, 10.0, 8.0, 8.0), (2, None, None, 1.0, 1.0, 8.0, 8.0), (2, None, None, 1.0, 1.0, 8.0, 8.0), (3, "far", 0.1, 1.0, 1.0, 8.0, 8.0)]
+    got = Counter((r.image_id, r.det_id, r.better_id) for r in det.overlap_pairs(boxes(spark, rows)).collect())
+    assert got == {(None, "n", "m"): 1, (1, "a", "a"): 4950, (1, "unscored", "a"): 100, (2, None, None): 1}
+    assert det.overlap_pairs(boxes(spark, rows).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        det.overlap_pairs(boxes(spark, rows), threshold=0.0)
+
+
 BOX = "image_id int, det_id string, score double, cx double, cy double, w double, h double, rank int, b int, cell int, note string"
 
 

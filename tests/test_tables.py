@@ -3,10 +3,11 @@
 import re
 from pathlib import Path
 
+import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from __spark_entry__ import oracle_sql, queries
 from folioscope.catalog.views import cards, documents
 from folioscope.functions.text import SPACES, settled_runs, squeeze_key, unsettled
 from folioscope.operators.chunks import rag_chunks, struct_chunks
@@ -147,6 +148,17 @@ def test_places_of_boxes_are_compared_not_boxes(spark):
     assert "array_contains(at#" in plan and "array_contains(kept#" not in plan and "size(at#" in plan
 
 
+def test_iou_pairs_has_every_pair_that_overlaps(spark, tmp_path):
+    """The box of line 9 hides those of lines 1 and 5, which overlap each other as well: their pair was left out."""
+    rows = [(7, 1, 1, 1, 0.0), (7, 1, 1, 5, 0.0), (7, 1, 1, 9, 0.0), (7, 4, 5, 2, 2.0), (None, 1, 1, 1, 0.0), (None, 1, 1, 5, 0.0), (8, 1, 1, 1, 0.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = sorted((r.image_id or 0, r.det_id, r.better_id, r.iou) for r in queries()["iou_pairs"](spark, str(tmp_path)).collect())
+    assert found == [(0, "1-1-1-0", "5-1-1-0", 1.0), (7, "1-1-1-0", "5-1-1-0", 1.0), (7, "1-1-1-0", "9-1-1-0", 1.0), (7, "5-1-1-0", "9-1-1-0", 1.0)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted((r[0] or 0, *r[1:]) for r in con.execute(oracle_sql()["iou_pairs"]).fetchall()) == found
+
+
 def test_the_report_of_damage_views_is_read_once(spark):
     plan = queries()["damage_views"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Union") == 1  # of the boxes with and without an area
