@@ -13,6 +13,7 @@ from folioscope.functions.text import SPACES, settled_runs, squeeze_key, unsettl
 from folioscope.operators.chunks import rag_chunks, struct_chunks
 from folioscope.operators.detections import suppression_pairs
 from folioscope.operators.records import _SHORT_RUNS, annotate_lines, extract_record
+from folioscope.operators.translate import translate_ocr
 from folioscope.rules import FIELD_LABELS_AR, SPACE_CLASS
 from folioscope.sources.sinks import write_each
 from folioscope.streaming import ingest
@@ -159,6 +160,24 @@ def test_iou_pairs_has_every_pair_that_overlaps(spark, tmp_path):
     assert sorted((r[0] or 0, *r[1:]) for r in con.execute(oracle_sql()["iou_pairs"]).fetchall()) == found
 
 
+def test_translation_has_the_lines_and_their_count(spark, tmp_path):
+    """The translation of a card is that of its fields and of its OCR lines; lines and count were left out."""
+    spark.createDataFrame([(3,), (5,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    rows = queries()["translate_record"](spark, str(tmp_path)).collect()
+    texts = {r.doc_id: r.lines for r in cards(spark, str(tmp_path)).collect()}
+    lines = sorted((r for r in rows if r.part == "line"), key=lambda r: (r.doc_id, r.line_index))
+    assert [(r.doc_id, r.line_index, r.value) for r in lines] == [(k, i + 1, t) for k in (3, 5) for i, t in enumerate(texts[k])]
+    assert {(r.page, r.line_count) for r in lines} == {(1, 23)} and lines[0].translation == "Oman Police" and lines[0].confidence == 0.09
+    assert sum(r.part == "field" for r in rows) == 2 * 19 and len(rows) == 2 * 19 + 2 * 23
+    line, page = "struct<text:string,confidence:double>", "struct<page:int,lines:array<struct<text:string,confidence:double>>>"
+    docs = [(1, [(4, [("\u0631\u0642\u0645  x", 0.5), None, (None, 0.25)]), None, (9, None), (None, [(" ", None)])], None), (2, None, [("plain", 1.0)]), (3, None, None), (4, [], [("unread", 1.0)])]
+    found = translate_ocr(spark.createDataFrame(docs, f"doc_id int, pages array<{page}>, lines array<{line}>"))
+    assert found.columns == ["doc_id", "line_count", "page", "line_index", "text", "translation", "confidence"]
+    assert sorted(map(tuple, found.collect()), key=str) == [
+        (1, 3, 4, 1, "\u0631\u0642\u0645  x", "Number x", 0.5), (1, 3, 4, 3, None, None, 0.25), (1, 3, None, 1, " ", "", None),
+        (2, 1, 1, 1, "plain", "plain", 1.0), (3, 0, None, None, None, None, None), (4, 0, None, None, None, None, None)]
+
+
 def test_the_report_of_damage_views_is_read_once(spark):
     plan = queries()["damage_views"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Union") == 1  # of the boxes with and without an area
